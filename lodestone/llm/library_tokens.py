@@ -10,7 +10,7 @@ import numpy as np
 
 from .common import BYTE_SPLIT, UNSAFE, WORD_SPLIT
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 
 
 class LibraryTokens:
@@ -56,25 +56,24 @@ class LibraryTokens:
         for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, self.type).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.whole.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
-        words = self.findall(text.lower() if self.lower else text)
-        try:
-            known = self.words
-            return np.frombuffer(b"".join([known[w] for w in words]), self.type)
-        except KeyError:
-            if len(self.words) >= WORDS_KEPT:  # two generations: words of the older one come back as they are met
-                self.before, self.words = self.words, {}
-            new, known, before = [], self.words, self.before
-            for w in dict.fromkeys(words):
-                if w not in known:
-                    if w in before:
-                        known[w] = before[w]
-                    else:
-                        new.append(w)
-        self._learn(new)
-        return np.frombuffer(b"".join([known[w] for w in words]), self.type)
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; new words of all the texts are encoded together."""
+        if len(self.words) >= WORDS_KEPT:  # two generations: words of the older one come back as they are met
+            self.before, self.words = self.words, {}
+        known, before, split = self.words, self.before, []
+        new: dict[str, None] = {}
+        for text in texts:
+            words = None if self.whole.search(text) else self.findall(text.lower() if self.lower else text)
+            split.append(words)
+            for w in {*words} - known.keys() if words else ():
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new[w] = None
+        if new:
+            self._learn(list(new))
+        take = known.__getitem__
+        return [np.array(self.library.encode(x, add_special_tokens=False).ids, self.type) if ws is None else np.frombuffer(b"".join(map(take, ws)), self.type) for x, ws in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=4)

@@ -108,8 +108,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, windows: int = 32, end_id
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                for doc_id, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
-                    packer.add(doc_id, np.append(tokens.encode(text), tokens.type.type(end_id)))
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode_many(texts_of(part)), strict=True):
+                    packer.add(doc_id, np.append(ids, tokens.type.type(end_id)))
                 yield from rows()
         packer.finish()
         yield from rows()

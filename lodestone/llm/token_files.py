@@ -68,7 +68,7 @@ def write(docs: DataFrame, path: str, where: str, end_id: int = 1) -> TokenFiles
             for b in batches:
                 for k in range(0, b.num_rows, 512):
                     part = b.slice(k, 512)
-                    ids = [np.append(tokens.encode(x), tokens.type.type(end_id)) for x in texts_of(part)]
+                    ids = [np.append(x, tokens.type.type(end_id)) for x in tokens.encode_many(texts_of(part))]
                     ends = n_tokens + np.cumsum([len(x) for x in ids])
                     if not out:
                         files, folder = _open(where)
