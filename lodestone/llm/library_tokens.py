@@ -65,7 +65,7 @@ class LibraryTokens:
         for text in texts:
             words = None if self.whole.search(text) else self.findall(text.lower() if self.lower else text)
             split.append(words)
-            for w in {*words} - known.keys() if words else ():
+            for w in [w for w in set(words or ()) if w not in known]:
                 if w in before:
                     known[w] = before[w]
                 else:
