@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, map_batches, table, texts_of
+from .common import add_columns, ids_and_text, table, texts_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -88,22 +88,20 @@ def measure(text: str) -> dict:
 
 COVERAGES = ["line_coverage", *(f"coverage_{n}" for n in NGRAM_LIMITS)]
 LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in LONGS) + ", " + ", ".join(f"{x} double" for x in COVERAGES)
+ADDED = ", ".join(f"{x} long" for x in LONGS) + ", " + ", ".join(f"{x} double" for x in COVERAGES)
 
 
-def repetition(docs: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, the figures, base_failed and kept for every row. `keep` names further columns to carry (name: type)."""
-    keep = keep or {}
+def repetition(docs: DataFrame) -> DataFrame:
+    """All columns of docs, the figures, base_failed and kept, for every row."""
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
             rows = [measure(x) for x in texts_of(b)]
-            return {"doc_id": b.column("doc_id"), **{k: b.column(f"k_{k}") for k in keep}, **{k: [r[k] for r in rows] for k in (*LONGS, *COVERAGES)}}
+            return {k: [r[k] for r in rows] for k in (*LONGS, *COVERAGES)}
 
         return f
 
-    inner = ids_and_text(docs) if not keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(k).cast(t).alias(f"k_{k}") for k, t in keep.items()))
-    out = map_batches(inner, make, SCHEMA + "".join(f", {k} {t}" for k, t in keep.items()))
+    out = add_columns(docs, make, ADDED)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     bad = (F.col("line_coverage") > LINE_LIMIT) | (F.col("n_symbols") > SYMBOL_LIMIT * F.col("n_words"))
     for n, limit in NGRAM_LIMITS.items():
@@ -112,7 +110,7 @@ def repetition(docs: DataFrame, keep: dict[str, str] | None = None) -> DataFrame
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition(table(spark, sf_dir, "documents")).select("doc_id", *LONGS, "base_failed", "kept", *(F.round(c, 6).alias(c) for c in COVERAGES))
+    return repetition(ids_and_text(table(spark, sf_dir, "documents"))).select("doc_id", *LONGS, "base_failed", "kept", *(F.round(c, 6).alias(c) for c in COVERAGES))
 
 
 QUERIES = {"op3_quality": op3_quality}

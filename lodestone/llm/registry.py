@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, media, packing, quality, token_files, url_filter
+from . import bpe, chat_format, jaccard_join, media, packing, quality, secrets, token_files, url_filter
 
-MODULES = [chat_format, packing, quality, media, bpe, token_files, url_filter]
+MODULES = [chat_format, packing, quality, media, bpe, secrets, token_files, url_filter, jaccard_join]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
