@@ -4,15 +4,38 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
+from .bpe import LETTERS
 from .common import BYTE_SPLIT, UNSAFE, WORD_SPLIT
 
 WORDS_KEPT = 400_000
 
 
+class Words(dict):
+    """word -> bytes of its ids; a word that is not there is encoded by the library's model. Two generations bound the memory: when the newer
+    one is full it becomes the older one, from which words come back as they are met."""
+
+    def __init__(self, library, code: str):
+        self.tokenize, self.code, self.before = library.model.tokenize, code, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.before.get(word)
+        if got is None:
+            letters = word.encode("utf-8").decode("latin-1").translate(LETTERS)  # the word in the byte alphabet
+            got = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+        self[word] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) >= WORDS_KEPT:
+            self.before = dict(self)
+            self.clear()
+
+
 class LibraryTokens:
     """Texts of plain Latin characters without special tokens are split here by the file's own rule; others go to the
     library whole. Both give what encode(text, add_special_tokens=False) gives."""
@@ -28,52 +51,20 @@ class LibraryTokens:
         self.whole = re.compile("|".join([UNSAFE.pattern, *map(re.escape, special)]))
         self.lower = self.library.normalizer is not None
         self.findall = (WORD_SPLIT if self.lower else BYTE_SPLIT).findall
-        self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        # ids that a word can only end with (word ends) or begin with (a leading space), to cut a joined text's ids
-        mark = np.zeros(self.library.get_vocab_size() + 1, bool)
-        for x, i in self.library.get_vocab().items():
-            mark[i] = x.endswith("</w>") if self.lower else x.startswith("\u0120")
-        self.mark = mark
-        self.joined = re.compile(r"[^\W\d_]+" if self.lower else r" [^\W\d_]+").fullmatch
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words: those of letters as one text, whose ids are cut where words end (or begin)."""
-        known = self.words
-        plain = [w for w in words if self.joined(w)]
-        rest = [w for w in words if not self.joined(w)]
-        if plain:
-            ids = np.array(self.library.encode((" " if self.lower else "").join(plain), add_special_tokens=False).ids, self.type)
-            at = np.flatnonzero(self.mark[ids])
-            cuts = at + 1 if self.lower else np.append(at[1:], len(ids))
-            if len(cuts) == len(plain):
-                raw, k = ids.tobytes(), self.type.itemsize
-                for w, x, y in zip(plain, [0, *(cuts[:-1] * k).tolist()], (cuts * k).tolist(), strict=True):
-                    known[w] = raw[x:y]
-            else:
-                rest = words
-        for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.type).tobytes()
+        small = self.library.get_vocab_size() <= 1 << 16
+        self.type = np.dtype("<u2" if small else "<u4")
+        self.words = Words(self.library, "H" if small else "I")
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; new words of all the texts are encoded together."""
-        if len(self.words) >= WORDS_KEPT:  # two generations: words of the older one come back as they are met
-            self.before, self.words = self.words, {}
-        known, before, split = self.words, self.before, []
-        new: dict[str, None] = {}
-        for text in texts:
-            words = None if self.whole.search(text) else self.findall(text.lower() if self.lower else text)
-            split.append(words)
-            for w in [w for w in set(words or ()) if w not in known]:
-                if w in before:
-                    known[w] = before[w]
-                else:
-                    new[w] = None
-        if new:
-            self._learn(list(new))
-        take = known.__getitem__
-        return [np.array(self.library.encode(x, add_special_tokens=False).ids, self.type) if ws is None else np.frombuffer(b"".join(map(take, ws)), self.type) for x, ws in zip(texts, split, strict=True)]
+        """The ids of each text."""
+        self.words.turn()
+        out, take = [], self.words.__getitem__
+        for x in texts:
+            if self.whole.search(x):
+                out.append(np.array(self.library.encode(x, add_special_tokens=False).ids, self.type))
+            else:
+                out.append(np.frombuffer(b"".join(map(take, self.findall(x.lower() if self.lower else x))), self.type))
+        return out
 
 
 @lru_cache(maxsize=4)
