@@ -273,7 +273,7 @@ def verified(families: DataFrame, texts: DataFrame, family_limit: int = FAMILY_L
 
 
 def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT, family_limit: int = FAMILY_LIMIT) -> DataFrame:
-    """One row a document: doc_id, row_key, text_key (hashes; row_key is the doc_id where there is one), class_id (the least row_key of its class), n_copies (documents of the same
+    """One row a document: doc_id, row_key, text_key (hashes; row_key is the doc_id where there is one), class_key (a digest; it tells classes apart where doc_ids repeat), class_id (the least row_key of its class), n_copies (documents of the same
     shingle set, itself included), n_links (other documents with the similarity, copies among them) and n_linked_texts
     (different texts among those)."""
     marked = durable(sketches(docs, doc_id, text))
@@ -285,17 +285,17 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = verified(durable(families), texts, family_limit)
     told = nodes.select("node", "row_key", "n_copies").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = told.groupBy("class").agg(F.min("row_key").alias("class_id"))
-    told = told.join(least, "class").select("node", "class_id", "n_copies", (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("n_linked_texts", F.lit(0)).alias("n_linked_texts"))
+    told = told.join(least, "class").select("node", F.col("class").alias("class_key"), "class_id", "n_copies", (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("n_linked_texts", F.lit(0)).alias("n_linked_texts"))
     return marked.select("doc_id", "row_key", "text_key", "node").join(told, "node").drop("node")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(table(spark, sf_dir, "documents")).drop("row_key", "text_key")
+    return similarity_classes(table(spark, sf_dir, "documents")).drop("row_key", "text_key", "class_key")
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the least (row_key, text_key) of their class, one of repeated rows; all columns stay."""
-    least = similarity_classes(docs, doc_id, text).groupBy("class_id").agg(F.min(F.struct("row_key", "text_key")).alias("k"))
+    least = similarity_classes(docs, doc_id, text).groupBy("class_key").agg(F.min(F.struct("row_key", "text_key")).alias("k"))
     keys = least.select(F.col("k.row_key").alias("__row_key"), F.col("k.text_key").alias("__text_key"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.withColumn("__text_key", F.xxhash64(t)).withColumn("__row_key", F.coalesce(F.col(doc_id).cast("long"), F.col("__text_key")))
