@@ -76,7 +76,10 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     clean = F.col("text")
     for pattern, _, _ in BASE.values():
         clean = F.regexp_replace(clean, pattern if pattern != BASE["hex"][0] else GATES["hex"] + "[0-9a-f]*", " ")
-    some = ids_and_text(docs).filter("text is not null").orderBy(F.xxhash64("doc_id"), "text").limit(IDENTIFIER_DOCUMENTS)
+    rows = ids_and_text(docs).filter("doc_id is not null and text is not null")
+    # the sample is chosen by ids alone, so that no texts are gathered in the choice
+    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(IDENTIFIER_DOCUMENTS)
+    some = rows.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     words = some.select(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9]{3,}"), F.lit(0)).alias("w"))
     joined = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0)), F.lit(1)), lambda i: F.concat_ws("_", F.get("w", i), F.get("w", i + 1)))
     camel = F.transform("w", lambda x: F.initcap(x))
