@@ -78,8 +78,8 @@ def _all(text: Column, pattern: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores, of any script."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def short_tokens(text: Column) -> Column:
