@@ -302,4 +302,19 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return rows.join(keys, ["__row_key", "__text_key"], "left_semi").dropDuplicates(["__row_key", "__text_key"]).select(*docs.columns)
 
 
+#: By joining shingles as texts and walking the links; right on tables of a size where that can be done.
+SQL = {
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, COALESCE(text, '') AS text, regexp_extract_all(lower(COALESCE(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, text, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM w),
+k AS (SELECT doc_id, sh, CASE WHEN len(sh) = 0 THEN 'text ' || text ELSE 'set ' || md5(array_to_string(list_sort(sh), '|')) END AS node FROM s),
+n AS (SELECT node, MIN(doc_id) AS rep, COUNT(*) AS n_copies, any_value(sh) AS sh FROM k GROUP BY node),
+x AS (SELECT rep, len(sh) AS size, unnest(sh) AS one FROM n),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.one = b.one AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.size, b.size HAVING 5 * COUNT(*) >= 4 * (a.size + b.size - COUNT(*))),
+r AS (SELECT rep AS node, rep AS root FROM n UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, MIN(root) AS class_id FROM r GROUP BY node),
+d AS (SELECT p.a AS rep, COUNT(*) AS texts, SUM(n.n_copies) AS docs FROM p JOIN n ON n.rep = p.b GROUP BY p.a)
+SELECT k.doc_id, c.class_id, n.n_copies, CAST(COALESCE(docs, 0) + n.n_copies - 1 AS BIGINT) AS n_links, COALESCE(texts, 0) AS n_linked_texts
+FROM k JOIN n USING (node) JOIN c ON c.node = n.rep LEFT JOIN d ON d.rep = n.rep"""
+}
 QUERIES = {"op10_jaccard_join": op10_jaccard_join}

@@ -113,4 +113,26 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(ids_and_text(table(spark, sf_dir, "documents"))).select("doc_id", *LONGS, "base_failed", "kept", *(F.round(c, 6).alias(c) for c in COVERAGES))
 
 
+def _sql() -> str:
+    """The same figures from windows of joined words; every whole text."""
+    ns = list(NGRAM_LIMITS)
+    keys = ", ".join(f"CASE WHEN lead(word, {n - 1}) OVER o IS NOT NULL THEN " + " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))]) + f" END AS k{n}" for n in ns)
+    counts = ", ".join(f"CASE WHEN k{n} IS NOT NULL AND COUNT(*) OVER (PARTITION BY doc_id, k{n}) > 1 THEN 1 ELSE 0 END AS c{n}" for n in ns)
+    marks = ", ".join(f"MAX(c{n}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS r{n}" for n in ns)
+    sums = ", ".join(f"SUM(n * r{n}) AS s{n}" for n in ns)
+    covered = ", ".join(f"round(COALESCE(s{n}, 0) / greatest(word_chars, 1), 6) AS coverage_{n}" for n in ns)
+    bad = " OR ".join([f"line_chars / greatest(word_chars, 1) > {LINE_LIMIT}", f"n_symbols > {SYMBOL_LIMIT} * n_words", *(f"COALESCE(s{n}, 0) / greatest(word_chars, 1) > {x}" for n, x in NGRAM_LIMITS.items())])
+    base = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    return rf"""
+WITH t AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents), l AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM l),
+k AS (SELECT doc_id, pos, length(word) AS n, {keys} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT doc_id, pos, n, {counts} FROM k), r AS (SELECT doc_id, n, {marks} FROM c), g AS (SELECT doc_id, {sums}, SUM(r5) AS reps FROM r GROUP BY doc_id),
+i AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS at_line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM t)),
+j AS (SELECT doc_id, COUNT(*) AS dups, SUM(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY at_line) AS nth FROM i) WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(dups, 0) AS n_dup_lines, CAST(COALESCE(reps, 0) AS BIGINT) AS n_repeat_words, COALESCE(j.chars, 0) AS line_chars, {", ".join(f"s{n}" for n in ns)} FROM l LEFT JOIN g USING (doc_id) LEFT JOIN j USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT {base} AND NOT ({bad}) AS kept, round(line_chars / greatest(word_chars, 1), 6) AS line_coverage, {covered} FROM f"""
+
+
+SQL = {"op3_quality": _sql()}
 QUERIES = {"op3_quality": op3_quality}
