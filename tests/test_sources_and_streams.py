@@ -150,3 +150,38 @@ def test_rate_limiter_at_the_edges(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.request: r.admitted for r in spark.sql("select * from limited").collect()} == got
+
+
+def test_monitored_pages(spark, tmp_path):
+    import pytest
+
+    from lodestone.sources import pages as P
+
+    (tmp_path / "a.html").write_text("<p>x</p>\n<script>1</script>")
+    (tmp_path / "b.html").write_text("<p>y</p>")
+    p = P.landed_pages(spark, str(tmp_path))
+    hashes = {r.page: r.page_hash for r in p.collect()}
+    state = spark.createDataFrame([("a.html", hashes["a.html"], "t0"), ("b.html", "old", "t0")], "key string, value string, updated_at string")
+    assert [r.page for r in P.changed_pages(p, state).collect()] == ["b.html"]
+    new = P.set_state(state, spark.createDataFrame([("b.html", hashes["b.html"], "t1")], state.schema))
+    assert P.changed_pages(p, new).count() == 0 and new.count() == 2
+    (tmp_path / "a.html").write_text("<p>x</p>  <script>2</script>")
+    assert P.changed_pages(P.landed_pages(spark, str(tmp_path)), new).count() == 0
+    waits, calls = [], []
+
+    def fails():
+        calls.append(1)
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        P.with_retries(fails, 4, 200.0, waits.append)
+    assert len(calls) == 4 and waits == [200.0, 300.0, 300.0] and P.with_retries(lambda: 5) == 5
+
+
+def test_script_routing(spark):
+    from lodestone.sources.pages import route_scripts
+
+    t = spark.createDataFrame([(1, "भारत"), (2, "hello there"), (3, "namaste ji")], "id long, text string")
+    model = lambda name, score: lambda df: df.withColumn("language", F.lit(name)).withColumn("score", F.when(F.col("id") == 3, 0.6).otherwise(score))
+    got = {r.id: (r.language, r.score) for r in route_scripts(t, "text", model("hi", 0.9), model("en", 0.9), model("hi-Latn", 0.7)).collect()}
+    assert got == {1: ("hi", 0.9), 2: ("en", 0.9), 3: ("hi-Latn", 0.6)}
