@@ -25,7 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m"))
+        # written out, so that the join below has a plain exchange on either side, which adaptive execution splits where a
+        # node is the hub of many edges
+        least = durable(both.groupBy("x").agg(F.min("y").alias("m")))
         large = _pairs(both.join(least, "x").filter("y > x").select("y", F.least("x", "m").alias("m")), "y", "m")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
