@@ -181,8 +181,10 @@ def in_blocks(rows: DataFrame, key: str, counts: DataFrame, limit: int) -> DataF
 
 def candidate_families(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(node, root) of the nodes that any pruned comparison has left with a partner. nodes: (node, bands, sketch)."""
-    rows = nodes.select("node", "sketch", F.explode("bands").alias("band"))
-    counts = rows.groupBy("band").agg(F.count("*").alias("n"))
+    keys = nodes.select("node", F.explode("bands").alias("band"))
+    # most bands are a node's own: only those that two nodes share get the sketches
+    counts = durable(keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = keys.join(counts.select("band"), "band").join(nodes.select("node", "sketch"), "node").select("node", "sketch", "band")
     rows = in_blocks(rows, "band", counts, bucket_limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
