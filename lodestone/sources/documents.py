@@ -219,7 +219,7 @@ def text_record(text: Column, source: Column) -> Column:
     t = T.squeeze(text)
     sid = F.nullif(F.regexp_extract(t, IS_NUMBER, 0), F.lit(""))
     field = {k: F.nullif(T.squeeze(F.regexp_extract(t, p, 1)), F.lit("")) for k, p in TEXT_FIELDS.items()}
-    name = F.coalesce(T.normalise_id(sid) if False else F.when(sid.isNotNull(), T.normalise_id(sid)), F.upper(F.regexp_replace(F.regexp_extract(source, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")))
+    name = F.coalesce(F.when(sid.isNotNull(), T.normalise_id(sid)), F.upper(F.regexp_replace(F.regexp_extract(source, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")))
     warn = F.array_compact(F.array(F.when(sid.isNull(), F.lit("No IS number found")), F.when(field["title"].isNull(), F.lit("Title not confidently extracted"))))
     return F.struct(name.alias("standard_id"), F.coalesce(field["title"], name).alias("title"), F.coalesce(field["status"], F.lit("UNKNOWN")).alias("status"), *(field[k].alias(k) for k in ("last_amendment_date", "publication_date", "edition", "scope")), source.alias("source_artifact"), F.substring(t, 1, 5000).alias("raw_text_excerpt"), warn.alias("extraction_warnings"))
 
