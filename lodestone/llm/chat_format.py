@@ -44,28 +44,39 @@ def _get(path: str, kind: str = "string") -> str:
     return f"try_variant_get(v, '$.{path}', '{kind}')"
 
 
+EMPTY = "''"
+
+
 def _turn(role: str, text: str) -> str:
-    return f"named_struct('role', {role}, 'text', coalesce({text}, ''))"
+    return f"named_struct('role', {role}, 'text', coalesce({text}, {EMPTY}))"
+
+
+def _fixed(**texts: str) -> str:
+    """One turn for each role, in order, of a SQL expression of its text."""
+    return "array(" + ", ".join(_turn(f"'{role}'", text) for role, text in texts.items()) + ")"
 
 
-def _messages(path: str, role: str, text: str, renamed: dict[str, str] = {}) -> str:  # noqa: B006
+def _messages(path: str, role: str, text: str, renamed: dict[str, str] | None = None) -> str:
+    """The elements of an array of messages; roles may be renamed."""
     r = f"x.`{role}`"
     if renamed:
         r = "CASE " + " ".join(f"WHEN {r} = '{a}' THEN '{b}'" for a, b in renamed.items()) + f" ELSE {r} END"
-    return f"transform({_get(path, f'array<struct<`{role}`:string,`{text}`:string>>')}, x -> {_turn(f'coalesce({r}, {chr(39) * 2})', f'x.`{text}`')})"
+    array = _get(path, f"array<struct<`{role}`:string,`{text}`:string>>")
+    return f"transform({array}, x -> {_turn(f'coalesce({r}, {EMPTY})', f'x.`{text}`')})"
 
 
 SHARED_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+_WITH_INPUT = f"concat_ws(char(10), {_get('instruction')}, nullif({_get('input')}, {EMPTY}))"
 MAPPINGS = [
     Mapping("messages", {"messages": [{"role": None, "content": None}]}, _messages("messages", "role", "content")),
     Mapping("messages_empty", {"messages": [None]}, f"cast(array() as {TURNS})"),
     Mapping("conversations", {"conversations": [{"from": None, "value": None}]}, _messages("conversations", "from", "value", SHARED_ROLES)),
     Mapping("turns", {"turns": [{"speaker": None, "text": None}]}, _messages("turns", "speaker", "text", SHARED_ROLES)),
-    Mapping("prompt_response", {"prompt": None, "response": None}, f"array({_turn(repr('user'), _get('prompt'))}, {_turn(repr('assistant'), _get('response'))})"),
-    Mapping("prompt_completion", {"prompt": None, "completion": None}, f"array({_turn(repr('user'), _get('prompt'))}, {_turn(repr('assistant'), _get('completion'))})"),
-    Mapping("instruction", {"instruction": None, "output": None}, f"array({_turn(repr('user'), _get('instruction'))}, {_turn(repr('assistant'), _get('output'))})"),
-    Mapping("instruction_input", {"instruction": None, "input": None, "output": None}, f"array({_turn(repr('user'), f'concat_ws(char(10), {_get(chr(105) + "nstruction")}, nullif({_get(chr(105) + "nput")}, {chr(39) * 2}))')}, {_turn(repr('assistant'), _get('output'))})"),
-    Mapping("system_question", {"system": None, "question": None, "answer": None}, f"array({_turn(repr('system'), _get('system'))}, {_turn(repr('user'), _get('question'))}, {_turn(repr('assistant'), _get('answer'))})"),
+    Mapping("prompt_response", {"prompt": None, "response": None}, _fixed(user=_get("prompt"), assistant=_get("response"))),
+    Mapping("prompt_completion", {"prompt": None, "completion": None}, _fixed(user=_get("prompt"), assistant=_get("completion"))),
+    Mapping("instruction", {"instruction": None, "output": None}, _fixed(user=_get("instruction"), assistant=_get("output"))),
+    Mapping("instruction_input", {"instruction": None, "input": None, "output": None}, _fixed(user=_WITH_INPUT, assistant=_get("output"))),
+    Mapping("system_question", {"system": None, "question": None, "answer": None}, _fixed(system=_get("system"), user=_get("question"), assistant=_get("answer"))),
 ]
 
 
@@ -141,7 +152,8 @@ def loss_text(formatted: Column, spans: Column, template: Template = Template())
 
 
 def records_from_rows(rows: DataFrame) -> DataFrame:
-    """One record a conversation from rows by turn, in the messages layout. One conversation is one output row."""
+    """One record a conversation from rows by turn, in the messages layout. One conversation is one output row, and so is
+    bounded by what one row may hold; the exchange is by conversation, and each task sorts its own."""
     turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))
     got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     messages = F.transform("t", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["content"].alias("content")))
