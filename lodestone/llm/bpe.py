@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import UNSAFE, WORD_SPLIT, ids_and_text, map_batches, table, texts_of
 
-WORDS_KEPT, ARCS_KEPT = 200_000, 1_000_000
+WORDS_KEPT, ARCS_KEPT, PREFIXES_KEPT = 200_000, 1_000_000, 60_000
+#: Lengths of the word beginnings whose positions are kept.
+PREFIXES = (3, 6)
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,6 +54,7 @@ class Automaton:
         self.target: dict[int, int] = {}  # label -> state, 0 where it is not there
         self.parent, self.born, self.lacks = [0], [0], [(-1, -1)]
         self.table: dict[int, bool] = {}  # state << 20 | label -> whether the arc is there
+        self.prefixes: dict[str, tuple[list[int], list[int], list[int]]] = {}
         self.lacked: dict[int, dict[int, int]] = {}  # state -> label -> time of the gadget that took its arc
         cut = len(self.suffix)
         tail = lambda b: b[:-cut] if cut and b.endswith(self.suffix) else b
@@ -111,17 +114,11 @@ class Automaton:
                 return True
             bound, label = part[0], part[1]
 
-    def encode(self, word: str) -> list[int]:
-        """The ids of a word in byte letters."""
-        n, ids, target, table, reach, suffix = len(word), self.ids, self.target, self.table, self.reach, self.suffix
-        if not n:
-            return []
-        whole = ids.get(word + suffix)
-        if whole is not None:  # every label leaves the first state
-            return [whole]
-        state, last, start = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            tail = suffix if end == n else ""
+    def _advance(self, word: str, first: int, n: int, closed: bool, state: list[int], last: list[int], start: list[int]) -> None:
+        """Fills state, last and start of the positions from `first` to n; the symbol at n ends the word if it is closed."""
+        ids, target, table, reach, suffix = self.ids, self.target, self.table, self.reach, self.suffix
+        for end in range(first, n + 1):
+            tail = suffix if closed and end == n else ""
             most = reach.get(word[end - 3 if end > 3 else 0 : end] + tail, 2)
             for at in range(end - most if end > most else 0, end):
                 label = ids.get(word[at:end] + tail)
@@ -135,6 +132,37 @@ class Automaton:
                         break
             else:
                 raise ValueError(f"no path for {word!r}")
+
+    def _prefix(self, word: str, k: int) -> tuple[list[int], list[int], list[int]]:
+        """The positions of word[:PREFIXES[k]], as they are in every longer word; kept, as many words begin alike."""
+        n = PREFIXES[k]
+        head = word[:n]
+        got = self.prefixes.get(head)
+        if got is None:
+            before, done = PREFIXES[k - 1] if k else 0, ([0], [0], [0])
+            if k:
+                done = self._prefix(word, k - 1)
+            more = [0] * (n - before)
+            got = tuple(x + more for x in done)
+            self._advance(head, before + 1, n, False, *got)
+            if len(self.prefixes) >= PREFIXES_KEPT:
+                self.prefixes.clear()
+            self.prefixes[head] = got
+        return got
+
+    def encode(self, word: str) -> list[int]:
+        """The ids of a word in byte letters."""
+        n = len(word)
+        if not n:
+            return []
+        whole = self.ids.get(word + self.suffix)
+        if whole is not None:  # every label leaves the first state
+            return [whole]
+        k = 1 if n > PREFIXES[1] else 0 if n > PREFIXES[0] else -1
+        before = PREFIXES[k] if k >= 0 else 0
+        more = [0] * (n - before)
+        state, last, start = (x + more for x in (self._prefix(word, k) if k >= 0 else ([0], [0], [0])))
+        self._advance(word, before + 1, n, True, state, last, start)
         out, end = [], n
         while end:
             out.append(last[end])
@@ -158,8 +186,8 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.automaton.label.update({i: s for s, i in self.special.items()})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[str, str, int]] = {}
-        self.before: dict[str, tuple[str, str, int]] = {}
+        self.words = Words(self)
+        self.before: dict[str, tuple[str, str]] = {}
         self._library = None
 
     def split(self, text: str) -> list[str]:
@@ -173,32 +201,44 @@ class WordBpe:
         got = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(_LETTER_BYTES[c] for c in w).decode("utf-8") for w, _ in got]
 
-    def word(self, w: str) -> tuple[str, str, int]:
+    def word(self, w: str) -> tuple[str, str]:
         if len(self.words) >= WORDS_KEPT:  # two generations: words of the older one come back as they are met
-            self.before, self.words = self.words, {}
+            self.before = dict(self.words)
+            self.words.clear()
         if len(self.automaton.table) >= ARCS_KEPT:
             self.automaton.table.clear()
             self.automaton.lacked.clear()
         out = self.before.get(w)
         if out is None:
-            ids = self.automaton.encode("".join([LETTERS[b] for b in w.encode("utf-8")]))
-            out = (" ".join(map(str, ids)), self.automaton.decode(ids), len(ids))
+            ids = self.automaton.encode(w.encode("utf-8").decode("latin-1").translate(LETTERS))
+            out = (" ".join(map(str, ids)), self.automaton.decode(ids))
         self.words[w] = out
         return out
 
     def encode_text(self, text: str) -> tuple[str, str, int]:
         """(ids in decimal, decoded text, number of ids), the first two joined by spaces."""
-        ids, labels, n = [], [], 0
+        found: list[tuple[str, str]] = []
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
         for part in parts:
             if part in self.special:
-                found = [(str(self.special[part]), part, 1)]
+                found.append((str(self.special[part]), part))
             else:
-                found = [self.words.get(w) or self.word(w) for w in self.split(part)]
-            ids += [x[0] for x in found]
-            labels += [x[1] for x in found]
-            n += sum([x[2] for x in found])
-        return " ".join(ids), " ".join(labels), n
+                found += map(self.words.__getitem__, self.split(part))
+        if not found:
+            return "", "", 0
+        ids, labels = zip(*found, strict=True)
+        said = " ".join(ids)
+        return said, " ".join(labels), said.count(" ") + 1
+
+
+class Words(dict):
+    """word -> (ids in decimal, labels), each joined by spaces; a word that is not there is encoded by `bpe`."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+
+    def __missing__(self, w: str) -> tuple[str, str]:
+        return self.bpe.word(w)
 
 
 _LETTER_BYTES = {c: b for b, c in LETTERS.items()}
