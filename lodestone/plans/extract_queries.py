@@ -72,10 +72,10 @@ def html_strategy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discover_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with a table made of their number: three rows, two ids."""
-    n = F.col("page_id").cast("string")
+    """Pages with a table made of the last five digits of their number, as an id has six at most: three rows, two ids."""
+    n = (F.col("page_id") % 100_000).cast("string")
     html = F.concat(F.lit("<table><tr><td>IS "), n, F.lit(" : 2000</td><td>a</td></tr><tr><td>is  "), n, F.lit(" : 2000</td><td>b</td></tr><tr><td>IS 9"), n, F.lit("</td></tr></table>"), F.when(F.col("page_id") % 5 == 0, F.lit('<a href="?page=2">next</a>')).otherwise(F.lit("")))
-    return extract.discovered_ids(table(spark, sf, "pages").filter("page_id < 100000").select("page_id", html.alias("html")))
+    return extract.discovered_ids(table(spark, sf, "pages").select("page_id", html.alias("html")))
 
 
 def page_methods(spark: SparkSession, sf: str) -> DataFrame:
