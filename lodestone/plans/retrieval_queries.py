@@ -24,6 +24,13 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.knn(q, v.select("vec_id", F.col("embedding").alias("v")), 20).select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
 
 
+def knn_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As knn_topk, whose SQL fixes its queries to the first fifty ids; here every vec_id divisible by 50 asks."""
+    v = table(spark, sf, "embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return R.knn_in_blocks(q, v.select("vec_id", F.col("embedding").alias("v")), 20).select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
+
+
 def _second_list(spark: SparkSession, sf: str) -> DataFrame:
     """A ranking by shared meaningful words, in place of the dense one."""
     q = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.meaningful_terms(F.col("text")))).alias("w"))
@@ -148,4 +155,5 @@ SELECT COUNT(*) AS n, round(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) A
 t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <> 0 THEN ', page ' || (doc_id % 3) ELSE '' END) || (CASE WHEN lang = 'de' THEN ' [OCR]' ELSE '' END) AS citation FROM c JOIN documents USING (doc_id))
 SELECT query AS item_id, citation, row_number() OVER (PARTITION BY query ORDER BY MIN(seen)) AS place FROM t GROUP BY query, citation""",
 }
-QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, rrf_fuse, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}
+SQL["knn_topk_all"] = SQL["knn_topk"].replace("vec_id < 50", "vec_id % 50 = 0")
+QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_topk_all, rrf_fuse, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}

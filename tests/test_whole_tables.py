@@ -1,5 +1,6 @@
 """Registered queries read whole tables: small tables made here, with rows beyond the bounds that queries once had."""
 
+from lodestone.operators import retrieval as R
 from lodestone.plans import registry
 
 
@@ -12,3 +13,17 @@ def test_discover_ids_of_every_page(spark, tmp_path):
     write(spark, tmp_path, "pages", [(i, "u", "<p>") for i in pages], "page_id long, url string, html string")
     got = sorted((r.page_id, r.standard_id, r.complete) for r in registry.QUERIES["discover_ids"](spark, str(tmp_path)).collect())
     assert got == sorted((i, x, i % 5 != 0) for i in pages for x in (f"IS {i % 100_000} : 2000", f"IS 9{i % 100_000}"))
+
+
+def test_knn_asks_every_fiftieth_vector(spark, tmp_path):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], 0) for i in range(205)]
+    write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    got = registry.QUERIES["knn_topk_all"](spark, str(tmp_path)).collect()
+    assert {r.query for r in got} == {0, 50, 100, 150, 200} and len(got) == 5 * 20
+    assert all(r.vec_id == 2 * (r["rank"] - 1) and r.distance == 0 for r in got)
+
+
+def test_knn_in_blocks_equals_one_batch(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, v array<float>")
+    q = v.filter("vec_id % 3 = 0").select(v.vec_id.alias("query"), v.v.alias("q"))
+    assert sorted(R.knn_in_blocks(q, v, 4, 10).collect()) == sorted(R.knn(q, v, 4).collect())
