@@ -181,7 +181,7 @@ def recommendations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").filter("conv_id % 10 = 0").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n\n").alias("text"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n\n").alias("text"))
     merged, _ = answer.recommend_from_document(c.select(F.col("conv_id").alias("request"), "text"), _corpus(spark, sf))
     return merged.select(F.col("request").alias("conv_id"), "owner", "passage_hits", "rank")
 

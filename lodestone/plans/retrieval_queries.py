@@ -64,6 +64,14 @@ def merge_passages(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.col("request").alias("conv_id"), F.col("owner").alias("source"), F.round("best_score", 4).alias("best_score"), "passage_hits", F.round("score", 4).alias("score"), "rank")
 
 
+def merge_passages_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As merge_passages, whose SQL fixes it to a tenth of the conversations and three turns; here all of both."""
+    c = table(spark, sf, "conversations").select(F.struct(F.col("conv_id").alias("request"), F.col("turn").alias("passage")).alias("pid"), "text")
+    hits = R.bm25(c, table(spark, sf, "documents"), 20, query="pid", fill=False).join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner")), "doc")
+    m = R.merge_passages(R.group_by_owner(hits, 4).select("query.request", "query.passage", "owner", "best_score", "chunks"))
+    return m.select(F.col("request").alias("conv_id"), F.col("owner").alias("source"), F.round("best_score", 4).alias("best_score"), "passage_hits", F.round("score", 4).alias("score"), "rank")
+
+
 NEEDS = [(1, "small ring for gear"), (2, "red widget and bolt"), (3, "economy large valve"), (4, "polished zzgizmo"), (5, "the supply of material")]
 
 
@@ -156,4 +164,4 @@ t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <>
 SELECT query AS item_id, citation, row_number() OVER (PARTITION BY query ORDER BY MIN(seen)) AS place FROM t GROUP BY query, citation""",
 }
 SQL["knn_topk_all"] = SQL["knn_topk"].replace("vec_id < 50", "vec_id % 50 = 0")
-QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_topk_all, rrf_fuse, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}
+QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_topk_all, rrf_fuse, merge_passages, merge_passages_all, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}

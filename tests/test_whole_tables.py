@@ -27,3 +27,25 @@ def test_knn_in_blocks_equals_one_batch(spark):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, v array<float>")
     q = v.filter("vec_id % 3 = 0").select(v.vec_id.alias("query"), v.v.alias("q"))
     assert sorted(R.knn_in_blocks(q, v, 4, 10).collect()) == sorted(R.knn(q, v, 4).collect())
+
+
+def test_every_conversation_and_turn_is_answered(spark, tmp_path):
+    """Conversation 10 as before, 11 beside it, and words that only turn 7 of conversation 150 has."""
+    said = [(10, 0, "red gear"), (11, 0, "red gear"), (150, 0, "nothing"), (150, 7, "blue valve"), (150, 150, "green pump")]
+    write(spark, tmp_path, "conversations", [(c, t, "user", x) for c, t, x in said], "conv_id long, turn long, role string, text string")
+    docs = [(1, "red gear of steel", "src1"), (2, "blue valve of brass", "src2"), (3, "green pump of iron", "src3"), (4, "other words here", "src4")]
+    write(spark, tmp_path, "documents", [(i, x, "en", s, len(x)) for i, x, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.conv_id, r.source, r.passage_hits) for r in registry.QUERIES["merge_passages_all"](spark, str(tmp_path)).collect()}
+    assert got == {(10, "src1", 1), (11, "src1", 1), (150, "src2", 1), (150, "src3", 1)}
+    asked = {r.conv_id for r in registry.QUERIES["document_recommendations"](spark, str(tmp_path)).collect()}
+    assert asked == {10, 11, 150}
+
+
+def test_whole_passages_hold_those_of_the_bounded_query(spark, tmp_path):
+    """With no turn from the fourth on, conversations of number divisible by ten get what merge_passages gives."""
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/conversations.parquet").filter("turn < 3").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    want = registry.QUERIES["merge_passages"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["merge_passages_all"](spark, str(tmp_path)).collect()
+    assert want and sorted(map(repr, want)) == sorted(repr(r) for r in got if r.conv_id % 10 == 0)
