@@ -59,36 +59,50 @@ def link_extract(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("page_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("text"))
 
 
-def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, manifest, chunks) with every case of the decision table."""
+def _files(spark: SparkSession, sf: str, bounded: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, manifest, chunks) with every case of the decision table. `bounded`: only the keys that the SQL fixes; key
+    arithmetic alone gives every case too (no chunks: k % 23 = 0, no manifest row: k % 3 = 1)."""
+    below = lambda k, n: F.col(k) < n if bounded else F.lit(True)
     sha = lambda k: F.sha2(F.concat(F.lit("file"), k.cast("string")), 256)
-    p = table(spark, sf, "part").filter("p_partkey < 700").select(F.col("p_partkey").alias("k"))
+    p = table(spark, sf, "part").filter(below("p_partkey", 700)).select(F.col("p_partkey").alias("k"))
     files = p.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), sha(F.col("k")).alias("sha256"))
-    li = table(spark, sf, "lineitem").filter("l_partkey < 650 and l_partkey % 23 <> 0").select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber")
+    li = table(spark, sf, "lineitem").filter(below("l_partkey", 650) & (F.col("l_partkey") % 23 != 0)).select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber")
     n = li.groupBy("k").agg(F.count("*").alias("n"))
     c = li.join(n, "k")
     stamp = F.when((F.col("k") % 5 == 0) | ((F.col("k") % 7 == 0) & (F.col("l_linenumber") == 1)), F.lit(None)).when(F.col("k") % 11 == 0, F.lit("old")).otherwise(sha(F.col("k")))
     chunks = c.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), stamp.alias("source_sha256"), (F.col("n") + F.when(F.col("k") % 13 == 0, 1).otherwise(0)).cast("int").alias("source_chunks"))
-    m = p.filter("k < 690 and k % 3 <> 1").join(n, "k", "left")
+    m = p.filter(below("k", 690) & (F.col("k") % 3 != 1)).join(n, "k", "left")
     manifest = m.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), F.when(F.col("k") % 17 == 0, F.lit("other")).otherwise(sha(F.col("k"))).alias("sha256"), (F.coalesce("n", F.lit(3)) + F.when(F.col("k") % 19 == 0, 1).otherwise(0)).alias("chunks"))
     return files, manifest, chunks
 
 
-def index_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return inc.inventory(_files(spark, sf)[2]).select("source", "n_chunks", "n_stamped", F.size("hashes").cast("long").alias("n_hashes"))
+def index_inventory(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
+    return inc.inventory(_files(spark, sf, bounded)[2]).select("source", "n_chunks", "n_stamped", F.size("hashes").cast("long").alias("n_hashes"))
 
 
-def ingest_decision(spark: SparkSession, sf: str) -> DataFrame:
-    files, manifest, chunks = _files(spark, sf)
+def index_inventory_all(spark: SparkSession, sf: str) -> DataFrame:
+    return index_inventory(spark, sf, bounded=False)
+
+
+def ingest_decision(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
+    files, manifest, chunks = _files(spark, sf, bounded)
     return inc.ingest_decision(files, manifest, inc.inventory(chunks)).select("source", "n_chunks", "decision", "reason")
 
 
-def gone_files(spark: SparkSession, sf: str) -> DataFrame:
-    files, manifest, chunks = _files(spark, sf)
+def ingest_decision_all(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest_decision(spark, sf, bounded=False)
+
+
+def gone_files(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
+    files, manifest, chunks = _files(spark, sf, bounded)
     present = files.filter(F.substring("source", -1, 1) != "4").select("source")
     return inc.gone_files(inc.inventory(chunks), manifest, present)
 
 
+def gone_files_all(spark: SparkSession, sf: str) -> DataFrame:
+    return gone_files(spark, sf, bounded=False)
+
+
 def stale_chunks(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     new = li.filter("l_shipdate < timestamp_ntz'1999-01-01'")
@@ -224,7 +238,9 @@ FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING
     "history_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, key) AS place FROM (SELECT user_id, event_type || '::' || props AS key, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type || '::' || props ORDER BY ts) = 1) QUALIFY place <= 10",
     "ttl_cache": "SELECT event_id, key, age_hours, COALESCE(age_hours <= 24, FALSE) AS hit FROM (SELECT event_id, key, round((s - lag(s) OVER (PARTITION BY key ORDER BY s, event_id)) / 3.6e9, 4) AS age_hours FROM (SELECT event_id, substr(sha256(lower(trim(event_type || ' ' || props))), 1, 16) AS key, epoch_us(ts) AS s FROM events))",
 }
+_F_ALL = _F.replace(" WHERE p_partkey < 700", "").replace("l_partkey < 650 AND ", "").replace("k < 690 AND ", "")
+SQL |= {f"{k}_all": SQL[k].replace(_F, _F_ALL) for k in ("index_inventory", "ingest_decision", "gone_files")}
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, index_inventory_all, ingest_decision, ingest_decision_all, gone_files, gone_files_all, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
 }

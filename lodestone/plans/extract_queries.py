@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import answer, decide, extract, graph, incremental as inc, market
 from ..sources import documents as D
 from ..sources import tables as S
-from .change_queries import _F, _R, _files, _resolved
+from .change_queries import _F, _F_ALL, _R, _files, _resolved
 from .common import table
 
 
@@ -120,12 +120,16 @@ def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return inc.upsert_chunks(old, new).groupBy("run").agg(F.count("*").alias("n"))
 
 
-def manifest_repair(spark: SparkSession, sf: str) -> DataFrame:
-    files, manifest, chunks = _files(spark, sf)
+def manifest_repair(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
+    files, manifest, chunks = _files(spark, sf, bounded)
     decided = inc.ingest_decision(files, manifest, inc.inventory(chunks))
     return inc.repaired_manifest(decided, manifest).select("source", "sha256", "chunks")
 
 
+def manifest_repair_all(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest_repair(spark, sf, bounded=False)
+
+
 def edge_labels(spark: SparkSession, sf: str) -> DataFrame:
     e = _resolved(spark, sf)
     return e.select("edge_no", I.edge_label(F.col("resolved_id"), F.col("to_number"), F.col("to_part"), F.col("cited_year")).alias("label"))
@@ -217,7 +221,8 @@ f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY
     "verify_categories": "SELECT p_name || ' ' || p_partkey AS name, p_partkey % 3 <> 0 AS live, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN 'p_size' END AS changed FROM part",
     "graph_edges": stated(["to_number", "resolved_id", "edition_note", "rank"], [("456", "IS 456 : 2016", "cites 2000, holds 2016", 1), ("1199", None, None, 2), ("383", "IS 383 : 1970", None, 3), ("2", None, None, 4)]),
 }
+SQL["manifest_repair_all"] = SQL["manifest_repair"].replace(_F, _F_ALL)
 QUERIES = {
     f.__name__: f
-    for f in (category_parse, reference_extract, html_strategy, discover_ids, page_methods, page_summary, chunk_pages, passage_pack, chunk_metadata, language_route, chunk_upsert, manifest_repair, edge_labels, allied_list, search_ladder, option_labels, verify_categories, recommendations, document_recommendations, graph_edges)
+    for f in (category_parse, reference_extract, html_strategy, discover_ids, page_methods, page_summary, chunk_pages, passage_pack, chunk_metadata, language_route, chunk_upsert, manifest_repair, manifest_repair_all, edge_labels, allied_list, search_ladder, option_labels, verify_categories, recommendations, document_recommendations, graph_edges)
 }

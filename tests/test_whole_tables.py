@@ -49,3 +49,17 @@ def test_whole_passages_hold_those_of_the_bounded_query(spark, tmp_path):
     want = registry.QUERIES["merge_passages"](spark, str(tmp_path)).collect()
     got = registry.QUERIES["merge_passages_all"](spark, str(tmp_path)).collect()
     assert want and sorted(map(repr, want)) == sorted(repr(r) for r in got if r.conv_id % 10 == 0)
+
+
+def test_files_of_every_part(spark, tmp_path):
+    """Parts beyond the bounds of the SQL (650, 690, 700), with every case of the decision table among them."""
+    parts = range(600, 2_000)
+    write(spark, tmp_path, "part", [(k,) for k in parts], "p_partkey long")
+    write(spark, tmp_path, "lineitem", [(k, 10 * k + j, j) for k in parts for j in (1, 2)], "l_partkey long, l_orderkey long, l_linenumber int")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.source for r in run("index_inventory_all")} == {f"f{k}" for k in parts if k % 23}
+    decided = run("ingest_decision_all")
+    assert {r.source for r in decided} == {f"f{k}" for k in parts}
+    assert {r.reason for r in decided if int(r.source[1:]) >= 700} == {"mixed", "changed", "interrupted", "unchanged", "unlisted", "new", "missing"}
+    assert {r.source for r in run("gone_files_all")} == {f"f{k}" for k in parts if k % 10 == 4 and (k % 23 or k % 3 != 1)}
+    assert {r.source for r in run("manifest_repair_all")} >= {f"f{k}" for k in parts if k % 3 != 1}
