@@ -34,6 +34,13 @@ def citation_chain(spark: SparkSession, sf: str) -> DataFrame:
     return graph.walk(roots, e, 3).select("root", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+def citation_chain_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As citation_chain, whose SQL fixes its roots to parts below 40; here every part is one."""
+    e = graph.outgoing(_edges(spark, sf), "medium", 6).select("src", "dst")
+    roots = table(spark, sf, "part").select(F.col("p_partkey").alias("root"))
+    return graph.walk(roots, e, 3).select("root", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf).select("edge_no", F.col("dst").cast("string").alias("to_number"), F.when(F.col("dst") % 2 == 0, (F.col("dst") % 5).cast("string")).alias("to_part"), F.lit(None).cast("string").alias("to_section"), (F.lit(2000) + F.col("edge_no") % 3).cast("string").alias("cited_year"))
     p = table(spark, sf, "part").filter("p_partkey % 10 <> 3")
@@ -238,9 +245,10 @@ FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING
     "history_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, key) AS place FROM (SELECT user_id, event_type || '::' || props AS key, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type || '::' || props ORDER BY ts) = 1) QUALIFY place <= 10",
     "ttl_cache": "SELECT event_id, key, age_hours, COALESCE(age_hours <= 24, FALSE) AS hit FROM (SELECT event_id, key, round((s - lag(s) OVER (PARTITION BY key ORDER BY s, event_id)) / 3.6e9, 4) AS age_hours FROM (SELECT event_id, substr(sha256(lower(trim(event_type || ' ' || props))), 1, 16) AS key, epoch_us(ts) AS s FROM events))",
 }
+SQL["citation_chain_all"] = SQL["citation_chain"].replace(" WHERE p_partkey < 40", "")
 _F_ALL = _F.replace(" WHERE p_partkey < 700", "").replace("l_partkey < 650 AND ", "").replace("k < 690 AND ", "")
 SQL |= {f"{k}_all": SQL[k].replace(_F, _F_ALL) for k in ("index_inventory", "ingest_decision", "gone_files")}
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, index_inventory_all, ingest_decision, ingest_decision_all, gone_files, gone_files_all, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, citation_chain_all, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, index_inventory_all, ingest_decision, ingest_decision_all, gone_files, gone_files_all, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
 }

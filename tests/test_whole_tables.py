@@ -63,3 +63,9 @@ def test_files_of_every_part(spark, tmp_path):
     assert {r.reason for r in decided if int(r.source[1:]) >= 700} == {"mixed", "changed", "interrupted", "unchanged", "unlisted", "new", "missing"}
     assert {r.source for r in run("gone_files_all")} == {f"f{k}" for k in parts if k % 10 == 4 and (k % 23 or k % 3 != 1)}
     assert {r.source for r in run("manifest_repair_all")} >= {f"f{k}" for k in parts if k % 3 != 1}
+
+
+def test_every_part_is_walked_from(spark, tmp_path):
+    write(spark, tmp_path, "part", [(k,) for k in range(100)], "p_partkey long")
+    got = registry.QUERIES["citation_chain_all"](spark, str(tmp_path)).collect()
+    assert {r.root for r in got if r.depth == 0} == set(range(100)) and {r.root for r in got if r.depth == 3} > {41, 99}
