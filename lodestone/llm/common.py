@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Capitals up to ɏ whose small letters come after it, and so would not be letters to the rules below.
+_LOWERED_BEYOND = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
+
 #: Characters on which Python's `re` and `str.lower` agree with the tokenizers library; other texts go to the library whole.
-UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e¡¿À-įı-ɏ]")
+UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e¡¿À-į" + "".join(c for c in map(chr, range(ord("ı"), ord("ɏ") + 1)) if c not in _LOWERED_BEYOND) + "]")
 
 #: The letters among the other characters, and the rules below on them alone: explicit ranges are matched fastest.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
