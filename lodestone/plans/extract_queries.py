@@ -12,6 +12,7 @@ from ..sources import documents as D
 from ..sources import tables as S
 from .change_queries import _F, _F_ALL, _R, _files, _resolved
 from .common import table
+from .retrieval_queries import _categories
 
 
 def _sql_value(x: object) -> str:
@@ -198,6 +199,49 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.outgoing(r, "low", source="doc").select("to_number", "resolved_id", "edition_note", "rank")
 
 
+def category_parse_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's name, with a version and a standard made of its size and the last six digits of its key."""
+    name = F.concat(F.concat_ws(" ", "p_name", "p_type"), F.lit(" (V"), F.col("p_size").cast("string"), F.lit(") Conforming To IS "), (F.col("p_partkey") % 1_000_000).cast("string"))
+    c = table(spark, sf, "part").select("p_partkey", I.parse_category(name).alias("c")).select("p_partkey", "c.*")
+    keys = F.array_join(F.transform("standards", lambda s: I.standard_key(s["doc_type"], s["number"], s["part"], s["section"])), ";")
+    return c.select("p_partkey", "name", "product_name", keys.alias("standard_keys"), "version", "listing_tag", "certification")
+
+
+def _references(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return extract.references(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text", none.alias("self_number"), none.alias("self_part")))
+
+
+def reference_extract_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The citations in every document, each a page."""
+    return _references(spark, sf).select("doc", *REFERENCE_FIELDS)
+
+
+def html_strategy_all(spark: SparkSession, sf: str) -> DataFrame:
+    """What every page's HTML names, by strategy."""
+    return extract.html_categories(table(spark, sf, "pages").select("page_id", "html")).groupBy("page_id", "found_by").agg(F.count("*").alias("n"))
+
+
+def search_ladder_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches of every benchmark row, against the words of all categories."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return market.search_ladder(q, market.vocabulary(_categories(spark, sf))).select("query_id", F.array_join("ladder", "|").alias("ladder"))
+
+
+def option_labels_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's name as a title."""
+    t = table(spark, sf, "part").select(F.concat(F.lit("IS "), F.col("p_partkey").cast("string")).alias("standard_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    return t.select("standard_id", extract.short_label(F.col("standard_id"), F.col("title")).alias("label"), extract.aspect_phrase(F.array().cast("array<string>"), F.col("title")).alias("aspect"))
+
+
+def graph_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The outgoing edges of every document; each part is a held standard of its key."""
+    number, none = F.col("p_partkey").cast("string"), F.lit(None).cast("string")
+    held = table(spark, sf, "part").select(F.concat(F.lit("IS "), number, F.lit(" : 2001")).alias("standard_id"), number.alias("number"), none.alias("part"), none.alias("section"), F.lit("2001").alias("year"), F.col("p_partkey").alias("position"))
+    r = graph.resolve(_references(spark, sf).withColumn("edge_no", F.struct(F.col("to_number").cast("long"), "to_part", "to_section")), held)
+    return graph.outgoing(r, "low", source="doc").select("doc", "to_number", "resolved_id", "edition_note", "rank")
+
+
 _PAGES = """SELECT doc_id AS page, source AS filename, CASE WHEN doc_id % 3 = 0 AND length(trim(substr(text, 1, 10))) < 200 AND length(s) > length(trim(substr(text, 1, 10))) THEN 'ocr' WHEN doc_id % 3 <> 0 AND length(s) < 200 AND FALSE THEN 'ocr' ELSE 'text' END AS m0, s, trim(substr(text, 1, 10)) AS cut
 FROM (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\\s*\n\\s*\n+', chr(10) || chr(10), 'g')) AS s FROM documents)"""
 _METHODS = f"SELECT page, filename, CASE WHEN page % 7 = 0 THEN 'legacy-font' ELSE m0 END AS method, page % 7 = 0 AS legacy_font, CAST(length(CASE WHEN page % 3 = 0 AND m0 = 'text' THEN cut ELSE s END) AS BIGINT) AS chars FROM ({_PAGES})"
@@ -224,5 +268,5 @@ f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY
 SQL["manifest_repair_all"] = SQL["manifest_repair"].replace(_F, _F_ALL)
 QUERIES = {
     f.__name__: f
-    for f in (category_parse, reference_extract, html_strategy, discover_ids, page_methods, page_summary, chunk_pages, passage_pack, chunk_metadata, language_route, chunk_upsert, manifest_repair, manifest_repair_all, edge_labels, allied_list, search_ladder, option_labels, verify_categories, recommendations, document_recommendations, graph_edges)
+    for f in (category_parse, reference_extract, html_strategy, discover_ids, page_methods, page_summary, chunk_pages, passage_pack, chunk_metadata, language_route, chunk_upsert, manifest_repair, manifest_repair_all, edge_labels, allied_list, search_ladder, option_labels, verify_categories, recommendations, document_recommendations, graph_edges, category_parse_all, reference_extract_all, html_strategy_all, search_ladder_all, option_labels_all, graph_edges_all)
 }

@@ -98,6 +98,28 @@ def unknown_terms(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(market.vocabulary(_categories(spark, sf)), "word", "left_anti")
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def idf_keyword_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As idf_keyword_match, whose SQL fixes its needs to the five NEEDS; here every benchmark row asks."""
+    return market.idf_match(_asked(spark, sf), _categories(spark, sf), 15).select("query", "category", F.round("score", 4).alias("score"), "hits", "rank")
+
+
+def suggest_categories_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark row asks; exact hits are the categories whose whole name its text holds."""
+    words = market.idf_match(_asked(spark, sf), _categories(spark, sf), 15)
+    held = _asked(spark, sf).join(_categories(spark, sf), F.lower("text").contains(F.lower("category")))
+    exact = R.ranked(held.select(F.col("query_id").alias("query"), "category"), ["query"], [F.asc("category")], name="position")
+    return market.suggest(exact, words).select("query", "category", "tier", F.round("score", 1).alias("score"), "rank")
+
+
+def unknown_terms_all(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _asked(spark, sf).select("query_id", F.explode(F.array_distinct(T.query_terms(F.col("text")))).alias("word"))
+    return asked.join(market.vocabulary(_categories(spark, sf)), "word", "left_anti")
+
+
 def eval_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Expected: the source of the document that holds the item's text best by id; measured on the ranked sources."""
     want = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner"))
@@ -164,4 +186,6 @@ t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <>
 SELECT query AS item_id, citation, row_number() OVER (PARTITION BY query ORDER BY MIN(seen)) AS place FROM t GROUP BY query, citation""",
 }
 SQL["knn_topk_all"] = SQL["knn_topk"].replace("vec_id < 50", "vec_id % 50 = 0")
-QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_topk_all, rrf_fuse, merge_passages, merge_passages_all, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}
+_NEEDED = _IDF[: _IDF.index(", cat AS")]
+SQL |= {f"{k}_all": SQL[k].replace(_NEEDED, "\nneeds AS (SELECT item_id AS query, text FROM benchmark)") for k in ("idf_keyword_match", "unknown_terms")}
+QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_topk_all, rrf_fuse, merge_passages, merge_passages_all, idf_keyword_match, idf_keyword_match_all, suggest_categories, suggest_categories_all, unknown_terms, unknown_terms_all, eval_recall, source_citations)}

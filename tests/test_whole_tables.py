@@ -1,6 +1,7 @@
 """Registered queries read whole tables: small tables made here, with rows beyond the bounds that queries once had."""
 
 from lodestone.operators import retrieval as R
+from lodestone.plans import extract_queries as E
 from lodestone.plans import registry
 
 
@@ -69,3 +70,22 @@ def test_every_part_is_walked_from(spark, tmp_path):
     write(spark, tmp_path, "part", [(k,) for k in range(100)], "p_partkey long")
     got = registry.QUERIES["citation_chain_all"](spark, str(tmp_path)).collect()
     assert {r.root for r in got if r.depth == 0} == set(range(100)) and {r.root for r in got if r.depth == 3} > {41, 99}
+
+
+def test_extractors_read_the_tables(spark, tmp_path):
+    """The worked pages and needs as rows of the tables, beside rows of other texts."""
+    write(spark, tmp_path, "documents", [(n, x) for n, x in E.REFERENCE_PAGES] + [(9, "As said in IS 7 : 2001 about gear wheels")], "doc_id long, text string")
+    write(spark, tmp_path, "pages", [(i, h) for i, h, _, _ in E.HTML_CASES], "page_id long, html string")
+    parts = [(7, "red gear", "SMALL", 3), (1_000_456, "blue valve", "LARGE", 4)]
+    write(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_type string, p_size int")
+    write(spark, tmp_path, "benchmark", [(1, "a red gear small zzgizmo"), (2, "blue valve")], "item_id long, text string")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.doc, r.to_number) for r in run("reference_extract_all")} >= {(2, "1199"), (2, "383"), (3, "2"), (9, "7")}
+    assert {(r.page_id, r.found_by, r.n) for r in run("html_strategy_all")} == {(i, s, n) for i, _, s, n in E.HTML_CASES}
+    assert {(r.p_partkey, r.standard_keys, r.version) for r in run("category_parse_all")} == {(7, "IS|7||", "V3"), (1_000_456, "IS|456||", "V4")}
+    assert {(r.doc, r.resolved_id) for r in run("graph_edges_all") if r.resolved_id} == {(9, "IS 7 : 2001")}
+    assert {r.standard_id for r in run("option_labels_all")} == {"IS 7", "IS 1000456"}
+    assert {r.query_id for r in run("search_ladder_all")} == {1, 2}
+    assert {(r.query, r.category, r["rank"]) for r in run("idf_keyword_match_all")} == {(1, "red gear SMALL", 1), (2, "blue valve LARGE", 1)}
+    assert {(r.query, r.category, r.tier) for r in run("suggest_categories_all")} == {(1, "red gear SMALL", 0), (2, "blue valve LARGE", 1)}
+    assert ("zzgizmo" in {r.word for r in run("unknown_terms_all")})
