@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Bytes from which a record that does not parse fails the query, as it may be too large for Spark's variant (128 MiB) and not malformed.
+LOUD_FROM = 16 << 20
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -89,7 +92,9 @@ def canonical_turns(records: DataFrame, json: str = "record", mappings: list[Map
     """Adds layout, fingerprint and turns to records of JSON text; unknown layouts get nulls."""
     import hashlib
 
-    df = records.withColumn("v", F.try_parse_json(F.col(json))).withColumn("fingerprint", fingerprint(F.col("v")))
+    large = F.octet_length(F.col(json)) > LOUD_FROM
+    v = F.when(large, F.parse_json(F.col(json))).otherwise(F.try_parse_json(F.col(json)))
+    df = records.withColumn("v", v).withColumn("fingerprint", fingerprint(F.col("v")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
         hit = F.col("fingerprint") == hashlib.sha256(shape_string(m.shape).encode()).hexdigest()
@@ -153,7 +158,7 @@ def loss_text(formatted: Column, spans: Column, template: Template = Template())
 
 def records_from_rows(rows: DataFrame) -> DataFrame:
     """One record a conversation from rows by turn, in the messages layout. One conversation is one output row, and so is
-    bounded by what one row may hold; the exchange is by conversation, and each task sorts its own."""
+    bounded by what one row may hold, and by the 128 MiB of a variant, beyond which it fails; the exchange is by conversation, and each task sorts its own."""
     turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))
     got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     messages = F.transform("t", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["content"].alias("content")))

@@ -1,0 +1,13 @@
+"""A chat record too large for a variant."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import chat_format
+
+
+def test_a_record_beyond_a_variant_fails(spark):
+    text = F.repeat(F.lit("a"), F.lit(140_000_000))
+    big = spark.range(1).select(F.concat(F.lit('{"instruction": "x", "output": "'), text, F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|VARIANT_SIZE_LIMIT"):
+        chat_format.canonical_turns(big).select("layout").collect()
