@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Capitals up to ɏ whose small letters come after it, and so would not be letters to the rules below.
@@ -28,14 +28,17 @@ WORD_SPLIT = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_L}]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir named. Only a local
+    session without either gets a temporary folder; on a cluster that is an error."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -70,13 +73,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
-def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str, rows: int = 512) -> DataFrame:
-    """As map_batches, but every column of df stays and `added` come after them (in place of columns of the same names)."""
-    from pyspark.sql.types import StructType
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str, rows: int = 512, prefix: str = "") -> DataFrame:
+    """As map_batches, but every column of df stays and `added` come after them, their names after `prefix`. A column of
+    df with one of those names (in any case) is replaced; callers that must keep theirs pass a prefix."""
+    from pyspark.sql.types import StructField, StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     new = StructType.fromDDL(added)
-    old = [f for f in df.schema.fields if f.name not in new.fieldNames()]
+    taken = {(prefix + n).lower() for n in new.fieldNames()}
+    old = [f for f in df.schema.fields if f.name.lower() not in taken]
     out, names = to_arrow_schema(new), [f.name for f in old]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +95,33 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
             for k in range(0, b.num_rows, rows):
                 part = b.slice(k, rows)
                 got = f(part)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *(pa.array(got[x.name], x.type) for x in out)], names=[*names, *out.names])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *(pa.array(got[x.name], x.type) for x in out)], names=[*names, *(prefix + n for n in out.names)])
+
+    return df.mapInArrow(run, StructType(old + [StructField(prefix + f.name, f.dataType) for f in new.fields]))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once; a lambda's body would work out again whatever expression it holds."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of bigint what `fold` (associative, 0 its neutral value: sums, maxima of positive
+    numbers) makes of all elements before it. Folded inside blocks, then over them, as a fold that grows an array copies it at each step."""
+    block = 128
+
+    def scan(xs: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, first, lambda a, x: F.struct(fold(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / block).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: scan(F.slice(v, i * block + 1, F.lit(block))))
+
+    def joined(s: Column, tops: Column) -> Column:
+        return F.flatten(F.zip_with(s, tops, lambda x, t: F.transform(x["out"], lambda y: fold(t, y))))
 
-    return df.mapInArrow(run, StructType(old + new.fields))
+    return let(values, lambda v: let(blocks(v), lambda s: let(scan(F.transform(s, lambda x: x["at"]))["out"], lambda tops: joined(s, tops))))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
