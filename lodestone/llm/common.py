@@ -86,18 +86,20 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
     new = StructType.fromDDL(added)
     taken = {(prefix + n).lower() for n in new.fieldNames()}
-    old = [f for f in df.schema.fields if f.name.lower() not in taken]
-    out, names = to_arrow_schema(new), [f.name for f in old]
+    kept = [(i, f) for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    out, names = to_arrow_schema(new), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
             for k in range(0, b.num_rows, rows):
                 part = b.slice(k, rows)
-                got = f(part)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *(pa.array(got[x.name], x.type) for x in out)], names=[*names, *(prefix + n for n in out.names)])
+                got = f(pa.RecordBatch.from_arrays(part.columns, names=names))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i, _ in kept), *(pa.array(got[x.name], x.type) for x in out)], names=[f"c{i}" for i in range(len(kept) + len(out))])
 
-    return df.mapInArrow(run, StructType(old + [StructField(prefix + f.name, f.dataType) for f in new.fields]))
+    # plain names on the way through, as Python maps take no others
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate([*(f for _, f in kept), *new.fields])])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, plain).toDF(*(f.name for _, f in kept), *(prefix + n for n in new.fieldNames()))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

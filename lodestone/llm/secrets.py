@@ -5,9 +5,12 @@ MODEL_LENGTH key characters is scored by two first-order Markov models over thos
 one of ordinary identifiers; a log-likelihood ratio above the thresholds, in all and a character, makes it a span of
 kind `model`. The models are counted from labelled samples with add-one smoothing: at most 2 * 66**2 counts reach the driver.
 
-Positions come from splitting the text at its matches, so all of a text is scanned, whatever its length. Nulls: a null
-text is empty and has no spans. Empty tables give no rows (the models then know the random samples alone, and are not
-used). Repeated rows get the same spans.
+Positions come from splitting the text at its matches, so all of a text is scanned, whatever its length; the work is
+linear in the text and its spans (sorting aside), as positions are running sums and nothing tests all spans against all.
+
+Edge cases: a null text is empty and has no spans. Empty tables give no rows (the models then know the random samples
+alone, and are not used). Repeated rows get the same spans; spans that begin together are ordered by kind. base_spans
+and all_spans (after `prefix`) replace columns of df of these names; all others stay.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, table
+from .common import durable, ids_and_text, let, running, table
 
 #: Kind -> (pattern, the group whose length counts, the least length), in the order of the kinds.
 BASE = {
@@ -34,8 +37,10 @@ MODEL_PATTERN = rf"[A-Za-z0-9+/=_]{{{MODEL_LENGTH},}}"
 LEAST_TOTAL, LEAST_MEAN = 14.0, 0.5
 #: Bounds of the labelled samples: random strings made, and documents whose words are the ordinary identifiers.
 RANDOM_SAMPLES, IDENTIFIER_DOCUMENTS = 3000, 400
+#: Words that are joined to one identifier in camel case.
+JOINED = 8
 
-SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,match:string>>"
+SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,match:string,byte_start:bigint,byte_end:bigint>>"
 
 
 def spans(text: Column, kind: str, kind_no: int, pattern: str, gate: str, group: int = 0, least: int = 0) -> Column:
@@ -43,18 +48,20 @@ def spans(text: Column, kind: str, kind_no: int, pattern: str, gate: str, group:
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     sizes = F.transform(F.regexp_extract_all(text, p, F.lit(group)) if group else found, lambda g: F.length(g))
-    before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    rows = F.zip_with(F.zip_with(before, found, lambda a, m: F.struct(F.length(a).cast("long").alias("gap"), m.alias("match"))), sizes, lambda x, n: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), n.alias("n")))
-    none = F.array().cast(SPAN)
+    before = lambda m: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
+    rows = lambda m: F.arrays_zip(before(m).alias("gap"), m.alias("match"), sizes.alias("n"))
+
+    def placed(rows: Column) -> Column:
+        ends = lambda size: running(F.transform(rows, lambda x: (size(x["gap"]) + size(x["match"])).cast("long")), lambda a, b: a + b)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        def span(x: Column, at: Column) -> Column:
+            start, byte = at["c"] + F.length(x["gap"]), at["b"] + F.octet_length(x["gap"])
+            return F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), (start + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"), byte.alias("byte_start"), (byte + F.octet_length(x["match"])).alias("byte_end"))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(F.lit(None).cast(SPAN), none).alias("spans"))
-    return F.when(text.rlike(gate), F.aggregate(rows, first, step)["spans"]).otherwise(none)
+        at = F.zip_with(ends(F.length), ends(F.octet_length), lambda c, b: F.struct(c.alias("c"), b.alias("b")))
+        return F.array_compact(F.zip_with(rows, at, lambda x, y: F.when(x["n"] >= least, span(x, y))))
+
+    return F.when(text.rlike(gate), let(let(found, rows), placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _codes(text: Column) -> Column:
@@ -76,14 +83,28 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     clean = F.col("text")
     for pattern, _, _ in BASE.values():
         clean = F.regexp_replace(clean, pattern if pattern != BASE["hex"][0] else GATES["hex"] + "[0-9a-f]*", " ")
-    rows = ids_and_text(docs).filter("doc_id is not null and text is not null")
-    # the sample is chosen by ids alone, so that no texts are gathered in the choice
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(IDENTIFIER_DOCUMENTS)
-    some = rows.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = _distinct_sample(ids_and_text(docs).filter("doc_id is not null and text is not null"), IDENTIFIER_DOCUMENTS)
     words = some.select(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9]{3,}"), F.lit(0)).alias("w"))
-    joined = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0)), F.lit(1)), lambda i: F.concat_ws("_", F.get("w", i), F.get("w", i + 1)))
-    camel = F.transform("w", lambda x: F.initcap(x))
-    return random.unionByName(words.select(F.explode(F.concat("w", joined, F.transform(joined, F.upper), F.array(F.array_join(F.slice(camel, 1, 400), "")))).alias("text"), F.lit(False).alias("random")))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
+    groups = F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / JOINED).cast("int"), F.lit(0)))
+    camel = let(F.transform("w", lambda x: F.initcap(x)), lambda c: F.transform(groups, lambda i: F.array_join(F.slice(c, i * JOINED + 1, F.lit(JOINED)), "")))
+    every = F.concat("w", pairs(F.col("w")), F.transform(pairs(F.col("w")), F.upper), camel)
+    return random.unionByName(words.select(F.explode(every).alias("text"), F.lit(False).alias("random")))
+
+
+def _distinct_sample(rows: DataFrame, n: int) -> DataFrame:
+    """The distinct (doc_id, text) with the n least hashes. Rows whose hash is above a bound are left out before any are
+    gathered; the bound follows from the number of rows, and rises where repeated rows leave too few."""
+    total, part = rows.count(), 5 * n
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    while True:
+        share = min(1.0, part / max(total, 1))
+        low = rows if share == 1.0 else rows.filter(F.col("h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        low = durable(low.dropDuplicates(["doc_id", "text"]))
+        least = [r["h"] for r in low.select("h").distinct().orderBy("h").limit(n).collect()]
+        if share == 1.0 or len(least) == n:
+            return low.filter(F.col("h") <= F.lit(least[-1] if least else 0)).drop("h")
+        part *= 16
 
 
 def train(samples: DataFrame) -> list[float] | None:
@@ -99,37 +120,58 @@ def train(samples: DataFrame) -> list[float] | None:
     return [math.log((seen[True][k] + 1) / (total[True][k // n] + n)) - math.log((seen[False][k] + 1) / (total[False][k // n] + n)) for k in range(n * n)]
 
 
+def _before(events: Column) -> Column:
+    """For each query (w = 0) of sorted (at, tie, w) events: how many events of weight 1 come before it."""
+    e = let(F.array_sort(events), lambda e: F.zip_with(e, running(F.transform(e, lambda x: x["w"]), lambda a, b: a + b), lambda x, n: F.when(x["w"] == 0, n)))
+    return F.array_compact(e)
+
+
+def untouched(runs: Column, base: Column) -> Column:
+    """Those of disjoint sorted runs that no base span overlaps: as many base spans begin before a run's end as end up to its start."""
+    event = lambda at, tie, w: F.struct(at.alias("at"), F.lit(tie).alias("tie"), F.lit(w).cast("long").alias("w"))
+    ended = _before(F.concat(F.transform(base, lambda b: event(b["end"], 0, 1)), F.transform(runs, lambda r: event(r["start"], 1, 0))))
+    begun = _before(F.concat(F.transform(base, lambda b: event(b["start"], 1, 1)), F.transform(runs, lambda r: event(r["end"], 0, 0))))
+    free = F.zip_with(ended, begun, lambda x, y: x == y)
+    return F.when(F.size(base) == 0, runs).otherwise(F.array_compact(F.zip_with(runs, free, lambda r, f: F.when(f, r))))
+
+
 def model_spans(text: Column, ratios: list[float], base: Column) -> Column:
     """Runs of key characters that touch no base span and look random."""
     table_ = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
-    runs = F.filter(spans(text, "model", len(BASE), MODEL_PATTERN, MODEL_PATTERN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def looks_random(s: Column) -> Column:
         total = F.aggregate(_pairs(_codes(s["match"])), F.lit(0.0), lambda a, p: a + F.get(table_, p))
         return (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * F.length(s["match"]))
 
-    return F.filter(runs, looks_random)
+    def chosen(runs: Column) -> Column:
+        # the models first: few runs look random, and only those are held against the base spans
+        return F.when(F.size(runs) == 0, runs).otherwise(let(F.filter(runs, looks_random), lambda r: untouched(r, base)))
+
+    return let(spans(text, "model", len(BASE), MODEL_PATTERN, MODEL_PATTERN), chosen)
 
 
-def scan(docs: DataFrame, ratios: list[float] | None, text: str = "text") -> DataFrame:
-    """Adds base_spans and all_spans: arrays of (start, kind_no, end, kind, match) in code points, end exclusive."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def scan(docs: DataFrame, ratios: list[float] | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds base_spans and all_spans (after `prefix`): arrays of (start, kind_no, end, kind, match, byte_start, byte_end), start and
+    end in code points, ends exclusive."""
+    t, base = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(f"{prefix}base_spans")
     parts = [spans(t, kind, i, pattern, GATES[kind], group, least) for i, (kind, (pattern, group, least)) in enumerate(BASE.items())]
-    docs = docs.withColumn("base_spans", F.array_sort(F.concat(*parts)))
-    more = model_spans(t, ratios, F.col("base_spans")) if ratios else F.array().cast(SPAN)
-    return docs.withColumn("all_spans", F.array_sort(F.concat("base_spans", more)))
+    docs = docs.withColumn(f"{prefix}base_spans", F.array_sort(F.concat(*parts)))
+    more = model_spans(t, ratios, base) if ratios else F.array().cast(SPAN)
+    return docs.withColumn(f"{prefix}all_spans", F.array_sort(F.concat(base, more)))
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by the mark; a null text stays null."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with each run of overlapping spans (sorted) replaced by the mark; a null text stays null. What lies between
+    the runs is cut by bytes, from the furthest end so far to the next start that is not before it."""
+    cut = lambda b, x, y: F.substring(b, (x + 1).cast("int"), (y - x).cast("int")).cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]), gap).otherwise(acc["out"]).alias("out"))
+    def pieces(b: Column) -> Column:
+        ends = running(F.transform(found, lambda s: s["byte_end"]), F.greatest)
+        parts = F.array_compact(F.zip_with(found, ends, lambda s, e: F.when(s["byte_start"] >= e, F.concat(cut(b, e, s["byte_start"]), F.lit(mark)))))
+        last = F.array_max(F.transform(found, lambda s: s["byte_end"]))
+        return F.concat(F.array_join(parts, ""), cut(b, last, F.octet_length(b)))
 
-    done = F.aggregate(found, first, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    return F.when(F.size(found) > 0, let(text.cast("binary"), pieces)).otherwise(text)
 
 
 def _said(found: Column) -> Column:
