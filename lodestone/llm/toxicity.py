@@ -1,23 +1,28 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding homoglyphs and digit substitutions.
 
-Folding lower-cases a text, maps look-alike letters and digits to plain ones, and leaves only letter runs between
-single spaces. Lexicon entries are whole words (` word `) or beginnings of longer words (` begi`); where several fit one
+Folding lower-cases a text, undoes Unicode's compatibility forms (full-width letters, ligatures, styled letters), drops
+stray accents and invisible characters, maps look-alike letters and digits to plain ones, and leaves only letter runs
+between single spaces. Letters that have an accent of their own are read twice, with it and without. Lexicon entries are whole words (` word `) or beginnings of longer words (` begi`); where several fit one
 word, the heaviest counts. Entries inside an exception phrase do not count. The sum of the weights, as it is and relative
 to the length in words, goes through a logistic curve to a score from 0 to 1.
 
-Everything is learned from labelled rows: at most MAX_SAMPLE of them, chosen by a hash of doc_id; near copies among them
-count once. Entry weights are log rate ratios with cautious bounds; exceptions are two-word phrases with an entry
-that clean rows use and toxic ones do not.
+Everything is learned from labelled rows: those of at most MAX_SAMPLE doc_ids, chosen by a hash of doc_id, one text
+each (the one with the least hash); near copies among them count once, the one of the least doc_id. What is learned is
+the same in every run. Entry weights are log rate ratios with cautious bounds; exceptions are two-word phrases with an
+entry that clean rows use and toxic ones do not. Neither list is cut: an entry needs LEAST_SHARE of the toxic rows, so
+there are at most 1 / LEAST_SHARE times as many as a toxic row has terms on average; an exception needs LEAST_SEEN rows.
 
-Nulls: a null text is empty and scores as the curve does at zero; rows with a null label or doc_id are not learned
-from. Without toxic or clean samples the score is a constant. Empty tables give no rows. Repeated rows score alike.
-Texts are scanned whole, whatever their length.
+Edge cases: a null text is empty and scores as the curve does at zero; rows with a null label or doc_id are not learned
+from. Without toxic or clean samples the score is a constant. Empty tables give no rows. Repeated rows, and rows under
+one doc_id with the same text, score alike. Texts are scanned whole, whatever their length, in time linear in it and its
+hits. score, predicted, hits and weight (after `prefix`) replace columns of docs of these names; all others stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,19 +35,23 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, durable, ids_and_text, table, texts_of
 
-#: Bounds of what is learned: labelled rows read, entries and exceptions kept.
-MAX_SAMPLE, MAX_ENTRIES, MAX_EXCEPTIONS = 20_000, 2_000, 500
+#: Bound of what is learned from: labelled documents read.
+MAX_SAMPLE = 20_000
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = range(4, 9)
 LEAST_RATIO, LEAST_SEEN, LEAST_SHARE = 4.0, 3, 0.015
 THRESHOLD = 0.7
 
-#: Look-alikes of Latin letters and digits used for letters.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһ" + "αεορυνικτ" + "０１２３４５６７８９", "aeopcyxijsdqwh" + "aeopuvikt" + "0123456789", strict=True))
+#: Look-alikes of Latin letters and digits used for letters, by script; forms that compatibility folding undoes are not here.
+CYRILLIC = dict(zip("авекмнорстухіјѕԁԛԝһгпшьё", "abekmhopctyxijsdqwhrnwbe", strict=True))
+GREEK = dict(zip("αβεικνορτυχωηγσ", "abeikvoptuxwnys", strict=True))
+OTHER = dict(zip("ıɑɡɩʟɴʀօսոհցɪʏ", "iagilnrounhgiy", strict=True))
+HOMOGLYPHS = CYRILLIC | GREEK | OTHER
 DIGITS = dict(zip("0134578@$!|", "oieastbasil", strict=True))
-_FOLD = str.maketrans({**HOMOGLYPHS, **DIGITS, **{a: DIGITS.get(b, b) for a, b in HOMOGLYPHS.items()}})
+_FOLD = str.maketrans({**HOMOGLYPHS, **DIGITS})
 _INSIDE = re.compile(r"[^\W\d_]+")
-_WORDS = re.compile(r"\S+")
+#: Accents, and characters that are not seen: soft hyphens, joiners, marks of direction, variation selectors.
+_UNSEEN = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 
 
 def _fold_word(w: str) -> str:
@@ -50,16 +59,27 @@ def _fold_word(w: str) -> str:
     return w.rstrip("!|.,;:?").translate(_FOLD)
 
 
-_TRICK = re.compile(r"\S*[\d@$!|аеорсухіјѕԁԛԝһαεορυνικτ０-９]\S*")
+_TRICK = re.compile(r"\S*[\d@$!|" + "".join(HOMOGLYPHS) + r"]\S*")
 
 
 def fold(text: str) -> str:
     """` word word ... word `: lower case, look-alikes mapped, everything but letters a space."""
     t = text.lower()
+    if not t.isascii():
+        t = _UNSEEN.sub("", unicodedata.normalize("NFKC", t)).lower()
     t = _TRICK.sub(lambda m: _fold_word(m[0]), t)
     return " " + " ".join(_INSIDE.findall(t)) + " "
 
 
+#: Accented Latin letters -> the letters without.
+_PLAIN = str.maketrans({c: d[0] for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]) if (d := unicodedata.normalize("NFKD", c))[0].isascii() and len(d) > 1 and c.islower()})
+
+
+def readings(folded: str) -> list[str]:
+    """A folded text, and the text of equal length without accents where it has any."""
+    return [folded] if folded.isascii() or (plain := folded.translate(_PLAIN)) == folded else [folded, plain]
+
+
 @dataclass
 class Model:
     entries: dict[str, float] = field(default_factory=dict)
@@ -83,17 +103,26 @@ class Model:
             t = fold(text)
             hits: dict[int, float] = {}
             spared: list[tuple[int, int]] = []
-            for end, (n, w) in a.iter(t) if ready else ():
-                start = end - n + 1
-                if w:
-                    if t[end] != " " and t[end + 1] == " ":  # a beginning that is a whole word
-                        continue
-                    hits[start] = max(w, hits.get(start, 0.0))
-                else:
-                    spared.append((start, end))
-            if spared:
-                hits = {s: w for s, w in hits.items() if not any(x <= s < y for x, y in spared)}
-            return sum(hits.values()), t.count(" ") - 1, sorted(hits.items()), t
+            for reading in readings(t) if ready else ():
+                for end, (n, w) in a.iter(reading):
+                    start = end - n + 1
+                    if w:
+                        if reading[end] != " " and reading[end + 1] == " ":  # a beginning that is a whole word
+                            continue
+                        hits[start] = max(w, hits.get(start, 0.0))
+                    else:
+                        spared.append((start, end))
+            if spared and hits:
+                # of the phrases that begin up to a hit, the one that reaches furthest decides; both lists are in order
+                spared.sort()
+                kept, at, reach = {}, 0, -1
+                for s, w in sorted(hits.items()):
+                    while at < len(spared) and spared[at][0] <= s:
+                        reach, at = max(reach, spared[at][1]), at + 1
+                    if s >= reach:
+                        kept[s] = w
+                hits = kept
+            return sum(hits.values()), t.count(" ") - 1 if len(t) > 2 else 0, sorted(hits.items()), t
 
         return scan
 
@@ -125,15 +154,18 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """(toxic, text) of at most max_sample labelled rows that are not held out. The labels' side of the join is that
-    bounded sample, so it is broadcast and no text is shuffled."""
+    """(doc_id, toxic, text) of at most max_sample labelled documents that are not held out. The labels' side of the join
+    is that bounded sample (a doc_id with several labels counts as toxic if one says so), so it is broadcast and only the
+    sample's texts are shuffled: of rows that share a doc_id the text with the least hash is taken, which tasks settle first."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_sample)
-    return ids_and_text(docs).join(F.broadcast(some), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
+    rows = ids_and_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))
+    return rows.groupBy("doc_id", "toxic").agg(least.alias("t")).select("doc_id", "toxic", F.col("t.text").alias("text"))
 
 
 def _one_of_copies(rows: DataFrame) -> DataFrame:
-    """Drops rows that share the three least word hashes with another of the same label: mostly near copies."""
+    """Drops rows that share the three least word hashes with another of the same label and a lesser doc_id: mostly near copies."""
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
@@ -145,12 +177,12 @@ def _one_of_copies(rows: DataFrame) -> DataFrame:
 
         return f
 
-    return add_columns(rows, make, "copy_key long").dropDuplicates(["toxic", "copy_key"]).drop("copy_key")
+    return add_columns(rows, make, "copy_key long").groupBy("toxic", "copy_key").agg(F.min_by("text", "doc_id").alias("text")).drop("copy_key")
 
 
 def _terms(text: str) -> set[str]:
     out = set()
-    for w in set(fold(text).split()):
+    for w in {w for reading in readings(fold(text)) for w in reading.split()}:
         if len(w) > 2:
             out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in BEGINNINGS if len(w) > n)
@@ -182,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     low = F.greatest(F.col("toxic") - 1.28 * F.sqrt("toxic"), F.lit(0.0)) / n[1]
     high = (F.col("clean") + 1.28 * F.sqrt("clean") + 1) / n[0]
     good = _count(rows, lambda: _terms).filter(F.col("toxic") >= max(LEAST_SEEN, LEAST_SHARE * n[1])).withColumn("ratio", low / high).filter(F.col("ratio") >= LEAST_RATIO)
-    kept = good.orderBy(F.desc("ratio"), F.desc("toxic"), "term").limit(MAX_ENTRIES).collect()
+    kept = good.orderBy(F.desc("ratio"), F.desc("toxic"), "term").collect()
     entries = {r["term"]: min(math.log(r["ratio"]), 6.0) for r in kept}
     plain = Model(entries)
 
@@ -202,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
 
         return f
 
-    spare = _count(rows, phrases).filter(f"toxic = 0 and clean >= {LEAST_SEEN}").orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS).collect()
+    spare = _count(rows, phrases).filter(f"toxic = 0 and clean >= {LEAST_SEEN}").orderBy("term").collect()
     model = Model(entries, [r["term"] for r in spare])
 
     def weigh():
@@ -219,8 +251,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and score, predicted, and spans' count and weight (hits, weight)."""
+def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """All columns of docs, and (after `prefix`) score, predicted, and the hits' number and weight (hits, weight)."""
 
     def make():
         scan = model.matcher()
@@ -233,7 +265,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return f
 
-    return add_columns(docs, make, "score double, predicted int, hits long, weight double")
+    return add_columns(docs, make, "score double, predicted int, hits long, weight double", prefix=prefix)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
