@@ -1,11 +1,14 @@
 """Quality rules by repetition coverage: rolling hashes of several n-gram lengths in numpy, measured in characters.
 
-For each length n, every window of n words is hashed by a polynomial over the words' codes (codes are exact: a
-dictionary of the text's own words). The coverage is the share of the word characters inside windows that occur at
-least twice. Lines are measured alike. Any n of NGRAM_LIMITS over its limit, or lines over theirs, reject a document.
-
-Nulls: a null text has no words and fails the base rules. Empty tables give no rows. Repeated rows are judged alike.
-Very long texts are processed whole: memory is a few arrays of a text's word count.
+The words' codes (exact: a dictionary of the text's own words) are mixed and summed with the powers of an odd base. The
+hash of a window of n words, for every n, is a difference of two of these sums, brought to the window's beginning by the
+base's inverse: a polynomial hash modulo 2**64 that rolls by one subtraction and one product. The coverage is the share
+of the word characters inside windows that occur at least twice. Lines are measured alike. Any n of NGRAM_LIMITS over
+its limit, or lines over theirs, reject a document.
+
+Edge cases: a null text has no words and fails the base rules, as empty texts do. Empty tables give no rows. Repeated
+rows, and ties of doc_id, are judged alike, each for itself. Very long texts are processed whole: memory is a few arrays
+of a text's word count. The added columns (after `prefix`) replace columns of docs of these names; all others stay.
 """
 
 from __future__ import annotations
@@ -24,39 +27,43 @@ NGRAM_LIMITS = {2: 0.65, 3: 0.5, 5: 0.3, 8: 0.25, 10: 0.25}
 LINE_LIMIT = 0.3
 SYMBOL_LIMIT = 0.25
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of each window of n codes."""
-    mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(32)
-    m = len(codes) - n + 1
-    out = np.zeros(max(m, 0), np.uint64)
-    for k in range(n if m > 0 else 0):
-        out = out * _BASE + mixed[k : k + m]
-    return out
-
-
-def repeated(codes: np.ndarray, n: int) -> np.ndarray:
-    """Per word: whether it lies in a window of n words found twice or more (the first included)."""
-    h = window_hashes(codes, n)
-    if len(h) < 2:
-        return np.zeros(len(codes), bool)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    if not same.any():
-        return np.zeros(len(codes), bool)
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    edge = np.zeros(len(codes) + 1, np.int64)
-    at = np.flatnonzero(twice)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n, -1)
-    return np.cumsum(edge[:-1]) > 0
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class Windows:
+    """Rolling hashes of the windows of a sequence of codes."""
+
+    def __init__(self, codes: np.ndarray):
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+        powers = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(len(codes) - 1, 0), x, np.uint64)]), dtype=np.uint64)[: len(codes)]
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers(_BASE), dtype=np.uint64)])
+        self.back = powers(_INVERSE)
+
+    def hashes(self, n: int) -> np.ndarray:
+        """Polynomial hash modulo 2**64 of each window of n codes."""
+        m = max(len(self.sums) - n, 0)
+        return (self.sums[n:] - self.sums[:m]) * self.back[:m]
+
+    def repeated(self, n: int) -> np.ndarray:
+        """Per code: whether it lies in a window of n that is found twice or more (the first included)."""
+        h, size = self.hashes(n), len(self.back)
+        if len(h) < 2:
+            return np.zeros(size, bool)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        if not same.any():
+            return np.zeros(size, bool)
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        edge = np.zeros(size + 1, np.int64)
+        edge[: len(h)] += twice
+        edge[n : n + len(h)] -= twice
+        return np.cumsum(edge[:-1]) > 0
 
 
 def measure(text: str) -> dict:
@@ -77,9 +84,9 @@ def measure(text: str) -> dict:
         else:
             seen.add(x)
     out = {"n_words": len(words), "word_chars": total, "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": dup, "line_coverage": dup_chars / max(total, 1)}
-    distinct = len(known) == len(words)
+    windows = Windows(codes) if len(known) < len(words) else None
     for n in NGRAM_LIMITS:
-        mask = repeated(codes, n) if not distinct else np.zeros(len(words), bool)
+        mask = windows.repeated(n) if windows else np.zeros(len(words), bool)
         out[f"coverage_{n}"] = float(lengths[mask].sum()) / max(total, 1)
         if n == 5:
             out["n_repeat_words"] = int(mask.sum())
@@ -91,8 +98,8 @@ LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = ", ".join(f"{x} long" for x in LONGS) + ", " + ", ".join(f"{x} double" for x in COVERAGES)
 
 
-def repetition(docs: DataFrame) -> DataFrame:
-    """All columns of docs, the figures, base_failed and kept, for every row."""
+def repetition(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """All columns of docs, and (after `prefix`) the figures, base_failed and kept, for every row."""
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
@@ -101,12 +108,12 @@ def repetition(docs: DataFrame) -> DataFrame:
 
         return f
 
-    out = add_columns(docs, make, ADDED)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    bad = (F.col("line_coverage") > LINE_LIMIT) | (F.col("n_symbols") > SYMBOL_LIMIT * F.col("n_words"))
+    out, c = add_columns(docs, make, ADDED, prefix=prefix), lambda name: F.col(prefix + name)
+    base = (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
+    bad = (c("line_coverage") > LINE_LIMIT) | (c("n_symbols") > SYMBOL_LIMIT * c("n_words"))
     for n, limit in NGRAM_LIMITS.items():
-        bad = bad | (F.col(f"coverage_{n}") > limit)
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
+        bad = bad | (c(f"coverage_{n}") > limit)
+    return out.withColumn(f"{prefix}base_failed", base).withColumn(f"{prefix}kept", ~base & ~bad)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
