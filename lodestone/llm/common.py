@@ -27,6 +27,24 @@ BYTE_SPLIT = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{_L
 WORD_SPLIT = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_L}]+")
 
 
+#: The pre-split rules of tokenizer files that the patterns above stand for.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+BYTE_RULE = (None, {**_BYTE_LEVEL, "use_regex": True})
+WORD_RULE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL, "use_regex": False}],
+    },
+)
+
+
+def rule_of(spec: dict) -> str | None:
+    """"bytes" or "words" where a tokenizer file (its JSON) splits as BYTE_SPLIT or WORD_SPLIT does, None for any other."""
+    rule = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+    return "bytes" if rule == BYTE_RULE else "words" if rule == WORD_RULE else None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir named. Only a local
     session without either gets a temporary folder; on a cluster that is an error."""

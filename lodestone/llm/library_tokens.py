@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -10,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 from .bpe import LETTERS
-from .common import BYTE_SPLIT, UNSAFE, WORD_SPLIT
+from .common import BYTE_SPLIT, UNSAFE, WORD_SPLIT, rule_of
 
 WORDS_KEPT = 400_000
 
@@ -37,8 +38,8 @@ class Words(dict):
 
 
 class LibraryTokens:
-    """Texts of plain Latin characters without special tokens are split here by the file's own rule; others go to the
-    library whole. Both give what encode(text, add_special_tokens=False) gives."""
+    """Texts of plain Latin characters without special tokens are split here by the file's own rule, where it is one of
+    those known; others go to the library whole. Both give what encode(text, add_special_tokens=False) gives."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,8 +49,11 @@ class LibraryTokens:
         self.library.no_truncation()
         self.library.no_padding()
         special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([UNSAFE.pattern, *map(re.escape, special)]))
-        self.lower = self.library.normalizer is not None
+        with open(path, encoding="utf-8") as f:
+            rule = rule_of(json.load(f))
+        # a rule that is not known sends every text to the library
+        self.whole = re.compile("|".join([UNSAFE.pattern, *map(re.escape, special)]) if rule else "")
+        self.lower = rule == "words"
         self.findall = (WORD_SPLIT if self.lower else BYTE_SPLIT).findall
         small = self.library.get_vocab_size() <= 1 << 16
         self.type = np.dtype("<u2" if small else "<u4")

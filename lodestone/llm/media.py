@@ -5,7 +5,10 @@ CRC. Reading tests the signature and every chunk's checksum, inflates, and undoe
 The feature is a 64-bit hash: the signs, against their median, of the low frequencies of the cosine transform of the
 image's 32 x 32 block means.
 
-Nulls: a null text is empty; an empty text becomes one row of 64 zero bytes. A damaged image raises ValueError.
+Edge cases: a null text is empty; an empty text becomes one row of 64 zero bytes. A damaged image raises ValueError.
+Empty tables give no rows. Repeated rows and ties of doc_id give a row each; equal texts give equal images. A very long
+text is one tall image, held whole by the task that makes or reads it. Only doc_id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ filled up with the head of the piece and emitted, and the rest is placed again.
 are merged: their pieces are laid end to end and cut into full windows, and what is left over is cut into sequences
 whose lengths are powers of two, which need no padding. Nothing is shuffled, and memory is bounded by the windows.
 
-Nulls: a null text is empty; every document has at least its end id. Empty tables give no rows. Repeated rows are
-packed each. The same split of the input gives the same result, whichever executor runs it.
+Edge cases: a null text is empty; every document has at least its end id. Empty tables give no rows. Repeated rows and
+ties of doc_id are packed each. A very long text is encoded whole and cut into windows as it comes. Only doc_id and text
+are read, so other columns cannot clash. The same split of the input gives the same result, whichever executor runs it.
 """
 
 from __future__ import annotations
