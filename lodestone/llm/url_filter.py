@@ -2,21 +2,26 @@
 
 Level 0 encodes the listed keys; each further level encodes the keys of the other side that the level before
 let through by mistake, over the complete universe of keys, until nothing is left. Membership of any key of that
-universe is then exact, and it is tested row by row with integer operations: no join, no shuffle of the rows.
-
-Nulls: a null url, or one without `://`, has an empty host and path, and is never listed. An empty table gives
-an empty result; an empty list gives a cascade without levels, which lists nothing. Repeated rows are judged alike.
-Columns of the input beside those named are not read.
+universe is then exact, and it is tested row by row with integer operations. Up to max_filter_bytes the levels are
+literals of the plan: no join, no shuffle of the rows. A larger list is dealt by a hash of the key to shards of 64 KiB,
+a cascade each, and rows meet their shard's levels by the shard's number (a broadcast up to 256 MiB in all).
+
+Edge cases: a null url, or one without `://`, has an empty host and path, and is never listed; a null key is not
+listed. An empty table gives an empty result; an empty list gives a cascade without levels, which lists nothing.
+Repeated rows are judged alike. Long urls are read whole. host, path, rule, verdict and listed (after `prefix`) replace
+columns of the input of these names; all others stay.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import durable, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,11 +38,11 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.expr("substring(__u, locate('://', __u) + 3)")).otherwise(F.lit(""))
 
 
-def with_host_and_path(df: DataFrame, url: str = "url") -> DataFrame:
+def with_host_and_path(df: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
     """Adds host (A-Z lower-cased) and path; both empty where the url is null or has no `://`."""
     df = df.withColumn("__u", F.col(url)).withColumn("__r", F.coalesce(_rest(F.col("__u")), F.lit("")))
     host = F.translate(F.regexp_extract("__r", r"^([^/?#]*)", 1), UPPER, LOWER)
-    return df.withColumn("host", host).withColumn("path", F.regexp_extract("__r", r"^[^/?#]*([^?#]*)", 1)).drop("__u", "__r")
+    return df.withColumn(f"{prefix}host", host).withColumn(f"{prefix}path", F.regexp_extract("__r", r"^[^/?#]*([^?#]*)", 1)).drop("__u", "__r")
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -52,82 +57,79 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 @dataclass
 class Level:
+    """Bits and hashes of a level; its words where they are a literal."""
+
     bits: int
     hashes: int
-    words: list[int]
-
-    def passes(self, key: Column, level: int) -> Column:
-        """Whether all bits of the key are set. The words are one folded literal, of a checked size."""
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        ok = F.lit(True)
-        for p in positions(key, level, self.bits, self.hashes):
-            ok = ok & (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return ok
-
-
-def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    h1, h2 = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
-    return [F.pmod(F.shiftrightunsigned(h1, 2) + F.shiftrightunsigned(h2, 8) * i, F.lit(bits).cast("long")) for i in range(hashes)]
+    words: list[int] | None = None
 
 
 @dataclass
 class Cascade:
-    """Exact membership of the keys of the universe it was built on. `fallback` holds (key, listed) where the
-    filters would have passed the size bound; rows are then joined to it by key."""
+    """Exact membership of the keys of the universe it was built on. Where `table` is set, it holds for each of
+    `shards` a row (shard, w0, w1, ...) with the words of the levels."""
 
     levels: list[Level] = field(default_factory=list)
-    fallback: DataFrame | None = None
+    shards: int = 1
+    table: DataFrame | None = None
 
     def listed(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
         for i, level in reversed(list(enumerate(self.levels))):
-            out = F.when(level.passes(key, i), out).otherwise(F.lit(i % 2 == 1))
-        return out
+            # a literal of a checked size, folded once
+            words = F.col(f"__w{i}") if level.words is None else F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
+            out = F.when(bloom.passes(words, [key], i, level.bits, level.hashes), out).otherwise(F.lit(i % 2 == 1))
+        return key.isNotNull() & out
 
     def flag(self, df: DataFrame, key: str, name: str = "listed") -> DataFrame:
-        if self.fallback is None:
+        if self.table is None:
             return df.withColumn(name, self.listed(F.col(key)))
-        side = self.fallback.filter("listed").select(F.col("key").alias("__k"))
-        return df.join(side, df[key] == side["__k"], "left").withColumn(name, F.col("__k").isNotNull()).drop("__k")
+        size = self.shards * sum(x.bits for x in self.levels) // 8
+        met = df.withColumn("__shard", bloom.shard_of([F.col(key)], self.shards)).join(bloom.meeting(self.table, size), "__shard")
+        return met.withColumn(name, self.listed(F.col(key))).drop("__shard", *(f"__w{i}" for i in range(len(self.levels))))
 
 
 def build_cascade(universe: DataFrame, max_filter_bytes: int = 4 << 20) -> Cascade:
     """universe: (key string, listed boolean), each key once. Every level's size is computed from a count before it is
-    built, and compared with max_filter_bytes; only its words (bits / 64 rows, aggregated) reach the driver."""
-    universe = durable(universe.select("key", "listed"))
+    built. Where the first level exceeds max_filter_bytes, all levels are dealt to shards and stay tables; else their
+    words (bits / 64) reach the driver."""
+    universe = durable(universe.select("key", "listed").filter("key is not null"))
     n_all, n_listed = universe.agg(F.count("*"), F.count_if("listed")).first()
-    out, include, remaining = Cascade(), True, n_listed
-    passed = universe
-    while remaining:
+    first = min(0.5, max(1e-4, 0.7 * n_listed / max(1, n_all - n_listed)))
+    size = lambda n, p: max(64, -(-int(n * -math.log(p) / math.log(2) ** 2) // 64) * 64)
+    shards = 1 if size(n_listed, first) // 8 <= max_filter_bytes else -(-size(n_listed, first) // 8 // min(bloom.SHARD_BYTES, max_filter_bytes))
+    out, include, tables = Cascade(shards=shards), True, []
+    passed = universe.withColumn("shard", bloom.shard_of([F.col("key")], shards))
+    while remaining := passed.filter(F.col("listed") == F.lit(include)).groupBy("shard").count().agg(F.max("count")).first()[0]:
         i = len(out.levels)
-        other = max(1, n_all - n_listed)
-        p = min(0.5, max(1e-4, 0.7 * n_listed / other)) if i == 0 else 0.5
-        bits = max(64, -(-int(remaining * -math.log(p) / math.log(2) ** 2) // 64) * 64)
-        if bits // 8 > max_filter_bytes:
-            return Cascade(fallback=universe)
-        k = max(1, round(-math.log2(p)))
-        spots = passed.filter(F.col("listed") == F.lit(include)).select(F.explode(F.array(*positions(F.col("key"), i, bits, k))).alias("p"))
-        found = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()
-        words = [0] * (bits // 64)
-        for r in found:
-            words[r["w"]] = r["b"]
-        out.levels.append(Level(bits, k, words))
-        passed = passed.filter((F.col("listed") == F.lit(include)) | out.levels[-1].passes(F.col("key"), i))
+        p = first if i == 0 else 0.5
+        level = Level(size(remaining, p), max(1, round(-math.log2(p))))
+        words = bloom.words_by_shard(passed.filter(F.col("listed") == F.lit(include)), ["key"], "shard", shards, i, level.bits, level.hashes)
+        if shards == 1:
+            level.words = words.first()["words"]
+            literal = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
+            passed = passed.filter((F.col("listed") == F.lit(include)) | bloom.passes(literal, [F.col("key")], i, level.bits, level.hashes))
+        else:
+            tables.append(durable(words.withColumnRenamed("words", f"__w{i}")))
+            met = passed.join(bloom.meeting(tables[-1], shards * level.bits // 8), "shard")
+            passed = durable(met.filter((F.col("listed") == F.lit(include)) | bloom.passes(F.col(f"__w{i}"), [F.col("key")], i, level.bits, level.hashes)).drop(f"__w{i}"))
+        out.levels.append(level)
         include = not include
-        remaining = passed.filter(F.col("listed") == F.lit(include)).count()
         # of the side just encoded, all pass; the other side keeps only its false positives
+    if tables:
+        out.table = durable(reduce(lambda a, b: a.join(b, "shard"), tables).withColumnRenamed("shard", "__shard"))
     return out
 
 
-def judge_urls(pages: DataFrame, listed: Column, rules: list[tuple[str, str, str]], url: str = "url", max_filter_bytes: int = 4 << 20) -> DataFrame:
-    """Adds host, path, rule, verdict and listed. `listed` is a condition on the column `key` (a host) that marks the
-    blocklist inside the universe of hosts; the universe is one aggregation on hosts, which combines before it shuffles."""
-    pages = with_host_and_path(pages, url)
-    hosts = pages.groupBy(F.col("host").alias("key")).agg(F.lit(1).alias("__one"))
+def judge_urls(pages: DataFrame, listed: Column, rules: list[tuple[str, str, str]], url: str = "url", max_filter_bytes: int = 4 << 20, prefix: str = "") -> DataFrame:
+    """Adds (after `prefix`) host, path, rule, verdict and listed. `listed` is a condition on the column `key` (a host) that
+    marks the blocklist inside the universe of hosts; the universe is one aggregation on hosts, which combines before it shuffles."""
+    pages, name = with_host_and_path(pages, url, prefix), lambda x: f"{prefix}{x}"
+    hosts = pages.groupBy(F.col(name("host")).alias("key")).agg(F.lit(1).alias("__one"))
     cascade = build_cascade(hosts.select("key", listed.alias("listed")), max_filter_bytes)
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    out = cascade.flag(pages, "host")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
+    rule, verdict = matching_rule(F.col(name("host")), F.col(name("path")), rules)
+    out = cascade.flag(pages, name("host"), name("listed"))
+    return out.withColumn(name("rule"), rule).withColumn(name("verdict"), F.coalesce(verdict, F.when(F.col(name("listed")), "block").otherwise("allow")))
 
 
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,11 +256,22 @@ def test_secret_edges(spark, edge_docs, no_docs):
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("key"), (F.col("id") % 10 == 3).alias("listed"))
     c = url_filter.build_cascade(keys)
-    assert len(c.levels) > 1 and c.fallback is None
+    assert len(c.levels) > 1 and c.table is None
     assert c.flag(keys.withColumnRenamed("listed", "want"), "key").filter("want <> listed").count() == 0
-    far = url_filter.build_cascade(keys, max_filter_bytes=8)
-    assert far.fallback is not None and far.flag(keys.withColumnRenamed("listed", "want"), "key").filter("want <> listed").count() == 0
+    dealt = url_filter.build_cascade(keys, max_filter_bytes=64)
+    assert dealt.shards > 3 and dealt.table.count() == dealt.shards and len(dealt.levels) > 1
+    out = dealt.flag(keys.withColumnRenamed("listed", "want"), "key")
+    assert out.columns == ["key", "want", "listed"] and out.count() == 3000 and out.filter("want <> listed").count() == 0
     assert url_filter.build_cascade(keys.filter("not listed")).levels == []
+    assert not c.flag(spark.createDataFrame([(None,)], "key string"), "key").first().listed
+
+
+def test_judging_is_the_same_by_shards_and_keeps_columns(spark):
+    pages = spark.createDataFrame([(i, f"http://spam-farm{i % 90}.net/{i}" if i % 3 else f"http://h{i % 200}.net/x", "mine", i % 7) for i in range(900)] + [(900, None, "mine", 0)], "page_id int, url string, host string, listed int")
+    listed = F.col("key").contains("spam-farm")
+    a, b = (url_filter.judge_urls(pages, listed, url_filter.RULES, max_filter_bytes=n, prefix="__x_") for n in (4 << 20, 16))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+    assert a.filter("host <> 'mine' or listed <> page_id % 7 and page_id < 900").count() == 0 and a.filter("`__x_verdict` = 'block'").count() == 600
 
 
 def test_urls(spark):
