@@ -13,10 +13,16 @@ Words are runs of word characters, lower-cased; a text of fewer than five words
 4. The forests' connected components are families. In a family every pair is verified exactly on the whole shingle
    sets (counts from postings in numpy); what leaves the task is one row a node: its links and its component.
 
-Buckets and families over a limit are dealt as pairs of blocks to different tasks, so that each task is bounded and
-no pair is lost. Nulls: a null text is empty. Texts without words have no shingles: equal ones (the empty and null
-ones, say) are copies of each other, and nothing else is similar to them. A null doc_id is replaced by a hash of its
-text in class_id. Repeated rows are copies. Empty tables give no rows.
+Buckets and families over a limit are dealt as pairs of blocks to different tasks, so that each task is bounded in rows
+and bytes, and no pair is lost. A large family is dealt to at most MOST_BLOCKS blocks unless its bytes ask for more, so a
+text is copied as often at most. Only the texts of families are shuffled: a Bloom filter of their keys (of a size
+checked before; without it all texts are) keeps the others where they are.
+
+Edge cases: a null text is empty. Texts without words have no shingles: equal ones (the empty and null ones, say) are
+copies of each other, and nothing else is similar to them. A null doc_id is replaced by a hash of its text in class_id.
+Repeated rows are copies, as are equal texts under one doc_id; different texts under one doc_id are documents of their
+own. Ties go to the least (doc_id, hash of the text). Empty tables give no rows. Very long texts are compared whole, by
+all their shingles. Only the two named columns are read; one_of_each_class gives all columns of docs back as they are.
 """
 
 from __future__ import annotations
@@ -28,10 +34,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, table, texts_of
+from . import bloom
+from .common import durable, map_batches, own_columns, table, texts_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -39,7 +46,8 @@ THRESHOLD = (4, 5)
 BANDS, ROWS = 24, 4
 CHUNK = 16
 TOLERANCE = 1e-7
-BUCKET_LIMIT, FAMILY_LIMIT = 20_000, 4_000
+#: Rows of a bucket or family that one task takes; blocks of a larger family; shingle bytes of a block.
+BUCKET_LIMIT, FAMILY_LIMIT, MOST_BLOCKS, BLOCK_BYTES = 20_000, 1_000, 64, 16 << 20
 
 _WORDS = re.compile(r"\w+")
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -75,15 +83,27 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def keys_of(doc_id: str, text: str, prefix: str = "") -> list[Column]:
+    """row_key and text_key of a row: its doc_id (without one, the hash of its text), and the hash of its text."""
+    h = F.xxhash64(_text(text))
+    return [F.coalesce(F.col(doc_id).cast("long"), h).alias(f"{prefix}row_key"), h.alias(f"{prefix}text_key")]
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_key, text_key, node, bands (one key a band, the band's number hashed in; none for a text without words), sketch."""
+    """doc_id, row_key, text_key, node, size (shingles), bands (one key a band, the band's number hashed in; none for a text
+    without words), sketch."""
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
-            nodes, bands, marks = [], [], []
+            nodes, bands, marks, sizes = [], [], [], []
             for t in texts_of(b):
                 found = shingles(t)
                 nodes.append(node_of(t, found))
+                sizes.append(len(found))
                 if len(found):
                     m = minhashes(found)
                     bands.append([xxhash.xxh64_intdigest(m[ROWS * k : ROWS * (k + 1)].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)])
@@ -91,13 +111,12 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 else:
                     bands.append([])
                     marks.append(b"")
-            return {"doc_id": b.column("doc_id"), "row_key": b.column("row_key"), "text_key": b.column("text_key"), "node": nodes, "bands": bands, "sketch": marks}
+            return {"doc_id": b.column("doc_id"), "row_key": b.column("row_key"), "text_key": b.column("text_key"), "node": nodes, "size": sizes, "bands": bands, "sketch": marks}
 
         return f
 
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(t)).alias("row_key"), F.xxhash64(t).alias("text_key"), t.alias("text"))
-    return map_batches(rows, make, "doc_id long, row_key long, text_key long, node binary, bands array<long>, sketch binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keys_of(doc_id, text), _text(text).alias("text"))
+    return map_batches(rows, make, "doc_id long, row_key long, text_key long, node binary, size long, bands array<long>, sketch binary")
 
 
 def least_matches(n: int, threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: float = TOLERANCE) -> int:
@@ -166,10 +185,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(rows: DataFrame, key: str, counts: DataFrame, limit: int) -> DataFrame:
-    """Adds block_a, block_b: 0, 0 for rows of keys up to the limit. Larger keys are dealt, by a hash of the node, to
-    blocks of about limit / 2 rows; a row goes to every pair of blocks that its own belongs to. own_block is its own."""
-    big = durable(counts.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") * 2 / limit).cast("int").alias("blocks")))
+def in_blocks(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Adds block_a, block_b, own_block: 0 for rows of keys without a row in `blocks` (key, blocks). The others are dealt to
+    their key's blocks by a hash of the node; a row goes to every pair of blocks that its own belongs to."""
+    big = durable(blocks.filter("blocks > 1"))
     plain = [F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), F.lit(0).alias("own_block")]
     if big.isEmpty():
         return rows.select("*", *plain)
@@ -185,7 +204,7 @@ def candidate_families(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> Da
     # most bands are a node's own: only those that two nodes share get the sketches
     counts = durable(keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     rows = keys.join(counts.select("band"), "band").join(nodes.select("node", "sketch"), "node").select("node", "sketch", "band")
-    rows = in_blocks(rows, "band", counts, bucket_limit)
+    rows = in_blocks(rows, "band", counts.select("band", F.when(F.col("n") > bucket_limit, F.ceil(F.col("n") * 2 / bucket_limit)).otherwise(1).cast("int").alias("blocks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[bytes] = []
@@ -241,10 +260,23 @@ def count_links(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray,
     return texts, docs, root
 
 
+def family_texts(docs: DataFrame, families: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row_key, text_key, text): the texts of the families' nodes, one of repeated rows."""
+    keys = ["row_key", "text_key"]
+    texts = docs.select(*keys_of(doc_id, text), _text(text).alias("text"))
+    near = bloom.filtered(texts, keys, families.select(*keys), "__near")
+    # an inner join, as the keys are distinct: the optimizer would move a semi-join below the filter's
+    found = (texts if near is None else near.filter("__near").drop("__near")).join(families.select(*keys), keys)
+    return found.groupBy(*keys).agg(F.first("text").alias("text"))
+
+
 def verified(families: DataFrame, texts: DataFrame, family_limit: int = FAMILY_LIMIT) -> DataFrame:
-    """families: (node, root, row_key, n_copies); texts: (row_key, text). Gives (node, class, n_linked_texts, n_linked_docs)."""
-    counts = families.groupBy("root").agg(F.count("*").alias("n"))
-    rows = in_blocks(families.join(texts, "row_key"), "root", counts, family_limit)
+    """families: (node, root, row_key, text_key, n_copies, size); texts: (row_key, text_key, text), one for each. Gives (node, class,
+    n_linked_texts, n_linked_docs)."""
+    bytes_, n = F.sum("size") * 8, F.count("*")
+    few = F.least(F.ceil(n * 2 / family_limit), F.lit(MOST_BLOCKS))
+    blocks = durable(families.groupBy("root").agg(F.when((n > family_limit) | (bytes_ > 2 * BLOCK_BYTES), F.greatest(few, F.ceil(bytes_ / BLOCK_BYTES))).otherwise(1).cast("int").alias("blocks")).filter("blocks > 1"))
+    rows = in_blocks(families.join(texts, ["row_key", "text_key"]), "root", blocks)
     out = pa.schema([("node", pa.binary()), ("class", pa.binary()), ("n_linked_texts", pa.int64()), ("n_linked_docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +299,7 @@ def verified(families: DataFrame, texts: DataFrame, family_limit: int = FAMILY_L
 
     dealt = rows.repartition("root", "block_a", "block_b").sortWithinPartitions("root", "block_a", "block_b", "node")
     found = durable(dealt.mapInArrow(run, "node binary, class binary, n_linked_texts long, n_linked_docs long"))
-    if counts.filter(F.col("n") > family_limit).isEmpty():
+    if blocks.isEmpty():
         return found
     total = found.groupBy("node").agg(F.sum("n_linked_texts").alias("n_linked_texts"), F.sum("n_linked_docs").alias("n_linked_docs"))
     merged = connected_components(found.select(F.col("node").alias("a"), F.col("class").alias("b"))).withColumnRenamed("root", "class")
@@ -279,12 +311,11 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shingle set, itself included), n_links (other documents with the similarity, copies among them) and n_linked_texts
     (different texts among those)."""
     marked = durable(sketches(docs, doc_id, text))
-    nodes = marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = durable(nodes)
-    families = candidate_families(nodes.filter(F.size("bands") > 0).select("node", "bands", "sketch"), bucket_limit).join(nodes.select("node", "row_key", "n_copies"), "node")
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(t)).alias("row_key"), t.alias("text"))
-    links = verified(durable(families), texts, family_limit)
+    nodes = marked.groupBy("node").agg(F.min(F.struct("row_key", "text_key")).alias("k"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = durable(nodes.select("node", "k.row_key", "k.text_key", "n_copies", "size", "bands", "sketch"))
+    families = candidate_families(nodes.filter(F.size("bands") > 0).select("node", "bands", "sketch"), bucket_limit).join(nodes.select("node", "row_key", "text_key", "n_copies", "size"), "node")
+    families = durable(families)
+    links = verified(families, family_texts(docs, families, doc_id, text), family_limit)
     told = nodes.select("node", "row_key", "n_copies").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = told.groupBy("class").agg(F.min("row_key").alias("class_id"))
     told = told.join(least, "class").select("node", F.col("class").alias("class_key"), "class_id", "n_copies", (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("n_linked_texts", F.lit(0)).alias("n_linked_texts"))
@@ -296,12 +327,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the least (row_key, text_key) of their class, one of repeated rows; all columns stay."""
-    least = similarity_classes(docs, doc_id, text).groupBy("class_key").agg(F.min(F.struct("row_key", "text_key")).alias("k"))
-    keys = least.select(F.col("k.row_key").alias("__row_key"), F.col("k.text_key").alias("__text_key"))
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumn("__text_key", F.xxhash64(t)).withColumn("__row_key", F.coalesce(F.col(doc_id).cast("long"), F.col("__text_key")))
-    return rows.join(keys, ["__row_key", "__text_key"], "left_semi").dropDuplicates(["__row_key", "__text_key"]).select(*docs.columns)
+    """The rows of docs with the least (row_key, text_key) of their class, one of repeated rows; all columns stay. Rows that
+    are alone in their class stay where they are; only the others' (by a Bloom filter of their keys) are shuffled."""
+    keys = ["__row_key", "__text_key"]
+    rows = durable(similarity_classes(docs, doc_id, text).select("class_key", F.col("row_key").alias(keys[0]), F.col("text_key").alias(keys[1])))
+    several = durable(rows.groupBy("class_key").agg(F.min(F.struct(*keys)).alias("k"), F.count("*").alias("n")).filter("n > 1"))
+    shared = rows.join(several.select("class_key"), "class_key", "left_semi").select(*keys).distinct()
+    shared = durable(shared.join(several.select("k.*", F.lit(True).alias("__least")), keys, "left").select(*keys, F.coalesce("__least", F.lit(False)).alias("__least")))
+    every = docs.select(*own_columns(docs), *keys_of(doc_id, text, "__"))
+    told = bloom.filtered(every, keys, shared, "__shared")
+    others = every if told is None else told.filter("__shared").drop("__shared")
+    # without a row in `shared`: alone in its class, let through by the filter
+    kept = others.join(shared, keys, "left").filter(F.coalesce("__least", F.lit(True))).dropDuplicates(keys).select(*own_columns(docs))
+    return kept if told is None else told.filter("not __shared").select(*own_columns(docs)).unionByName(kept)
 
 
 #: By joining shingles as texts and walking the links; right on tables of a size where that can be done.

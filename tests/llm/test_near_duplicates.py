@@ -61,6 +61,61 @@ def test_join_equals_brute_force(spark, limits):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_hot_numbers_and_texts(spark, monkeypatch, most):
+    """5,000 rows under one doc_id (2,500 texts, copies and near copies), with a Bloom filter and without: as brute force has it, no
+    row too many, and what is shuffled is less than the texts."""
+    if most is not None:
+        monkeypatch.setattr(J.bloom, "MOST_BROADCAST", most)
+    filler = lambda i: " ".join(f"u{i}x{k}" for k in range(12))
+    rows = [(7, filler(i)) for i in range(2400)] + near_copies(100, 8)[:100] + [(8, "one text under one number many times over")] * 2500
+    rows = [(7 if i < 2500 else d, t) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("mine")).repartition(4)
+    got = J.similarity_classes(docs).collect()
+    texts = sorted({t for _, t in rows})
+    want = brute(list(enumerate(texts)))
+    groups = defaultdict(set)
+    for i, t in enumerate(texts):
+        groups[want[i][0]].add(t)
+    assert len(got) == len(rows) and len({r.class_key for r in got}) == len(groups)
+    size = defaultdict(int)
+    for _, t in rows:
+        size[t] += 1
+    assert {r.n_links for r in got if r.doc_id == 8} == {2499}
+    kept = J.one_of_each_class(docs).collect()
+    assert len(kept) == len(groups) and {r.node for r in kept} == {"mine"}
+    for g in groups.values():
+        assert sum(r.text in g for r in kept) == 1
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    """Families whose shingles exceed a block's bytes are dealt out, with the same result."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", 2000)
+    rows = near_copies(240, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.similarity_classes(docs).collect()} == brute(rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """1,500 texts, each with a partner whose similarity is 0.8 or a little more: every link is found."""
+    r = random.Random(12)
+    rows, linked = [], 0
+    for i in range(1500):
+        a = [f"v{r.randrange(5000)}" for _ in range(r.randint(40, 120))]
+        b = list(a)
+        while True:
+            c = list(b)
+            c[r.randrange(len(c))] = f"z{r.randrange(5000)}"
+            x, y = sets_of(" ".join(a)), sets_of(" ".join(c))
+            if 5 * len(x & y) < 4 * len(x | y):
+                break
+            b = c
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        linked += a != b
+    got = {x.doc_id: x for x in J.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert linked > 1300 and all(got[2 * i].class_id == got[2 * i + 1].class_id == 2 * i and got[2 * i].n_links == 1 for i in range(1500))
+
+
 def test_least_matches():
     assert J.least_matches(96) < 70 and J.least_matches(16) <= J.least_matches(32) <= J.least_matches(96)
 
@@ -122,10 +177,25 @@ def test_pipeline_equals_stage_by_stage_brute_force(spark):
 
 
 def test_stages_on_edges(spark, edge_docs, no_docs, tmp_path):
+    """Nulls, empties, ties, repeated rows and clashing columns: which rows stay, and that the caller's columns do."""
     import corpus_pipeline as P
 
     labels = spark.createDataFrame([(5, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (edge_docs, no_docs):
-        for _, stage in P.STAGES:
-            assert stage(spark, docs, str(tmp_path)).count() >= 0
+    names = ["n_words", "base_failed", "predicted", "hits", "weight", "a.b", "base_spans", "listed"]
+    docs = edge_docs.select("*", *(F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(n) for n in names))
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    left = {"toxicity": 9, "quality": 0, "near_duplicates": 7, "secrets": 9}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = out.collect()
+        assert len(got) == left[name] if name != "quality" else all(len((r.text or "").split()) >= 10 for r in got)
+        for r in got:
+            x = r.asDict()
+            assert (x["score"], x["kept"], x["ids"], x["node"], x["all_spans"]) == (1.0, "y", "z", "x", "w")
+            assert all(x[n] == f"{n} of {'?' if r.doc_id is None else r.doc_id}" for n in names)
+            assert (r.doc_id, r.text) in rows or name == "secrets" and "[SECRET]" in r.text and r.n_chars == len(r.text)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 7
+    assert P.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
