@@ -54,12 +54,9 @@ _INSIDE = re.compile(r"[^\W\d_]+")
 _UNSEEN = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 
 
-def _fold_word(w: str) -> str:
-    # marks at a word's end are punctuation, not letters
-    return w.rstrip("!|.,;:?").translate(_FOLD)
-
-
-_TRICK = re.compile(r"\S*[\d@$!|" + "".join(HOMOGLYPHS) + r"]\S*")
+#: Marks at a word's end are punctuation, not letters.
+_END_MARKS = re.compile(r"[!|.,;:?]+(?=\s|\Z)")
+_TRICK = re.compile(r"[\d@$!|" + "".join(HOMOGLYPHS) + "]")
 
 
 def fold(text: str) -> str:
@@ -67,7 +64,8 @@ def fold(text: str) -> str:
     t = text.lower()
     if not t.isascii():
         t = _UNSEEN.sub("", unicodedata.normalize("NFKC", t)).lower()
-    t = _TRICK.sub(lambda m: _fold_word(m[0]), t)
+    if _TRICK.search(t):
+        t = _END_MARKS.sub("", t).translate(_FOLD)
     return " " + " ".join(_INSIDE.findall(t)) + " "
 
 
@@ -103,7 +101,8 @@ class Model:
             t = fold(text)
             hits: dict[int, float] = {}
             spared: list[tuple[int, int]] = []
-            for reading in readings(t) if ready else ():
+
+            def read(reading: str) -> None:
                 for end, (n, w) in a.iter(reading):
                     start = end - n + 1
                     if w:
@@ -112,6 +111,15 @@ class Model:
                         hits[start] = max(w, hits.get(start, 0.0))
                     else:
                         spared.append((start, end))
+
+            if ready:
+                read(t)
+                if not t.isascii():
+                    # the second reading can matter only where something was found, or an accented word holds an entry without its accents
+                    accented = f" {' '.join([w for w in t.split(' ') if not w.isascii()])} ".translate(_PLAIN)
+                    if hits or any(w for _, (_, w) in a.iter(accented)):
+                        for reading in readings(t)[1:]:
+                            read(reading)
             if spared and hits:
                 # of the phrases that begin up to a hit, the one that reaches furthest decides; both lists are in order
                 spared.sort()
