@@ -47,7 +47,7 @@ BANDS, ROWS = 24, 4
 CHUNK = 16
 TOLERANCE = 1e-7
 #: Rows of a bucket or family that one task takes; blocks of a larger family; shingle bytes of a block.
-BUCKET_LIMIT, FAMILY_LIMIT, MOST_BLOCKS, BLOCK_BYTES = 20_000, 1_000, 64, 16 << 20
+BUCKET_LIMIT, FAMILY_LIMIT, MOST_BLOCKS, BLOCK_BYTES = 20_000, 4_000, 64, 16 << 20
 
 _WORDS = re.compile(r"\w+")
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -189,13 +189,11 @@ def in_blocks(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     """Adds block_a, block_b, own_block: 0 for rows of keys without a row in `blocks` (key, blocks). The others are dealt to
     their key's blocks by a hash of the node; a row goes to every pair of blocks that its own belongs to."""
     big = durable(blocks.filter("blocks > 1"))
-    plain = [F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), F.lit(0).alias("own_block")]
     if big.isEmpty():
-        return rows.select("*", *plain)
-    small = rows.join(big, key, "left_anti").select("*", *plain)
-    dealt = rows.join(big, key).withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    dealt = dealt.select(*rows.columns, F.least("own_block", "other").alias("block_a"), F.greatest("own_block", "other").alias("block_b"), "own_block")
-    return small.unionByName(dealt)
+        return rows.select("*", F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), F.lit(0).alias("own_block"))
+    n = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(big, key, "left").withColumn("own_block", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.select(*rows.columns, F.least("own_block", "other").alias("block_a"), F.greatest("own_block", "other").alias("block_b"), "own_block")
 
 
 def candidate_families(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -260,14 +258,14 @@ def count_links(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray,
     return texts, docs, root
 
 
-def family_texts(docs: DataFrame, families: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row_key, text_key, text): the texts of the families' nodes, one of repeated rows."""
+def family_texts(docs: DataFrame, families: DataFrame, doc_id: str, text: str, repeated: bool = True) -> DataFrame:
+    """(row_key, text_key, text): the texts of the families' nodes, one of repeated rows (where there are any)."""
     keys = ["row_key", "text_key"]
     texts = docs.select(*keys_of(doc_id, text), _text(text).alias("text"))
     near = bloom.filtered(texts, keys, families.select(*keys), "__near")
     # an inner join, as the keys are distinct: the optimizer would move a semi-join below the filter's
     found = (texts if near is None else near.filter("__near").drop("__near")).join(families.select(*keys), keys)
-    return found.groupBy(*keys).agg(F.first("text").alias("text"))
+    return found.groupBy(*keys).agg(F.first("text").alias("text")) if repeated else found
 
 
 def verified(families: DataFrame, texts: DataFrame, family_limit: int = FAMILY_LIMIT) -> DataFrame:
@@ -315,7 +313,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = durable(nodes.select("node", "k.row_key", "k.text_key", "n_copies", "size", "bands", "sketch"))
     families = candidate_families(nodes.filter(F.size("bands") > 0).select("node", "bands", "sketch"), bucket_limit).join(nodes.select("node", "row_key", "text_key", "n_copies", "size"), "node")
     families = durable(families)
-    links = verified(families, family_texts(docs, families, doc_id, text), family_limit)
+    repeated = not marked.groupBy("row_key", "text_key").count().filter("count > 1").isEmpty()
+    links = verified(families, family_texts(docs, families, doc_id, text, repeated), family_limit)
     told = nodes.select("node", "row_key", "n_copies").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = told.groupBy("class").agg(F.min("row_key").alias("class_id"))
     told = told.join(least, "class").select("node", F.col("class").alias("class_key"), "class_id", "n_copies", (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("n_linked_texts", F.lit(0)).alias("n_linked_texts"))

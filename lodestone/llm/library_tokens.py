@@ -13,7 +13,7 @@ import numpy as np
 from .bpe import LETTERS
 from .common import BYTE_SPLIT, UNSAFE, WORD_SPLIT, rule_of
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 
 
 class Words(dict):

@@ -219,11 +219,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     n = {int(r["t"]): r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("t")).count().collect()}
     if not n.get(0) or not n.get(1):
         return Model(curve=(3.0 if n.get(1) else -3.0, 0.0, 0.0))
-    low = F.greatest(F.col("toxic") - 1.28 * F.sqrt("toxic"), F.lit(0.0)) / n[1]
-    high = (F.col("clean") + 1.28 * F.sqrt("clean") + 1) / n[0]
-    good = _count(rows, lambda: _terms).filter(F.col("toxic") >= max(LEAST_SEEN, LEAST_SHARE * n[1])).withColumn("ratio", low / high).filter(F.col("ratio") >= LEAST_RATIO)
-    kept = good.orderBy(F.desc("ratio"), F.desc("toxic"), "term").collect()
-    entries = {r["term"]: min(math.log(r["ratio"]), 6.0) for r in kept}
+    # terms of enough toxic rows first; only those are counted in the clean ones
+    toxic = _count(rows.filter("toxic > 0"), lambda: _terms).filter(F.col("toxic") >= max(LEAST_SEEN, LEAST_SHARE * n[1]))
+    seen = {r["term"]: r["toxic"] for r in toxic.collect()}
+    clean = {r["term"]: r["clean"] for r in _count(rows.filter("toxic <= 0"), lambda: lambda text: _terms(text) & seen.keys()).collect()}
+    entries = {}
+    for term, k in sorted(seen.items()):
+        c = clean.get(term, 0)
+        ratio = max(k - 1.28 * math.sqrt(k), 0.0) / n[1] / ((c + 1.28 * math.sqrt(c) + 1) / n[0])
+        if ratio >= LEAST_RATIO:
+            entries[term] = min(math.log(ratio), 6.0)
     plain = Model(entries)
 
     def phrases():
