@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .retrieval import ranked
 
@@ -39,22 +44,65 @@ def outgoing(edges: DataFrame, least: str = "medium", limit: int | None = None,
     return ranked(kept, [source], [F.asc(role_rank(F.col("role"))), F.desc(confidence_rank(F.col("confidence"))), F.asc(tie)], limit)
 
 
-def walk(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(root, node, depth, path): every path without a repeated node, to a bounded depth. edges: (src, dst), already
-    limited for each node. One equi-join a level; the number of levels is the parameter, not the data."""
-    level = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"))
-    out = level
-    for d in range(1, depth + 1):
-        step = level.join(edges, level["node"] == edges["src"]).filter(~F.array_contains("path", F.col("dst")))
-        level = step.select("root", F.col("dst").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
-        out = out.unionByName(level)
-    return out
-
-
-def first_visits(walked: DataFrame, order: Column) -> DataFrame:
-    """Of all paths to a node from a root, the one that a depth-first walk takes first. `order` is the array of edge
-    positions along the path; a node is expanded where it is met first, so paths through other visits fall away."""
-    return ranked(walked, ["root", "node"], [order.asc()], 1, "visit").drop("visit")
+def chain(roots: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 6) -> DataFrame:
+    """The citations that a depth-first walk from each root meets, in its order: (root, place, depth, src, edge_rank, label, target,
+    expanded). edges: (src, edge_rank, label, target), ranked for each node; target is null where the cited one is not held.
+
+    A node's first `limit` citations are all listed; one is walked on from where it is held, the depth is not used up, and the walk has
+    not expanded it before (one set of visited nodes a root). The walk is sequential, so each root's neighbourhood is gathered first,
+    by a join of distinct nodes a level (at most 1 + limit + ... + limit ** (depth - 1) of them), and walked in the task that sorts it."""
+    kept = edges.filter(F.col("edge_rank") <= limit).select("src", F.col("edge_rank").cast("long").alias("edge_rank"), F.col("label").cast("string").alias("label"), "target")
+    level = roots.select("root", F.col("root").alias("node")).distinct()
+    nodes = level
+    for _ in range(depth - 1):
+        level = level.join(kept.filter("target is not null"), level["node"] == kept["src"]).select("root", F.col("target").alias("node")).distinct()
+        nodes = nodes.unionByName(level)
+    near = nodes.distinct().join(kept, F.col("node") == kept["src"]).select("root", "src", "edge_rank", "label", "target")
+    kind = dict(near.dtypes)["root"]
+    schema = f"root {kind}, place long, depth int, src {kind}, edge_rank long, label string, target {kind}, expanded boolean"
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def walk(root, out: dict) -> list[tuple]:
+        rows: list[tuple] = []
+        seen = {root}
+        stack = [(1, root, e) for e in reversed(out.get(root, []))]
+        while stack:
+            d, src, (rank, label, target) = stack.pop()
+            on = target is not None and target not in seen and d < depth
+            rows.append((root, len(rows), d, src, rank, label, target, on))
+            if on:
+                seen.add(target)
+                stack += [(d + 1, target, e) for e in reversed(out.get(target, []))]
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out = None, {}
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), fields, strict=True)], schema=fields)
+            done.clear()
+            return got
+
+        for b in batches:
+            for root, src, rank, label, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if root != last:
+                    done += walk(last, out) if out else []
+                    last, out = root, {}
+                    if len(done) > 10_000:
+                        yield flush()
+                out.setdefault(src, []).append((rank, label, target))
+        done += walk(last, out) if out else []
+        if done:
+            yield flush()
+
+    return near.repartition("root").sortWithinPartitions("root", "src", "edge_rank").mapInArrow(run, schema)
+
+
+def unparsed(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """(label, citations): cited labels that no held standard has, with how often they are cited; the most cited first by label."""
+    missing = edges.filter("label is not null").join(held.select(F.col("standard_id").alias("label")), "label", "left_anti")
+    return missing.groupBy("label").agg(F.count("*").alias("citations"))
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:

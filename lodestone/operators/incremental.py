@@ -94,6 +94,20 @@ def snapshot_diff(live: DataFrame, snapshot: DataFrame, key: str, fields: list[s
 
 
 def merge_report(previous: DataFrame, run: DataFrame, drop: DataFrame, key: str = "filename") -> DataFrame:
-    """previous without `drop`, overwritten by the run's rows."""
-    kept = previous.join(drop.select(key), key, "left_anti").join(run.select(key), key, "left_anti")
-    return kept.unionByName(run.join(drop.select(key).limit(0), key, "left_anti"))
+    """previous without `drop`, overwritten by the run's rows; report_order() sorts and report_total() sums it."""
+    gone = drop.select(key).unionByName(run.select(key)).distinct()
+    return previous.join(gone, key, "left_anti").unionByName(run)
+
+
+def report_total(report: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of files and the sums, nulls as 0; computed anew from the merged rows."""
+    return report.agg(F.count("*").alias("files"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns))
+
+
+def rows_hash(rows: DataFrame, columns: list[str]) -> str:
+    """A hash of a table's rows as a multiset, in any order: the number of rows and two sums over their fingerprints, combined inside
+    tasks. Nothing is gathered but one row."""
+    f = row_fingerprint(*columns, separator="|")
+    part = lambda at: F.sum(F.conv(F.substring(f, at, 15), 16, 10).cast("decimal(38,0)"))
+    said = rows.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), part(1).cast("string"), part(16).cast("string")), 256)).first()
+    return said[0]

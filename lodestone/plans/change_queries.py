@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import decide, graph, incremental as inc
 from ..operators.retrieval import ranked
 from ..streaming.limiter import rate_limited
+from ..stored import durable
 from .common import quoted, table
 from .retrieval_queries import _BM25, _OWNED, _groups
 
@@ -28,17 +29,30 @@ def outgoing_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return graph.outgoing(_edges(spark, sf), "medium", 8).select("src", "dst", "role", "confidence", "rank")
 
 
+def _cited(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked citations; every tenth part (3, 13, ...) is cited but not held, and so a leaf."""
+    e = graph.outgoing(_edges(spark, sf), "medium", 6)
+    return e.select("src", F.col("rank").alias("edge_rank"), F.concat(F.lit("IS "), F.col("dst").cast("string")).alias("label"), F.when(F.col("dst") % 10 != 3, F.col("dst")).alias("target"))
+
+
 def citation_chain(spark: SparkSession, sf: str) -> DataFrame:
-    e = graph.outgoing(_edges(spark, sf), "medium", 6).select("src", "dst")
-    roots = table(spark, sf, "part").filter("p_partkey < 40").select(F.col("p_partkey").alias("root"))
-    return graph.walk(roots, e, 3).select("root", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    """The walk from every part, three citations deep."""
+    c = graph.chain(table(spark, sf, "part").select(F.col("p_partkey").alias("root")), _cited(spark, sf), 3)
+    return c.select("root", "place", "depth", "src", "label", "expanded")
+
+
+def standard_references(spark: SparkSession, sf: str) -> DataFrame:
+    """A part's chain, two deep, with the whole graph's figures beside it: one row a part that cites something."""
+    c = graph.chain(table(spark, sf, "part").select(F.col("p_partkey").alias("root")), _cited(spark, sf), 2)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat(F.col("depth").cast("string"), F.lit(" "), "label").alias("x")))), lambda x: x["x"])
+    stats = edge_stats(spark, sf)
+    return c.groupBy("root").agg(F.array_join(said, "; ").alias("chain"), F.count_if("expanded").alias("expanded")).join(F.broadcast(stats), F.lit(True))
 
 
-def citation_chain_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As citation_chain, whose SQL fixes its roots to parts below 40; here every part is one."""
-    e = graph.outgoing(_edges(spark, sf), "medium", 6).select("src", "dst")
-    roots = table(spark, sf, "part").select(F.col("p_partkey").alias("root"))
-    return graph.walk(roots, e, 3).select("root", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+def unparsed_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels that are cited but held by no part."""
+    held = table(spark, sf, "part").filter("p_partkey % 10 <> 3").select(F.concat(F.lit("IS "), F.col("p_partkey").cast("string")).alias("standard_id"))
+    return graph.unparsed(_cited(spark, sf), held)
 
 
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,50 +80,37 @@ def link_extract(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("page_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("text"))
 
 
-def _files(spark: SparkSession, sf: str, bounded: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, manifest, chunks) with every case of the decision table. `bounded`: only the keys that the SQL fixes; key
-    arithmetic alone gives every case too (no chunks: k % 23 = 0, no manifest row: k % 3 = 1)."""
-    below = lambda k, n: F.col(k) < n if bounded else F.lit(True)
+def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, manifest, chunks) of every part and lineitem, with every case of the decision table by key arithmetic: no chunks
+    where k % 23 = 0, no manifest row where k % 3 = 1."""
     sha = lambda k: F.sha2(F.concat(F.lit("file"), k.cast("string")), 256)
-    p = table(spark, sf, "part").filter(below("p_partkey", 700)).select(F.col("p_partkey").alias("k"))
-    files = p.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), sha(F.col("k")).alias("sha256"))
-    li = table(spark, sf, "lineitem").filter(below("l_partkey", 650) & (F.col("l_partkey") % 23 != 0)).select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber")
+    name = F.concat(F.lit("f"), F.col("k").cast("string")).alias("source")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    files = p.select(name, sha(F.col("k")).alias("sha256"))
+    li = table(spark, sf, "lineitem").filter("l_partkey % 23 <> 0").select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber")
     n = li.groupBy("k").agg(F.count("*").alias("n"))
-    c = li.join(n, "k")
     stamp = F.when((F.col("k") % 5 == 0) | ((F.col("k") % 7 == 0) & (F.col("l_linenumber") == 1)), F.lit(None)).when(F.col("k") % 11 == 0, F.lit("old")).otherwise(sha(F.col("k")))
-    chunks = c.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), stamp.alias("source_sha256"), (F.col("n") + F.when(F.col("k") % 13 == 0, 1).otherwise(0)).cast("int").alias("source_chunks"))
-    m = p.filter(below("k", 690) & (F.col("k") % 3 != 1)).join(n, "k", "left")
-    manifest = m.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), F.when(F.col("k") % 17 == 0, F.lit("other")).otherwise(sha(F.col("k"))).alias("sha256"), (F.coalesce("n", F.lit(3)) + F.when(F.col("k") % 19 == 0, 1).otherwise(0)).alias("chunks"))
+    chunks = li.join(n, "k").select(name, stamp.alias("source_sha256"), (F.col("n") + F.when(F.col("k") % 13 == 0, 1).otherwise(0)).cast("int").alias("source_chunks"))
+    m = p.filter("k % 3 <> 1").join(n, "k", "left")
+    manifest = m.select(name, F.when(F.col("k") % 17 == 0, F.lit("other")).otherwise(sha(F.col("k"))).alias("sha256"), (F.coalesce("n", F.lit(3)) + F.when(F.col("k") % 19 == 0, 1).otherwise(0)).alias("chunks"))
     return files, manifest, chunks
 
 
-def index_inventory(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
-    return inc.inventory(_files(spark, sf, bounded)[2]).select("source", "n_chunks", "n_stamped", F.size("hashes").cast("long").alias("n_hashes"))
+def index_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.inventory(_files(spark, sf)[2]).select("source", "n_chunks", "n_stamped", F.size("hashes").cast("long").alias("n_hashes"))
 
 
-def index_inventory_all(spark: SparkSession, sf: str) -> DataFrame:
-    return index_inventory(spark, sf, bounded=False)
-
-
-def ingest_decision(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
-    files, manifest, chunks = _files(spark, sf, bounded)
+def ingest_decision(spark: SparkSession, sf: str) -> DataFrame:
+    files, manifest, chunks = _files(spark, sf)
     return inc.ingest_decision(files, manifest, inc.inventory(chunks)).select("source", "n_chunks", "decision", "reason")
 
 
-def ingest_decision_all(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest_decision(spark, sf, bounded=False)
-
-
-def gone_files(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
-    files, manifest, chunks = _files(spark, sf, bounded)
+def gone_files(spark: SparkSession, sf: str) -> DataFrame:
+    files, manifest, chunks = _files(spark, sf)
     present = files.filter(F.substring("source", -1, 1) != "4").select("source")
     return inc.gone_files(inc.inventory(chunks), manifest, present)
 
 
-def gone_files_all(spark: SparkSession, sf: str) -> DataFrame:
-    return gone_files(spark, sf, bounded=False)
-
-
 def stale_chunks(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     new = li.filter("l_shipdate < timestamp_ntz'1999-01-01'")
@@ -151,7 +152,7 @@ def _standards(spark: SparkSession, sf: str) -> DataFrame:
     n = F.regexp_extract("owner", r"(\d+)", 1).cast("int")
     title = F.element_at(F.array(*map(F.lit, ["Methods of test for gears", "Gears - Specification", "Glossary of terms", "Sampling of gears"])), (F.floor(n / 5) + 1).cast("int"))
     sid = F.concat(F.lit("IS "), (100 + F.floor(n / 3)).cast("string"), F.lit(" (Part "), (n % 3 + 1).cast("string"), F.lit(")"))
-    return _groups(spark, sf).select("query", "rank", sid.alias("standard_id"), title.alias("title"), "best_score")
+    return durable(_groups(spark, sf).select("query", "rank", sid.alias("standard_id"), title.alias("title"), "best_score"))
 
 
 def confidence_tier(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,18 +205,34 @@ _E = f"""n AS (SELECT COUNT(*) AS n FROM part), e AS (SELECT p_partkey AS src, (
 o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN role_no = 8 THEN 99 ELSE role_no END, level DESC, edge_no) AS rank FROM e WHERE level >= 1)"""
 _R = f"""{_E}, h0 AS (SELECT 'IS ' || p_partkey AS standard_id, CAST(p_partkey AS VARCHAR) AS number, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 5 AS VARCHAR) ELSE '' END AS part FROM part WHERE p_partkey % 10 <> 3),
 r AS (SELECT edge_no, h0.number IS NOT NULL AS in_corpus, standard_id AS resolved_id, CASE WHEN h0.number IS NOT NULL AND 2000 + edge_no % 3 <> 2001 THEN 'cites ' || (2000 + edge_no % 3) || ', holds 2001' END AS edition_note FROM e LEFT JOIN h0 ON h0.number = CAST(dst AS VARCHAR) AND h0.part = CASE WHEN dst % 2 = 0 THEN CAST(dst % 5 AS VARCHAR) ELSE '' END)"""
-_F = """p AS (SELECT p_partkey AS k, 'f' || p_partkey AS source, sha256('file' || p_partkey) AS sha FROM part WHERE p_partkey < 700),
-li AS (SELECT l_partkey AS k, l_linenumber FROM lineitem WHERE l_partkey < 650 AND l_partkey % 23 <> 0), n AS (SELECT k, COUNT(*) AS n FROM li GROUP BY k),
+_F = """p AS (SELECT p_partkey AS k, 'f' || p_partkey AS source, sha256('file' || p_partkey) AS sha FROM part),
+li AS (SELECT l_partkey AS k, l_linenumber FROM lineitem WHERE l_partkey % 23 <> 0), n AS (SELECT k, COUNT(*) AS n FROM li GROUP BY k),
 c AS (SELECT 'f' || k AS source, CASE WHEN k % 5 = 0 OR (k % 7 = 0 AND l_linenumber = 1) THEN NULL WHEN k % 11 = 0 THEN 'old' ELSE sha256('file' || k) END AS stamp, n + (CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END) AS total FROM li JOIN n USING (k)),
 i AS (SELECT source, COUNT(*) AS n_chunks, COUNT(stamp) AS n_stamped, COUNT(DISTINCT stamp) AS n_hashes, MIN(stamp) AS a_hash, COUNT(DISTINCT CASE WHEN stamp IS NOT NULL THEN total END) AS n_totals, MIN(CASE WHEN stamp IS NOT NULL THEN total END) AS a_total FROM c GROUP BY source),
-m AS (SELECT 'f' || k AS source, CASE WHEN k % 17 = 0 THEN 'other' ELSE sha END AS m_sha, COALESCE(n, 3) + (CASE WHEN k % 19 = 0 THEN 1 ELSE 0 END) AS m_chunks FROM p LEFT JOIN n USING (k) WHERE k < 690 AND k % 3 <> 1)"""
+m AS (SELECT 'f' || k AS source, CASE WHEN k % 17 = 0 THEN 'other' ELSE sha END AS m_sha, COALESCE(n, 3) + (CASE WHEN k % 19 = 0 THEN 1 ELSE 0 END) AS m_chunks FROM p LEFT JOIN n USING (k) WHERE k % 3 <> 1)"""
+
+
+def _walk(depth: int) -> str:
+    """The depth-first walk with one list of visited nodes a root: one step takes the first of the stack, and puts its node's
+    citations in its place where it is held, not expanded yet, and not too deep. v: the steps in order."""
+    kids = "list_transform(kids, lambda x: {{'dst': x.dst, 'src': x.src, 'depth': CAST({d} AS INT)}})"
+    on = f"(stack[1].depth < {depth} AND stack[1].dst % 10 <> 3 AND NOT list_contains(seen, stack[1].dst))"
+    return f"""WITH RECURSIVE {_E}, a AS (SELECT src, list({{'dst': dst, 'src': src}} ORDER BY rank) AS kids FROM o WHERE rank <= 6 GROUP BY src),
+w AS (SELECT src AS root, -1 AS place, {kids.format(d=1)} AS stack, [src] AS seen, CAST(NULL AS STRUCT(dst BIGINT, src BIGINT, depth INT)) AS item, FALSE AS expanded FROM a
+UNION ALL SELECT root, place + 1, CASE WHEN {on} AND kids IS NOT NULL THEN list_concat({kids.format(d='stack[1].depth + 1')}, stack[2:]) ELSE stack[2:] END, CASE WHEN {on} THEN list_append(seen, stack[1].dst) ELSE seen END, stack[1], {on} FROM w LEFT JOIN a ON a.src = w.stack[1].dst WHERE len(stack) > 0),
+v AS (SELECT root, CAST(place AS BIGINT) AS place, item, expanded FROM w WHERE place >= 0)"""
+
+
 _S = """old AS (SELECT o_orderkey AS id, o_orderstatus AS status, sha256(o_orderkey || o_orderpriority || o_orderstatus) AS fp, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS is_active FROM orders WHERE o_orderkey % 3 <> 0),
 new AS (SELECT id, status, sha256(id || title || status) AS fp FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderpriority AS title FROM orders WHERE o_orderkey % 4 <> 1))"""
 _G = f"""{_BM25}, {_OWNED.format(pool=30, k=6)}, st0 AS (SELECT query, rank, best_score, CAST(regexp_extract(owner, '([0-9]+)', 1) AS INT) AS n FROM g),
 st AS (SELECT query, rank, best_score, 100 + n // 3 AS number, n % 3 + 1 AS part, 'IS ' || (100 + n // 3) || ' (Part ' || (n % 3 + 1) || ')' AS standard_id, ['test method', 'product specification', 'terminology', 'sampling'][n // 5 + 1] AS role FROM st0)"""
 SQL = {
     "outgoing_ranked": f"WITH {_E} SELECT src, dst, role, confidence, rank FROM o WHERE rank <= 8",
-    "citation_chain": f"WITH RECURSIVE {_E}, w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth, [p_partkey] AS path FROM part WHERE p_partkey < 40 UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM w JOIN o ON src = node WHERE rank <= 6 AND depth < 3 AND NOT list_contains(path, dst)) SELECT root, node, depth, array_to_string(path, '>') AS path FROM w",
+    "citation_chain": f"{_walk(3)} SELECT root, place, item.depth AS depth, item.src AS src, 'IS ' || item.dst AS label, expanded FROM v",
+    "standard_references": f"""{_walk(2)}, {_R[len(_E) + 2 :]}, s AS (SELECT COUNT(*) AS edges, COUNT(*) FILTER (WHERE in_corpus) AS resolved, COUNT(edition_note) AS outdated FROM r)
+SELECT root, string_agg(item.depth || ' IS ' || item.dst, '; ' ORDER BY place) AS chain, COUNT(*) FILTER (WHERE expanded) AS expanded, any_value(edges) AS edges, any_value(resolved) AS resolved, any_value(outdated) AS outdated FROM v, s GROUP BY root""",
+    "unparsed_targets": f"WITH {_E} SELECT 'IS ' || dst AS label, COUNT(*) AS citations FROM o WHERE rank <= 6 AND dst NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 3) GROUP BY dst",
     "edge_resolve": f"WITH {_R} SELECT * FROM r",
     "edge_stats": f"WITH {_R} SELECT COUNT(*) AS edges, COUNT(*) FILTER (WHERE in_corpus) AS resolved, COUNT(edition_note) AS outdated FROM r",
     "edges_by_confidence": f"WITH {_E} SELECT confidence, COUNT(*) AS n FROM e GROUP BY confidence",
@@ -245,10 +262,7 @@ FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING
     "history_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, key) AS place FROM (SELECT user_id, event_type || '::' || props AS key, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type || '::' || props ORDER BY ts) = 1) QUALIFY place <= 10",
     "ttl_cache": "SELECT event_id, key, age_hours, COALESCE(age_hours <= 24, FALSE) AS hit FROM (SELECT event_id, key, round((s - lag(s) OVER (PARTITION BY key ORDER BY s, event_id)) / 3.6e9, 4) AS age_hours FROM (SELECT event_id, substr(sha256(lower(trim(event_type || ' ' || props))), 1, 16) AS key, epoch_us(ts) AS s FROM events))",
 }
-SQL["citation_chain_all"] = SQL["citation_chain"].replace(" WHERE p_partkey < 40", "")
-_F_ALL = _F.replace(" WHERE p_partkey < 700", "").replace("l_partkey < 650 AND ", "").replace("k < 690 AND ", "")
-SQL |= {f"{k}_all": SQL[k].replace(_F, _F_ALL) for k in ("index_inventory", "ingest_decision", "gone_files")}
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, citation_chain_all, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, index_inventory_all, ingest_decision, ingest_decision_all, gone_files, gone_files_all, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
 }

@@ -1,8 +1,9 @@
-"""Extraction, routing, labelling and whole-answer queries. Where SQL cannot follow an extractor, its SQL states the worked cases."""
+"""Extraction, routing, labelling and whole-answer queries. Extractors that SQL cannot follow over any text are given texts made from
+every row of a table, whose contents SQL works out from the row's key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -10,65 +11,80 @@ from ..functions import text as T
 from ..operators import answer, decide, extract, graph, incremental as inc, market
 from ..sources import documents as D
 from ..sources import tables as S
-from .change_queries import _F, _F_ALL, _R, _files, _resolved
+from .change_queries import _F, _R, _files, _resolved
 from .common import table
 from .retrieval_queries import _categories
+from .text_queries import _roles
 
 
-def _sql_value(x: object) -> str:
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+def _pick(key: Column, *forms: Column) -> Column:
+    """One of several forms, by the key's remainder."""
+    out = forms[-1]
+    for i, f in reversed(list(enumerate(forms[:-1]))):
+        out = F.when(key % len(forms) == i, f).otherwise(out)
+    return out
 
 
-def stated(columns: list[str], rows: list[tuple]) -> str:
-    """SQL that gives the rows themselves."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql_value, r)) + ')' for r in rows)}) AS t({', '.join(columns)})"
+def _five_digits(key: str) -> Column:
+    """A number of five digits, as ids and citations have them."""
+    return (F.col(key) % 80_000 + 10_000).cast("string")
 
 
-CATEGORY_CASES = {
-    "Sodium Hypochlorite Solution (V3) Conforming To Is 11673": ("Sodium Hypochlorite Solution", "IS|11673||", "V3", None, None),
-    "Gate Valve as per IS 778 : 1984 (Q2)": ("Gate Valve", "IS|778||", None, "Q2", None),
-    "Safety Footwear ISI Marked to Is 15298 (Part 2)": ("Safety Footwear", "IS|15298|2|", None, None, "ISI Marked"),
-    "Cable IS 694 (Part II / Sec 1) and IS 694 (Part 2/Sec 1) Under BIS Scheme - I": ("Cable", "IS|694|2|1", None, None, "BIS Scheme - I"),
-    "Plain Paper": ("Plain Paper", "", None, None, None),
-}
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
 def category_parse(spark: SparkSession, sf: str) -> DataFrame:
-    c = spark.createDataFrame([(x,) for x in CATEGORY_CASES], "name string").select(I.parse_category(F.col("name")).alias("c")).select("c.*")
+    """Every part's name with a standard, a version, a tag or a mark, in five forms."""
+    n, what = _five_digits("p_partkey"), F.concat_ws(" ", F.initcap("p_name"), "p_type")
+    forms = (
+        _said(what, " (V", F.col("p_size").cast("string"), ") Conforming To Is ", n),
+        _said(what, " as per IS ", n, " : 1984 (Q", F.col("p_size").cast("string"), ")"),
+        _said(what, " ISI Marked to Is ", n, " (Part 2)"),
+        _said(what, " IS ", n, " (Part II / Sec 1) and IS ", n, " (Part 2/Sec 1) Under BIS Scheme - I"),
+        what,
+    )
+    c = table(spark, sf, "part").select("p_partkey", I.parse_category(_pick(F.col("p_partkey"), *forms)).alias("c")).select("p_partkey", "c.*")
     keys = F.array_join(F.transform("standards", lambda s: I.standard_key(s["doc_type"], s["number"], s["part"], s["section"])), ";")
-    return c.select("name", "product_name", keys.alias("standard_keys"), "version", "listing_tag", "certification")
+    return c.select("p_partkey", "product_name", keys.alias("standard_keys"), "version", "listing_tag", "certification")
 
 
-REFERENCE_PAGES = [
-    (1, "See IS 456 for the details of concrete\nIS 100 is the document itself here\nvalues IS 0456 are zero padded text"),
-    (2, "2 REFERENCES\nIS 456 : 2000 Plain and reinforced concrete - Code of practice\nIS 1199 (Part 2)\nIS 383 are given in the table below"),
-    (3, "10 20 IS 5 30\nRounding off numerical values shall follow IS 2 : 1960 always"),
-]
-REFERENCE_ROWS = [
-    ("456", None, "2000", "Plain and reinforced concrete - Code of practice", "installation", 2, "high", "references_clause"),
-    ("1199", "2", None, None, "installation", 2, "medium", "references_clause"),
-    ("383", None, None, None, "normative reference", 2, "medium", "references_clause"),
-    ("2", None, "1960", None, "general convention", 3, "medium", "inline"),
-]
-REFERENCE_FIELDS = ["to_number", "to_part", "cited_year", "cited_title", "role", "page", "confidence", "source"]
+def _references(spark: SparkSession, sf: str) -> DataFrame:
+    """The citations of every document, a page each, which begins with one of three forms; every seventh cites itself."""
+    d, n = table(spark, sf, "documents"), _five_digits("doc_id")
+    forms = (
+        _said("See IS ", n, " for the details of concrete\n"),
+        _said("2 REFERENCES\nIS ", n, " : 2000 Plain and reinforced concrete - Code of practice\nIS ", (F.col("doc_id") % 80_000 + 10_001).cast("string"), " (Part 2)\n"),
+        _said("Rounding off numerical values shall follow IS ", n, " : 1960 always\n"),
+    )
+    own = F.when(F.col("doc_id") % 7 == 0, n)
+    return extract.references(d.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), _said(_pick(F.col("doc_id"), *forms), F.coalesce("text", F.lit(""))).alias("text"), own.alias("self_number"), F.lit(None).cast("string").alias("self_part")))
 
 
 def reference_extract(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame([("d", n, t, "100", None) for n, t in REFERENCE_PAGES], "doc string, page int, text string, self_number string, self_part string")
-    return extract.references(p).select(*REFERENCE_FIELDS)
+    return _references(spark, sf).select("doc", "to_number", "to_part", "cited_year", "cited_title", "role", "page", "confidence", "source")
 
 
-HTML_CASES = [
-    (1, "".join(f'<a href="/search?q={i}">Pump (V{i})</a>' for i in range(3)), "links", 3),
-    (2, '<a href="/search?q=1">Pump (V1)</a><script>var x={' + ",".join(f'"n{i}":"Valve type {i} (V2)"' for i in range(12)) + "}</script>", "embedded_json", 12),
-    (3, '<div class="product-card">Pipe as Conforming To IS 1239</div>', "containers", 1),
-    (4, '<img alt="Rope (V1)">', "attributes", 1),
-    (5, "<p>Wire ISI Marked</p><p>wire isi marked</p>", "text_shape", 1),
-]
+def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Extraction, resolution and ranking in one: the outgoing edges of every document; each part is a held standard."""
+    none, number = F.lit(None).cast("string"), (F.col("p_partkey") + 10_000).cast("string")
+    held = table(spark, sf, "part").select(_said("IS ", number, " : 2001").alias("standard_id"), number.alias("number"), none.alias("part"), none.alias("section"), F.lit("2001").alias("year"), F.col("p_partkey").alias("position"))
+    r = graph.resolve(_references(spark, sf).withColumn("edge_no", F.struct(F.col("to_number").cast("long"), "to_part", "to_section")), held)
+    return graph.outgoing(r, "low", source="doc").select("doc", "to_number", "resolved_id", "edition_note", "rank")
 
 
 def html_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame([(i, h) for i, h, _, _ in HTML_CASES], "page_id long, html string")
+    """Every page's HTML after names that only one strategy, or a later one in far greater number, finds."""
+    k = F.col("page_id")
+    many = lambda n, f: F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), f), ",")
+    forms = (
+        many(3 + k % 5, lambda i: _said('<a href="/search?q=', i.cast("string"), '">Pump ', i.cast("string"), " (V1)</a>")),
+        _said('<a href="/search?q=1">Pump (V1)</a><script>var x={', many(8 + k % 6, lambda i: _said('"n', i.cast("string"), '":"Valve type ', i.cast("string"), ' (V2)"')), "}</script>"),
+        F.lit('<div class="product-card">Pipe as Conforming To IS 1239</div>'),
+        F.lit('<img alt="Rope (V1)">'),
+        F.lit("<p>Wire ISI Marked</p><p>wire isi marked</p>"),
+    )
+    p = table(spark, sf, "pages").select("page_id", _said(_pick(k, *forms), F.coalesce("html", F.lit(""))).alias("html"))
     return extract.html_categories(p).groupBy("page_id", "found_by").agg(F.count("*").alias("n"))
 
 
@@ -80,8 +96,8 @@ def discover_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_methods(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third page is cut short, OCR has the whole; every seventh claims a legacy font."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("filename"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 10)).otherwise(F.col("text")).alias("text"), F.col("text").alias("ocr_text"), (F.col("doc_id") % 7 == 0).alias("legacy_font"))
+    """Every third page has only its source's name as text, OCR has the whole; every seventh claims a legacy font."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("filename"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("text")).alias("text"), F.col("text").alias("ocr_text"), (F.col("doc_id") % 7 == 0).alias("legacy_font"))
     p = D.page_table(d)
     return p.select("page", "method", "legacy_font", F.col("chars").cast("long").alias("chars"))
 
@@ -121,16 +137,12 @@ def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return inc.upsert_chunks(old, new).groupBy("run").agg(F.count("*").alias("n"))
 
 
-def manifest_repair(spark: SparkSession, sf: str, bounded: bool = True) -> DataFrame:
-    files, manifest, chunks = _files(spark, sf, bounded)
+def manifest_repair(spark: SparkSession, sf: str) -> DataFrame:
+    files, manifest, chunks = _files(spark, sf)
     decided = inc.ingest_decision(files, manifest, inc.inventory(chunks))
     return inc.repaired_manifest(decided, manifest).select("source", "sha256", "chunks")
 
 
-def manifest_repair_all(spark: SparkSession, sf: str) -> DataFrame:
-    return manifest_repair(spark, sf, bounded=False)
-
-
 def edge_labels(spark: SparkSession, sf: str) -> DataFrame:
     e = _resolved(spark, sf)
     return e.select("edge_no", I.edge_label(F.col("resolved_id"), F.col("to_number"), F.col("to_part"), F.col("cited_year")).alias("label"))
@@ -145,25 +157,19 @@ def allied_list(spark: SparkSession, sf: str) -> DataFrame:
     return decide.allied(g, m, 8)
 
 
-LADDER = [(1, "Recess Mnt 230V 36W LED Fixture 600x600mm", "Recess LED Fixture|LED Fixture"), (2, "bevel gear for red pump", "bevel gear red pump|bevel gear pump|bevel gear"), (3, "12 mm", "12 mm")]
-
-
 def search_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.createDataFrame([(i, t) for i, t, _ in LADDER], "query_id long, text string")
-    vocab = spark.createDataFrame([("led", 49), ("fixture", 8), ("bevel", 1), ("gear", 5), ("pump", 90)], "word string, df long")
-    return market.search_ladder(q, vocab).select("query_id", F.array_join("ladder", "|").alias("ladder"))
-
-
-LABELS = [
-    ("IS 1", "SPECIFICATION FOR RED PAINT - METHODS OF SAMPLING AND TEST", "IS 1 - Red paint", "SPECIFICATION FOR RED PAINT - METHODS OF SAMPLING AND TEST"),
-    ("IS 2", "Paint - Specification", "IS 2 - Paint", "Paint - Specification"),
-    ("IS 3", "Sewing machine Part 2 Accuracy requirements", "IS 3 - Sewing machine Part 2 Accuracy requirements", "Accuracy requirements"),
-]
+    """Every part asks, with measures, filler and at times an unknown word, against the words of all categories."""
+    text = _said("Supply of ", F.col("p_name"), " 230V 36W ", F.col("p_type"), " 600x600mm 12 ", F.when(F.col("p_partkey") % 4 == 0, "zzgizmo").otherwise("nos"))
+    q = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    return market.search_ladder(q, market.vocabulary(_categories(spark, sf))).select("query_id", F.array_join("ladder", "|").alias("ladder"))
 
 
 def option_labels(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(a, b) for a, b, _, _ in LABELS], "standard_id string, title string")
-    return t.select("standard_id", extract.short_label(F.col("standard_id"), F.col("title")).alias("label"), extract.aspect_phrase(F.array().cast("array<string>"), F.col("title")).alias("aspect"))
+    """Every part's name inside three kinds of titles."""
+    name = F.col("p_name")
+    title = _pick(F.col("p_partkey"), _said("SPECIFICATION FOR ", F.upper(name), " - METHODS OF SAMPLING AND TEST"), _said(name, " - Specification"), _said("Sewing machine Part 2 ", F.initcap(name), " requirements"))
+    t = table(spark, sf, "part").select("p_partkey", _said("IS ", F.col("p_partkey").cast("string")).alias("standard_id"), title.alias("title"))
+    return t.select("p_partkey", extract.short_label(F.col("standard_id"), F.col("title")).alias("label"), extract.aspect_phrase(F.array().cast("array<string>"), F.col("title")).alias("aspect"))
 
 
 def verify_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,66 +197,28 @@ def document_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select(F.col("request").alias("conv_id"), "owner", "passage_hits", "rank")
 
 
-def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Extraction, resolution and ranking in one: the outgoing edges of the worked pages."""
-    held = spark.createDataFrame([("IS 456 : 2016", "456", "", "", "2016", 1), ("IS 383 : 1970", "383", None, None, "1970", 2)], "standard_id string, number string, part string, section string, year string, position int")
-    p = spark.createDataFrame([("d", n, t, "100", None) for n, t in REFERENCE_PAGES], "doc string, page int, text string, self_number string, self_part string")
-    r = graph.resolve(extract.references(p).withColumn("edge_no", F.col("to_number").cast("long")), held)
-    return graph.outgoing(r, "low", source="doc").select("to_number", "resolved_id", "edition_note", "rank")
-
-
-def category_parse_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every part's name, with a version and a standard made of its size and the last six digits of its key."""
-    name = F.concat(F.concat_ws(" ", "p_name", "p_type"), F.lit(" (V"), F.col("p_size").cast("string"), F.lit(") Conforming To IS "), (F.col("p_partkey") % 1_000_000).cast("string"))
-    c = table(spark, sf, "part").select("p_partkey", I.parse_category(name).alias("c")).select("p_partkey", "c.*")
-    keys = F.array_join(F.transform("standards", lambda s: I.standard_key(s["doc_type"], s["number"], s["part"], s["section"])), ";")
-    return c.select("p_partkey", "name", "product_name", keys.alias("standard_keys"), "version", "listing_tag", "certification")
-
-
-def _references(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return extract.references(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text", none.alias("self_number"), none.alias("self_part")))
-
-
-def reference_extract_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The citations in every document, each a page."""
-    return _references(spark, sf).select("doc", *REFERENCE_FIELDS)
-
-
-def html_strategy_all(spark: SparkSession, sf: str) -> DataFrame:
-    """What every page's HTML names, by strategy."""
-    return extract.html_categories(table(spark, sf, "pages").select("page_id", "html")).groupBy("page_id", "found_by").agg(F.count("*").alias("n"))
-
-
-def search_ladder_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The searches of every benchmark row, against the words of all categories."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return market.search_ladder(q, market.vocabulary(_categories(spark, sf))).select("query_id", F.array_join("ladder", "|").alias("ladder"))
-
-
-def option_labels_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every part's name as a title."""
-    t = table(spark, sf, "part").select(F.concat(F.lit("IS "), F.col("p_partkey").cast("string")).alias("standard_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    return t.select("standard_id", extract.short_label(F.col("standard_id"), F.col("title")).alias("label"), extract.aspect_phrase(F.array().cast("array<string>"), F.col("title")).alias("aspect"))
-
-
-def graph_edges_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The outgoing edges of every document; each part is a held standard of its key."""
-    number, none = F.col("p_partkey").cast("string"), F.lit(None).cast("string")
-    held = table(spark, sf, "part").select(F.concat(F.lit("IS "), number, F.lit(" : 2001")).alias("standard_id"), number.alias("number"), none.alias("part"), none.alias("section"), F.lit("2001").alias("year"), F.col("p_partkey").alias("position"))
-    r = graph.resolve(_references(spark, sf).withColumn("edge_no", F.struct(F.col("to_number").cast("long"), "to_part", "to_section")), held)
-    return graph.outgoing(r, "low", source="doc").select("doc", "to_number", "resolved_id", "edition_note", "rank")
-
-
-_PAGES = """SELECT doc_id AS page, source AS filename, CASE WHEN doc_id % 3 = 0 AND length(trim(substr(text, 1, 10))) < 200 AND length(s) > length(trim(substr(text, 1, 10))) THEN 'ocr' WHEN doc_id % 3 <> 0 AND length(s) < 200 AND FALSE THEN 'ocr' ELSE 'text' END AS m0, s, trim(substr(text, 1, 10)) AS cut
-FROM (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\\s*\n\\s*\n+', chr(10) || chr(10), 'g')) AS s FROM documents)"""
+_PAGES = r"""SELECT doc_id AS page, source AS filename, CASE WHEN doc_id % 3 = 0 AND length(trim(source)) < 200 AND length(s) > length(trim(source)) THEN 'ocr' ELSE 'text' END AS m0, s, trim(source) AS cut
+FROM (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')) AS s FROM documents)"""
 _METHODS = f"SELECT page, filename, CASE WHEN page % 7 = 0 THEN 'legacy-font' ELSE m0 END AS method, page % 7 = 0 AS legacy_font, CAST(length(CASE WHEN page % 3 = 0 AND m0 = 'text' THEN cut ELSE s END) AS BIGINT) AS chars FROM ({_PAGES})"
+_CONCRETE = "'IS ' || n || ' : 2000 Plain and reinforced concrete - Code of practice"
+#: What the three forms hold: number, part, year, title, context, confidence, source.
+_REFERENCES = f"""d AS (SELECT doc_id AS doc, doc_id % 80000 + 10000 AS n, doc_id % 7 = 0 AS own FROM documents),
+y AS (SELECT doc, own, n, CAST(NULL AS VARCHAR) AS to_part, CAST(NULL AS VARCHAR) AS cited_year, CAST(NULL AS VARCHAR) AS cited_title, 'See IS ' || n || ' for the details of concrete' AS context, 'low' AS confidence, 'inline' AS source FROM d WHERE doc % 3 = 0
+UNION ALL SELECT doc, own, n, NULL, '2000', 'Plain and reinforced concrete - Code of practice', '', 'high', 'references_clause' FROM d WHERE doc % 3 = 1
+UNION ALL SELECT doc, FALSE, n + 1, '2', NULL, NULL, {_CONCRETE} IS ' || (n + 1) || ' (Part 2)', 'medium', 'references_clause' FROM d WHERE doc % 3 = 1
+UNION ALL SELECT doc, own, n, NULL, '1960', NULL, 'Rounding off numerical values shall follow IS ' || n || ' : 1960 always', 'medium', 'inline' FROM d WHERE doc % 3 = 2),
+x AS (SELECT doc, CAST(n AS VARCHAR) AS to_number, to_part, cited_year, cited_title, {_roles("COALESCE(cited_title, '') || ' ' || context", T.REFERENCE_ROLES, "normative reference")} AS role, 1 AS page, confidence, source FROM y WHERE NOT own)"""
 _SHARE = r"CASE WHEN rest = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) / rest END"
 SQL = {
-    "category_parse": stated(["name", "product_name", "standard_keys", "version", "listing_tag", "certification"], [(k, *v) for k, v in CATEGORY_CASES.items()]),
-    "reference_extract": stated(REFERENCE_FIELDS, REFERENCE_ROWS),
-    "html_strategy": stated(["page_id", "found_by", "n"], [(i, s, n) for i, _, s, n in HTML_CASES]),
-    "discover_ids": "SELECT page_id, upper(id) AS standard_id, sha256(said) AS row_hash, page_id % 5 <> 0 AS complete FROM (SELECT page_id, 'IS ' || page_id || ' : 2000' AS id, 'is ' || page_id || ' : 2000 b' AS said FROM pages UNION ALL SELECT page_id, 'IS 9' || page_id, 'IS 9' || page_id FROM pages) WHERE page_id < 100000",
+    "category_parse": """SELECT p_partkey, what AS product_name, CASE p_partkey % 5 WHEN 2 THEN 'IS|' || n || '|2|' WHEN 3 THEN 'IS|' || n || '|2|1' WHEN 4 THEN '' ELSE 'IS|' || n || '||' END AS standard_keys,
+CASE WHEN p_partkey % 5 = 0 THEN 'V' || p_size END AS version, CASE WHEN p_partkey % 5 = 1 THEN 'Q' || p_size END AS listing_tag, CASE p_partkey % 5 WHEN 2 THEN 'ISI Marked' WHEN 3 THEN 'BIS Scheme - I' END AS certification
+FROM (SELECT *, p_partkey % 80000 + 10000 AS n, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_type AS what FROM part)""",
+    "reference_extract": f"WITH {_REFERENCES} SELECT doc, to_number, to_part, cited_year, cited_title, role, page, confidence, source FROM x",
+    "graph_edges": f"""WITH {_REFERENCES}, j AS (SELECT x.*, p_partkey, row_number() OVER (PARTITION BY doc ORDER BY CASE role {' '.join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(graph.ROLE_ORDER))} ELSE 99 END, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CAST(to_number AS BIGINT)) AS rank
+FROM x LEFT JOIN part ON CAST(p_partkey + 10000 AS VARCHAR) = to_number AND to_part IS NULL)
+SELECT doc, to_number, 'IS ' || (p_partkey + 10000) || ' : 2001' AS resolved_id, CASE WHEN p_partkey IS NOT NULL AND cited_year <> '2001' THEN 'cites ' || cited_year || ', holds 2001' END AS edition_note, rank FROM j""",
+    "html_strategy": """SELECT page_id, ['links', 'embedded_json', 'containers', 'attributes', 'text_shape'][CAST(page_id % 5 + 1 AS INT)] AS found_by, CASE page_id % 5 WHEN 0 THEN 3 + page_id % 5 WHEN 1 THEN 8 + page_id % 6 ELSE 1 END AS n FROM pages""",
+    "discover_ids": "SELECT page_id, upper(id) AS standard_id, sha256(said) AS row_hash, page_id % 5 <> 0 AS complete FROM (SELECT page_id, 'IS ' || page_id % 100000 || ' : 2000' AS id, 'is ' || page_id % 100000 || ' : 2000 b' AS said FROM pages UNION ALL SELECT page_id, 'IS 9' || page_id % 100000, 'IS 9' || page_id % 100000 FROM pages)",
     "page_methods": f"SELECT page, method, legacy_font, chars FROM ({_METHODS})",
     "page_summary": f"SELECT filename, COUNT(*) AS total_pages, CAST(SUM(chars) AS BIGINT) AS total_chars, COUNT(*) FILTER (WHERE method = 'ocr') AS ocr_pages, COUNT(*) FILTER (WHERE method = 'empty') AS empty_pages, COUNT(*) FILTER (WHERE legacy_font) AS legacy_font_pages, round(SUM(chars) / COUNT(*), 1) AS chars_per_page FROM ({_METHODS}) GROUP BY filename",
     "chunk_metadata": "SELECT CAST(s_suppkey AS VARCHAR) AS filename, CASE WHEN s_suppkey % 3 <> 0 THEN 'IS ' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS standard_id, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 <> 0 THEN s_name END AS title FROM supplier",
@@ -260,13 +228,16 @@ SQL = {
     "edge_labels": f"WITH {_R} SELECT r.edge_no, COALESCE(resolved_id, 'IS ' || dst || CASE WHEN dst % 2 = 0 THEN ' (Part ' || (dst % 5) || ')' ELSE '' END || ' : ' || (2000 + r.edge_no % 3)) AS label FROM r JOIN e ON e.edge_no = r.edge_no",
     "allied_list": f"""WITH {_R}, u AS (SELECT edge_no // 3 AS query, resolved_id AS code, 'cited' AS role, 'reference clause' AS source, 0 AS tier, edge_no AS seen, resolved_id AS k FROM r WHERE in_corpus UNION ALL SELECT p_partkey, 'IS ' || p_partkey || ' : 1999', 'proposed', 'model', 1, 0, 'IS ' || p_partkey FROM part),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY tier, seen) = 1) SELECT query, code, role, source, row_number() OVER (PARTITION BY query ORDER BY tier, seen) AS place FROM f QUALIFY place <= 8""",
-    "search_ladder": stated(["query_id", "ladder"], [(i, x) for i, _, x in LADDER]),
-    "option_labels": stated(["standard_id", "label", "aspect"], [(a, c, d) for a, _, c, d in LABELS]),
+    "search_ladder": """WITH cat AS (SELECT DISTINCT p_name || ' ' || p_type AS c FROM part), v AS (SELECT word, COUNT(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(c), '[a-z0-9]{2,}'))) AS word FROM cat) GROUP BY word),
+q AS (SELECT p_partkey AS query_id, list_concat(string_split(p_name, ' '), [p_type]) AS known FROM part), w AS (SELECT query_id, unnest(known) AS w, generate_subscripts(known, 1) AS pos FROM q),
+two AS (SELECT query_id, w, pos FROM w JOIN v ON word = lower(w) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, pos) <= 2), r AS (SELECT query_id, string_agg(w, ' ' ORDER BY pos) AS rare FROM two GROUP BY query_id)
+SELECT query_id, CASE WHEN query_id % 4 = 0 THEN array_to_string(known, ' ') || ' zzgizmo|' ELSE '' END || array_to_string(known, ' ') || '|' || rare AS ladder FROM q JOIN r USING (query_id)""",
+    "option_labels": """SELECT p_partkey, 'IS ' || p_partkey || ' - ' || CASE p_partkey % 3 WHEN 0 THEN upper(p_name[1]) || p_name[2:] WHEN 1 THEN p_name ELSE 'Sewing machine Part 2 ' || cap || ' requirements' END AS label,
+CASE p_partkey % 3 WHEN 0 THEN 'SPECIFICATION FOR ' || upper(p_name) || ' - METHODS OF SAMPLING AND TEST' WHEN 1 THEN p_name || ' - Specification' ELSE cap || ' requirements' END AS aspect
+FROM (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS cap FROM part)""",
     "verify_categories": "SELECT p_name || ' ' || p_partkey AS name, p_partkey % 3 <> 0 AS live, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN 'p_size' END AS changed FROM part",
-    "graph_edges": stated(["to_number", "resolved_id", "edition_note", "rank"], [("456", "IS 456 : 2016", "cites 2000, holds 2016", 1), ("1199", None, None, 2), ("383", "IS 383 : 1970", None, 3), ("2", None, None, 4)]),
 }
-SQL["manifest_repair_all"] = SQL["manifest_repair"].replace(_F, _F_ALL)
 QUERIES = {
     f.__name__: f
-    for f in (category_parse, reference_extract, html_strategy, discover_ids, page_methods, page_summary, chunk_pages, passage_pack, chunk_metadata, language_route, chunk_upsert, manifest_repair, manifest_repair_all, edge_labels, allied_list, search_ladder, option_labels, verify_categories, recommendations, document_recommendations, graph_edges, category_parse_all, reference_extract_all, html_strategy_all, search_ladder_all, option_labels_all, graph_edges_all)
+    for f in (category_parse, reference_extract, graph_edges, html_strategy, discover_ids, page_methods, page_summary, chunk_pages, passage_pack, chunk_metadata, language_route, chunk_upsert, manifest_repair, edge_labels, allied_list, search_ladder, option_labels, verify_categories, recommendations, document_recommendations)
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import market, retrieval as R
+from ..operators import answer, market, retrieval as R
 from .common import quoted, table, tokens_sql
 
 
@@ -19,16 +19,10 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    q = v.filter("vec_id < 50").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return R.knn(q, v.select("vec_id", F.col("embedding").alias("v")), 20).select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
-
-
-def knn_topk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As knn_topk, whose SQL fixes its queries to the first fifty ids; here every vec_id divisible by 50 asks."""
+    """Every vec_id divisible by 50 asks, against all vectors."""
     v = table(spark, sf, "embeddings")
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return R.knn_in_blocks(q, v.select("vec_id", F.col("embedding").alias("v")), 20).select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
+    return R.knn(q, v.select("vec_id", F.col("embedding").alias("v")), 20).select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
 
 
 def _second_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,28 +49,33 @@ def rank_sources(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.col("query").alias("item_id"), F.col("owner").alias("source"), F.round("best_score", 4).alias("best_score"), "n_hits", F.round("score", 4).alias("score"), "rank", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ",").alias("chunks"))
 
 
-def merge_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations are the requests, their turns of number 0 to 2 the passages."""
-    c = table(spark, sf, "conversations").filter("turn < 3 and conv_id % 10 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("pid"), "text")
-    hits = R.bm25(c, table(spark, sf, "documents"), 20, query="pid", fill=False).join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner")), "doc")
-    groups = R.group_by_owner(hits, 4).select(F.floor(F.col("query") / 100).alias("request"), (F.col("query") % 100).alias("passage"), "owner", "best_score", "chunks")
-    m = R.merge_passages(groups)
-    return m.select(F.col("request").alias("conv_id"), F.col("owner").alias("source"), F.round("best_score", 4).alias("best_score"), "passage_hits", F.round("score", 4).alias("score"), "rank")
+def passage_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The four best passages of both lists. What is searched names the source, its number and language; every fifth chunk has no id,
+    and goes by the hash of its text. The fused score stands for an outside reranker's, which halves it for French."""
+    d = table(spark, sf, "documents").withColumn("number", F.regexp_extract("source", r"(\d+)", 1))
+    key = R.chunk_key(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("c"), F.col("doc_id").cast("string"))), F.concat_ws("|", F.col("doc_id").cast("string"), "text"))
+    c = d.select(key.alias("key"), "doc_id", "lang", R.index_text(F.col("text"), F.concat(F.lit("IS "), "number"), F.col("lang"), F.col("source"), F.col("number")).alias("text"))
+    dense = _second_list(spark, sf).withColumnRenamed("item_id", "query").join(c.select("doc_id", "key"), "doc_id").select("query", "rank", "key")
+
+    def scorer(x: DataFrame) -> DataFrame:
+        return x.join(c.select("key", "lang"), "key").withColumn("rerank_score", F.when(F.col("lang") == "fr", F.col("score") / 2).otherwise(F.col("score")))
+
+    out = R.passage_search(table(spark, sf, "benchmark"), c.select("key", "text"), dense, scorer, query="item_id")
+    return out.select(F.col("query").alias("item_id"), "key", F.round("rerank_score", 6).alias("score"), "rank")
 
 
-def merge_passages_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As merge_passages, whose SQL fixes it to a tenth of the conversations and three turns; here all of both."""
+def merge_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations are the requests, their turns the passages."""
     c = table(spark, sf, "conversations").select(F.struct(F.col("conv_id").alias("request"), F.col("turn").alias("passage")).alias("pid"), "text")
     hits = R.bm25(c, table(spark, sf, "documents"), 20, query="pid", fill=False).join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner")), "doc")
     m = R.merge_passages(R.group_by_owner(hits, 4).select("query.request", "query.passage", "owner", "best_score", "chunks"))
     return m.select(F.col("request").alias("conv_id"), F.col("owner").alias("source"), F.round("best_score", 4).alias("best_score"), "passage_hits", F.round("score", 4).alias("score"), "rank")
 
 
-NEEDS = [(1, "small ring for gear"), (2, "red widget and bolt"), (3, "economy large valve"), (4, "polished zzgizmo"), (5, "the supply of material")]
-
-
-def _needs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NEEDS, "query_id long, text string")
+def _needs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part asks: for things of its name and type, or with a word that no category has."""
+    text = F.concat_ws(" ", F.lit("the supply of"), "p_name", F.when(F.col("p_partkey") % 5 == 0, F.lit("zzgizmo")).otherwise(F.lower("p_type")), F.when(F.col("p_partkey") % 7 == 0, F.lit("polished")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
 
 
 def _categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,48 +83,26 @@ def _categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def idf_keyword_match(spark: SparkSession, sf: str) -> DataFrame:
-    return market.idf_match(_needs(spark), _categories(spark, sf), 15).select("query", "category", F.round("score", 4).alias("score"), "hits", "rank")
+    return market.idf_match(_needs(spark, sf), _categories(spark, sf), 15).select("query", "category", F.round("score", 4).alias("score"), "hits", "rank")
 
 
 def suggest_categories(spark: SparkSession, sf: str) -> DataFrame:
-    words = market.idf_match(_needs(spark), _categories(spark, sf), 15)
-    exact = _categories(spark, sf).filter("category like 'red ring%'").select(F.lit(2).cast("long").alias("query"), "category", F.dense_rank().over(R.Window.orderBy("category")).alias("position"))
-    return market.suggest(exact, words).select("query", "category", "tier", F.round("score", 1).alias("score"), "rank")
+    """Every third part cites its own category outright."""
+    words = market.idf_match(_needs(spark, sf), _categories(spark, sf), 15)
+    exact = table(spark, sf, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("query"), F.concat_ws(" ", "p_name", "p_type").alias("category"), F.lit(1).alias("position"))
+    return market.suggest(exact, words).select("query", "category", "tier", "score", "rank")
 
 
 def unknown_terms(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _needs(spark).select("query_id", F.explode(F.array_distinct(T.query_terms(F.col("text")))).alias("word"))
-    return asked.join(market.vocabulary(_categories(spark, sf)), "word", "left_anti")
-
-
-def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
-def idf_keyword_match_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As idf_keyword_match, whose SQL fixes its needs to the five NEEDS; here every benchmark row asks."""
-    return market.idf_match(_asked(spark, sf), _categories(spark, sf), 15).select("query", "category", F.round("score", 4).alias("score"), "hits", "rank")
-
-
-def suggest_categories_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark row asks; exact hits are the categories whose whole name its text holds."""
-    words = market.idf_match(_asked(spark, sf), _categories(spark, sf), 15)
-    held = _asked(spark, sf).join(_categories(spark, sf), F.lower("text").contains(F.lower("category")))
-    exact = R.ranked(held.select(F.col("query_id").alias("query"), "category"), ["query"], [F.asc("category")], name="position")
-    return market.suggest(exact, words).select("query", "category", "tier", F.round("score", 1).alias("score"), "rank")
-
-
-def unknown_terms_all(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _asked(spark, sf).select("query_id", F.explode(F.array_distinct(T.query_terms(F.col("text")))).alias("word"))
+    asked = _needs(spark, sf).select("query_id", F.explode(F.array_distinct(T.query_terms(F.col("text")))).alias("word"))
     return asked.join(market.vocabulary(_categories(spark, sf)), "word", "left_anti")
 
 
 def eval_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Expected: the source of the document that holds the item's text best by id; measured on the ranked sources."""
     want = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner"))
-    rank = want.join(_groups(spark, sf, 5).select("query", "owner", "rank"), ["query", "owner"], "left")
-    hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
-    return rank.agg(F.count("*").alias("n"), hit(1).alias("recall_1"), hit(3).alias("recall_3"), hit(5).alias("recall_5"), F.round(F.sum(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))) / F.count("*"), 6).alias("mrr"), F.count_if(F.col("rank").isNull()).alias("not_found"))
+    r = answer.evaluate(_groups(spark, sf, 5), want.withColumnRenamed("owner", "expected"), 5)
+    return r.select("n", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")), "not_found")
 
 
 def source_citations(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,11 +113,11 @@ def source_citations(spark: SparkSession, sf: str) -> DataFrame:
     return R.ranked(first, ["query"], [F.asc("first")], name="place").select(F.col("query").alias("item_id"), "citation", "place")
 
 
-def _hits(text: str, rows: str, key: str) -> str:
-    """Common table expressions: post, asked and hits of BM25 of `rows` (key, text) against documents."""
+def _hits(text: str, rows: str, key: str, docs: str = "documents") -> str:
+    """Common table expressions: post, asked and hits of BM25 of `rows` (key, text) against `docs` (doc_id, text)."""
     return f"""
-post AS (SELECT doc_id, token, COUNT(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)) GROUP BY doc_id, token),
-size AS (SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM (SELECT {tokens_sql('text')} AS t FROM documents)),
+post AS (SELECT doc_id, token, COUNT(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM {docs})) GROUP BY doc_id, token),
+size AS (SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM (SELECT {tokens_sql('text')} AS t FROM {docs})),
 df AS (SELECT token, ln(n - c + 0.5) - ln(c + 0.5) AS raw FROM (SELECT token, COUNT(*) AS c FROM post GROUP BY token), size),
 idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT AVG(raw) FROM df) ELSE raw END AS idf FROM df),
 asked AS (SELECT query, token, COUNT(*) AS qn FROM (SELECT {key} AS query, unnest({tokens_sql(text)}) AS token FROM {rows}) GROUP BY query, token),
@@ -153,9 +130,13 @@ _OWNED = """
 h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM hits QUALIFY rank <= {pool}),
 g0 AS (SELECT query, source AS owner, MAX(score) AS best_score, COUNT(*) AS n_hits, MIN(rank) AS seen, list(doc_id ORDER BY rank)[1:3] AS chunks FROM h JOIN documents USING (doc_id) GROUP BY query, source),
 g AS (SELECT *, best_score + ln(1 + n_hits) AS score, row_number() OVER (PARTITION BY query ORDER BY round(best_score + ln(1 + n_hits), 6) DESC, seen) AS rank FROM g0 QUALIFY rank <= {k})"""
+_SHARED = f"""
+q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.FILLER_WORDS)})))) AS w FROM benchmark),
+d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.FILLER_WORDS)})))) AS w FROM documents),
+s AS (SELECT item_id AS query, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY COUNT(*) DESC, doc_id) AS rank FROM q JOIN d USING (w) GROUP BY item_id, doc_id QUALIFY rank <= 20)"""
 _CATEGORIES = "cat AS (SELECT DISTINCT p_name || ' ' || p_type AS category FROM part)"
 _IDF = f"""
-needs AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in NEEDS)}) AS t(query, text)), {_CATEGORIES},
+needs AS (SELECT p_partkey AS query, 'the supply of ' || p_name || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'zzgizmo' ELSE lower(p_type) END || CASE WHEN p_partkey % 7 = 0 THEN ' polished' ELSE '' END AS text FROM part), {_CATEGORIES},
 w AS (SELECT category, len(l) AS n_words, unnest(l) AS word FROM (SELECT category, list_distinct(regexp_extract_all(lower(category), '[a-z0-9]{{2,}}')) AS l FROM cat)),
 i AS (SELECT word, ln((SELECT COUNT(*) FROM cat) / COUNT(*)) AS idf FROM w GROUP BY word),
 a AS (SELECT query, word, idf FROM (SELECT query, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda x: x NOT IN ({quoted(T.QUERY_NOISE)})))) AS word FROM needs) JOIN i USING (word) WHERE idf > 0),
@@ -163,21 +144,25 @@ m0 AS (SELECT query, category, SUM(idf) / (SELECT SUM(idf) FROM a b WHERE b.quer
 m AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, category) AS rank FROM m0 WHERE score >= 0.1 QUALIFY rank <= 15)"""
 SQL = {
     "bm25_topk": f"{_BM25}, {_FILLED} SELECT query AS item_id, doc_id, round(score, 4) AS score, rank FROM top",
-    "knn_topk": "SELECT a.vec_id AS query, b.vec_id, round(1 - d, 4) + 0.0 AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - d, 6), b.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id < 50) a CROSS JOIN embeddings b, LATERAL (SELECT list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS d) QUALIFY rank <= 20",
-    "rrf_fuse": f"""{_BM25}, {_FILLED},
-q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.FILLER_WORDS)})))) AS w FROM benchmark),
-d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.FILLER_WORDS)})))) AS w FROM documents),
-s AS (SELECT item_id AS query, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY COUNT(*) DESC, doc_id) AS rank FROM q JOIN d USING (w) GROUP BY item_id, doc_id QUALIFY rank <= 20),
+    "knn_topk": "SELECT a.vec_id AS query, b.vec_id, round(1 - d, 4) + 0.0 AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - d, 6), b.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) a CROSS JOIN embeddings b, LATERAL (SELECT list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS d) QUALIFY rank <= 20",
+    "rrf_fuse": f"""{_BM25}, {_FILLED}, {_SHARED},
 u AS (SELECT query, doc_id, 0 AS list_no, rank FROM s UNION ALL SELECT query, doc_id, 1, rank FROM top)
 SELECT query AS item_id, doc_id, round(SUM(1 / (60 + rank)), 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(SUM(1 / (60 + rank)), 9) DESC, MIN(list_no * 1000 + rank)) AS fused_rank FROM u GROUP BY query, doc_id""",
     "rank_sources": f"{_BM25}, {_OWNED.format(pool=30, k=6)} SELECT query AS item_id, owner AS source, round(best_score, 4) AS best_score, n_hits, round(score, 4) AS score, rank, array_to_string(chunks, ',') AS chunks FROM g",
-    "merge_passages": f"""WITH p AS (SELECT conv_id * 100 + turn AS pid, text FROM conversations WHERE turn < 3 AND conv_id % 10 = 0), {_hits('text', 'p', 'pid')}, {_OWNED.format(pool=20, k=4)},
-m AS (SELECT query // 100 AS request, owner, MAX(best_score) AS best_score, COUNT(*) AS passage_hits, MIN(query % 100) AS seen FROM g GROUP BY request, owner)
+    "passage_search": f"""WITH k AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 <> 0 THEN 'c' || doc_id ELSE 'sha:' || sha1(doc_id || '|' || text) END AS key, 'IS ' || regexp_extract(source, '([0-9]+)', 1) || ' ' || lang || ' ' || source || ' ' || regexp_extract(source, '([0-9]+)', 1) || ' ' || text AS said FROM documents),
+{_hits('text', 'benchmark', 'item_id', '(SELECT key AS doc_id, said AS text FROM k)')},
+top AS (SELECT b.item_id AS query, d.key, row_number() OVER (PARTITION BY b.item_id ORDER BY round(COALESCE(score, 0), 6) DESC, d.key) AS rank FROM benchmark b CROSS JOIN k d LEFT JOIN hits h ON h.query = b.item_id AND h.doc_id = d.key QUALIFY rank <= 20), {_SHARED},
+u AS (SELECT query, key, 0 AS list_no, rank FROM s JOIN k USING (doc_id) UNION ALL SELECT query, key, 1, rank FROM top),
+f AS (SELECT query, key, SUM(1 / (60 + rank)) AS score, row_number() OVER (PARTITION BY query ORDER BY round(SUM(1 / (60 + rank)), 9) DESC, MIN(list_no * 1000 + rank)) AS fused_rank FROM u GROUP BY query, key),
+x AS (SELECT query, key, fused_rank, CASE WHEN lang = 'fr' THEN score / 2 ELSE score END AS score FROM f JOIN k USING (key))
+SELECT query AS item_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, fused_rank) AS rank FROM x QUALIFY rank <= 4""",
+    "merge_passages": f"""WITH p AS (SELECT {{'c': conv_id, 't': turn}} AS pid, text FROM conversations), {_hits('text', 'p', 'pid')}, {_OWNED.format(pool=20, k=4)},
+m AS (SELECT query.c AS request, owner, MAX(best_score) AS best_score, COUNT(*) AS passage_hits, MIN(query.t) AS seen FROM g GROUP BY request, owner)
 SELECT request AS conv_id, owner AS source, round(best_score, 4) AS best_score, passage_hits, round(best_score + ln(1 + passage_hits), 4) AS score, row_number() OVER (PARTITION BY request ORDER BY round(best_score + ln(1 + passage_hits), 6) DESC, seen, owner) AS rank FROM m QUALIFY rank <= 6""",
     "idf_keyword_match": f"WITH {_IDF} SELECT query, category, round(score, 4) AS score, hits, rank FROM m",
-    "suggest_categories": f"""WITH {_IDF}, e AS (SELECT 2 AS query, category, dense_rank() OVER (ORDER BY category) AS place FROM cat WHERE category LIKE 'red ring%'),
-u AS (SELECT query, category, 0 AS tier, place, 100.0 AS score FROM e UNION ALL SELECT query, category, 1, rank, score FROM m WHERE (query, category) NOT IN (SELECT query, category FROM e))
-SELECT query, category, tier, round(score, 1) AS score, row_number() OVER (PARTITION BY query ORDER BY tier, place, category) AS rank FROM u QUALIFY rank <= 5""",
+    "suggest_categories": f"""WITH {_IDF}, e AS (SELECT p_partkey AS query, p_name || ' ' || p_type AS category, 1 AS place FROM part WHERE p_partkey % 3 = 0),
+u AS (SELECT query, category, 0 AS tier, place, CAST(100 AS DOUBLE) AS score FROM e UNION ALL SELECT query, category, 1, rank, round_even(score, 2) FROM m WHERE (query, category) NOT IN (SELECT query, category FROM e))
+SELECT query, category, tier, score, row_number() OVER (PARTITION BY query ORDER BY tier, place, category) AS rank FROM u QUALIFY rank <= 5""",
     "unknown_terms": f"WITH {_IDF} SELECT query AS query_id, word FROM (SELECT query, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda x: x NOT IN ({quoted(T.QUERY_NOISE)})))) AS word FROM needs) WHERE word NOT IN (SELECT word FROM i)",
     "eval_recall": f"""{_BM25}, {_OWNED.format(pool=30, k=5)}, r AS (SELECT item_id, rank FROM (SELECT item_id, 'src' || (item_id % 20) AS owner FROM benchmark) b LEFT JOIN g ON g.query = item_id AND g.owner = b.owner)
 SELECT COUNT(*) AS n, round(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(AVG(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(AVG(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(SUM(COALESCE(1.0 / rank, 0)) / COUNT(*), 6) AS mrr, COUNT(*) FILTER (WHERE rank IS NULL) AS not_found FROM r""",
@@ -185,7 +170,4 @@ SELECT COUNT(*) AS n, round(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) A
 t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <> 0 THEN ', page ' || (doc_id % 3) ELSE '' END) || (CASE WHEN lang = 'de' THEN ' [OCR]' ELSE '' END) AS citation FROM c JOIN documents USING (doc_id))
 SELECT query AS item_id, citation, row_number() OVER (PARTITION BY query ORDER BY MIN(seen)) AS place FROM t GROUP BY query, citation""",
 }
-SQL["knn_topk_all"] = SQL["knn_topk"].replace("vec_id < 50", "vec_id % 50 = 0")
-_NEEDED = _IDF[: _IDF.index(", cat AS")]
-SQL |= {f"{k}_all": SQL[k].replace(_NEEDED, "\nneeds AS (SELECT item_id AS query, text FROM benchmark)") for k in ("idf_keyword_match", "unknown_terms")}
-QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_topk_all, rrf_fuse, merge_passages, merge_passages_all, idf_keyword_match, idf_keyword_match_all, suggest_categories, suggest_categories_all, unknown_terms, unknown_terms_all, eval_recall, source_citations)}
+QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, rrf_fuse, passage_search, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..functions import text as T
+from ..operators import market
+from ..sources import documents as D
 from .common import quoted, table, tokens_sql
 
 LICENCE_MARK = r"Licen[cs]ed?\s+under[\s\S]{0,200}?\d{1,3}(?:\.\d{1,3}){3}\.?"
 
 
 def tok_counts(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "documents").select("doc_id", F.explode(T.query_terms(F.col("text"))).alias("token"))
-    per_doc = t.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+    """Counted in the row first (places of each word's first mention), then inside tasks: what is shuffled is a vocabulary."""
+    t = table(spark, sf, "documents").select(T.query_terms(F.col("text")).alias("t"))
+    each = t.select(F.explode(F.concat(F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("df"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("df"))))).alias("x"))
+    return each.groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.df").alias("df"))
 
 
 def unicode_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,34 +56,39 @@ def role_of_text(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", T.role_of(F.col("t")).alias("title_role"), T.infer_role(F.lit(None).cast("string"), F.col("t")).alias("reference_role"))
 
 
-IDS = ["IS 15449 (Part 2) : 2024", "SP 14 : 1976", "is 10322 (Part 5/Section 2) : 2012", "IS 15500 (Part 1 to 8) : 2021", "no id", "IS33"]
-
-
 def id_parse(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in IDS], "id string").withColumn("p", I.parse_id(F.col("id")))
+    """Ids made of every part's key, in five forms."""
+    k, n = F.col("p_partkey"), (F.col("p_partkey") % 80_000 + 10_000).cast("string")
+    part, year = (k % 9 + 1).cast("string"), (1950 + k % 70).cast("string")
+    lit = F.lit
+    id_ = F.when(k % 5 == 0, F.concat(lit("IS "), n, lit(" (Part "), part, lit(") : "), year)).when(k % 5 == 1, F.concat(lit("SP "), n, lit(" : "), year)).when(k % 5 == 2, F.concat(lit("is "), n, lit(" (Part 5/Section "), part, lit(") : 2012"))).when(k % 5 == 3, F.concat(lit("IS"), n)).otherwise(lit(" No Id "))
+    t = table(spark, sf, "part").select("p_partkey", id_.alias("id")).withColumn("p", I.parse_id(F.col("id")))
     key = I.standard_key(F.col("p.type"), F.col("p.number"), F.col("p.part"), F.col("p.section"))
-    return t.select("id", "p.type", "p.number", "p.part", "p.section", I.number_key(F.col("id")).alias("number_key"), key.alias("standard_key"))
-
-
-FILES = {
-    "10202_2025.pdf": ("IS", "10202", None, None, None, "2025", None, False),
-    "3451_1_2024.pdf": ("IS", "3451", "1", None, None, "2024", None, False),
-    "13345_1992_reff2020.pdf": ("IS", "13345", None, None, None, "1992", "2020", False),
-    "IS 10306_2025.pdf": ("IS", "10306", None, None, None, "2025", None, False),
-    "IS 15449 (Part 1)_2024.pdf": ("IS", "15449", "1", None, None, "2024", None, False),
-    "IS 15500 (Part 1 to 8)_2021.pdf": ("IS", "15500", "1", "8", None, "2021", None, False),
-    "IS 17017 (Part 23)_2026.pdf": ("IS", "17017", "23", None, None, "2026", None, False),
-    "IS-18930-AIF.pdf": ("IS", "18930", None, None, None, None, None, False),
-    "SP 14_1976.pdf": ("SP", "14", None, None, None, "1976", None, False),
-    "10202_2025 (1).pdf": ("IS", "10202", None, None, None, "2025", None, True),
-    "IS 10322 (Part 5/Section 2)_2012.pdf": ("IS", "10322", "5", None, "2", "2012", None, False),
-    "2019.pdf": ("IS", "2019", None, None, None, None, None, False),
-}
+    return t.select("p_partkey", "p.type", "p.number", "p.part", "p.section", I.number_key(F.col("id")).alias("number_key"), key.alias("standard_key"))
+
+
 FILE_FIELDS = ["doc_type", "number", "part", "part_to", "section", "year", "reaffirmed", "duplicate_marker"]
+#: File names (with {n} for a number and {p} for a part) and what they hold.
+FILE_FORMS = [
+    ("{n}_2025.pdf", ("IS", "{n}", None, None, None, "2025", None, False)),
+    ("{n}_{p}_2024.pdf", ("IS", "{n}", "{p}", None, None, "2024", None, False)),
+    ("{n}_1992_reff2020.pdf", ("IS", "{n}", None, None, None, "1992", "2020", False)),
+    ("IS {n}_2025.pdf", ("IS", "{n}", None, None, None, "2025", None, False)),
+    ("IS {n} (Part {p})_2024.pdf", ("IS", "{n}", "{p}", None, None, "2024", None, False)),
+    ("IS {n} (Part 1 to 8)_2021.pdf", ("IS", "{n}", "1", "8", None, "2021", None, False)),
+    ("IS-{n}-AIF.pdf", ("IS", "{n}", None, None, None, None, None, False)),
+    ("SP {n}_1976.pdf", ("SP", "{n}", None, None, None, "1976", None, False)),
+    ("{n}_2025 (1).pdf", ("IS", "{n}", None, None, None, "2025", None, True)),
+    ("IS {n} (Part 5/Section {p})_2012.pdf", ("IS", "{n}", "5", None, "{p}", "2012", None, False)),
+]
 
 
 def filename_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in FILES], "name string").withColumn("p", I.parse_filename(F.col("name"))).select("name", "p.*")
+    """File names made of every part's key, in ten forms."""
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*(F.lit(f) for f, _ in FILE_FORMS)), (k % len(FILE_FORMS) + 1).cast("int"))
+    name = F.replace(F.replace(form, F.lit("{n}"), (k % 80_000 + 10_000).cast("string")), F.lit("{p}"), (k % 9 + 1).cast("string"))
+    return table(spark, sf, "part").select("p_partkey", I.parse_filename(name).alias("p")).select("p_partkey", "p.*")
 
 
 def line_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,8 +111,7 @@ def report_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocab_df(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select(F.explode(F.array_distinct(T.short_tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("word"))
-    return p.groupBy("word").agg(F.count("*").alias("df"))
+    return market.vocabulary(table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("product_name")))
 
 
 def catalog_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +130,7 @@ def distinguishing_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def confidence_score(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
-    title = F.substring(F.split("text", "\n")[0], 1, 40)
+    title = F.split("text", "\n")[0]
     s = I.catalog_score(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") + F.when(F.col("quality") == 1, 0).otherwise(1)).cast("string")), F.lit("2020"), F.when(F.col("doc_id") % 2 == 0, F.when(F.col("toxic") == 1, "2019").otherwise("2020")), F.lit("2020"), title, F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 7 == 0, "8"))
     return d.select("doc_id", s["level"].alias("level"), s["score"].cast("long").alias("score"))
 
@@ -139,7 +146,8 @@ def audio_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audio_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg(-F.col("value") / 50), 6).alias("avg_logprob"), F.max((F.col("event_id") % 10) / 10).alias("no_speech_prob"), F.count("*").alias("segments"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("audio"), (-F.col("value") / 50).alias("avg_logprob"), ((F.col("event_id") % 10) / 10).alias("no_speech_prob"))
+    return D.transcript_scores(e).select(F.col("audio").alias("user_id"), F.round("avg_logprob", 6).alias("avg_logprob"), "no_speech_prob", "segments")
 
 
 _STRIPPED = "text"
@@ -173,11 +181,11 @@ SELECT doc_id, CAST(greatest(0, 100 - (CASE WHEN doc_id % 3 <> 0 AND quality <>
 - (CASE WHEN x = '' THEN 50 ELSE 0 END) - (CASE WHEN x <> '' AND length(x) < 12 THEN 30 ELSE 0 END) - (CASE WHEN regexp_matches(x, '{I.COVER_WORDS}') THEN 40 ELSE 0 END) - (CASE WHEN x <> '' AND {_DIGITS} > 0.2 * length(x) THEN 20 ELSE 0 END)
 - (CASE WHEN x <> '' AND {_GARBLED} THEN 45 ELSE 0 END) - (CASE WHEN x <> '' AND regexp_replace(lower(x), '[^a-z]', '', 'g') IN ({quoted(T.TITLE_BOILERPLATE)}) THEN 45 ELSE 0 END)
 - (CASE WHEN doc_id % 5 = 0 THEN 15 ELSE 0 END) - (CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 0 END)) AS BIGINT) AS score
-FROM (SELECT doc_id, quality, toxic, substr(string_split(text, chr(10))[1], 1, 40) AS x FROM labels JOIN documents USING (doc_id)))"""
+FROM (SELECT doc_id, quality, toxic, string_split(text, chr(10))[1] AS x FROM labels JOIN documents USING (doc_id)))"""
 
 
 def _value(x: object) -> str:
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else x[1] if x.startswith("{") else f"'{x}'"
 
 
 SQL = {
@@ -189,7 +197,7 @@ SQL = {
     "html_normalize_hash": f"SELECT page_id, sha256({_HTML}) AS page_hash FROM pages",
     "json_extract": "SELECT event_id, CAST(json_extract(regexp_extract('Answer: ```json ' || props || ' ``` ok', '(?s)\\{.*\\}'), '$.k') AS BIGINT) AS k FROM events",
     "role_of_text": f"SELECT p_partkey, {_roles('t', T.TITLE_ROLES, 'product specification')} AS title_role, {_roles('t', T.REFERENCE_ROLES, 'normative reference')} AS reference_role FROM (SELECT p_partkey, p_name || ' ' || ['methods of test', 'glossary of terms', 'sampling', 'safety code of practice', 'specification', 'determination of lead', ''][CAST(p_partkey % 7 + 1 AS INT)] AS t FROM part)",
-    "filename_parse": f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_value, (k, *v))) + ')' for k, v in FILES.items())}) AS t(name, {', '.join(FILE_FIELDS)})",
+    "filename_parse": "SELECT p_partkey, " + ", ".join(f"CASE p_partkey % {len(FILE_FORMS)} " + " ".join(f"WHEN {i} THEN {_value(v[f])}" for i, (_, v) in enumerate(FILE_FORMS)) + f" END AS {name}" for f, name in enumerate(FILE_FIELDS)) + " FROM (SELECT p_partkey, CAST(p_partkey % 80000 + 10000 AS VARCHAR) AS n, CAST(p_partkey % 9 + 1 AS VARCHAR) AS p FROM part)",
     "line_profile": rf"""
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(list_filter(l, lambda x: x = '' OR {_DIGITS} / length(x) > 0.3)) AS BIGINT) AS id_lines, CAST(len(list_filter(l, lambda x: {_GARBLED})) AS BIGINT) AS garbled_lines,
 CAST(len(list_filter(l, lambda x: {_LETTERS} = 0 OR length(regexp_replace(x, '[^A-Za-z]', '', 'g')) / {_LETTERS} < 0.5)) AS BIGINT) AS foreign_lines,
@@ -210,10 +218,10 @@ FROM n JOIN t USING (p_brand) LEFT JOIN w USING (p_brand, p_name) LEFT JOIN c ON
 FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Thank you.' ELSE props END AS t, CASE WHEN event_id % 11 <> 0 THEN -value / 50 END AS lp, (event_id % 10) / 10 AS ns FROM events)""",
     "audio_scores": "SELECT user_id, round(AVG(-value / 50), 6) AS avg_logprob, MAX((event_id % 10) / 10) AS no_speech_prob, COUNT(*) AS segments FROM events GROUP BY user_id",
 }
-SQL["id_parse"] = f"""
-SELECT id, NULLIF(upper(regexp_extract(id, '{I.ID}', 1)), '') AS type, NULLIF(regexp_extract(id, '{I.ID}', 2), '') AS number, NULLIF(regexp_extract(id, '{I.ID}', 3), '') AS part, NULLIF(regexp_extract(id, '{I.ID}', 4), '') AS section,
-COALESCE(NULLIF(regexp_extract(id, '{I.NUMBER_AND_PART}', 1), '') || '|' || lower(regexp_extract(id, '{I.NUMBER_AND_PART}', 2)), lower(trim(id))) AS number_key,
-upper(regexp_extract(id, '{I.ID}', 1)) || '|' || regexp_extract(id, '{I.ID}', 2) || '|' || regexp_extract(id, '{I.ID}', 3) || '|' || regexp_extract(id, '{I.ID}', 4) AS standard_key FROM (SELECT unnest([{quoted(IDS)}]) AS id)"""
+SQL["id_parse"] = """
+SELECT p_partkey, CASE f WHEN 1 THEN 'SP' WHEN 4 THEN NULL ELSE 'IS' END AS type, CASE WHEN f < 4 THEN n END AS number, CASE f WHEN 0 THEN p WHEN 2 THEN '5' END AS part, CASE WHEN f = 2 THEN p END AS section,
+CASE f WHEN 0 THEN n || '|' || p WHEN 4 THEN 'no id' ELSE n || '|' END AS number_key, CASE f WHEN 0 THEN 'IS|' || n || '|' || p || '|' WHEN 1 THEN 'SP|' || n || '||' WHEN 2 THEN 'IS|' || n || '|5|' || p WHEN 3 THEN 'IS|' || n || '||' ELSE '|||' END AS standard_key
+FROM (SELECT p_partkey, p_partkey % 5 AS f, CAST(p_partkey % 80000 + 10000 AS VARCHAR) AS n, CAST(p_partkey % 9 + 1 AS VARCHAR) AS p FROM part)"""
 QUERIES = {
     f.__name__: f
     for f in (tok_counts, unicode_tokens, meaningful_terms, boilerplate_strip, pii_redact, html_normalize_hash, json_extract, role_of_text, id_parse, filename_parse, line_profile, doc_quality_report, report_totals, vocab_df, catalog_stats, distinguishing_words, confidence_score, confidence_buckets, audio_gate, audio_scores)

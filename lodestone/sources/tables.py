@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
-from ..operators.incremental import row_fingerprint
+from ..operators.incremental import rows_hash
 
 CATALOG = "filename string, standard_id string, title string, status string, publication_date string, edition string, last_amendment_date string, doc_type string, number string, part string, part_to string, section string, reaffirmed_year string, confidence string, confidence_score int, needs_review boolean, verified boolean, notes array<string>"
 EDGE = "src string, from_file string, to_number string, to_part string, to_section string, cited_year string, cited_title string, role string, page int, confidence string, source string, context string"
@@ -83,11 +84,9 @@ def cached(queries: DataFrame, cache: DataFrame, as_of: Column, ttl_hours: float
     return queries.withColumn("key", cache_key(F.col("query"))).join(live, "key", "left")
 
 
-def corpus_fingerprint(chunks: DataFrame, manifest_rows: DataFrame) -> Column | str:
-    """SHA-256 over the number of chunks and the manifest's rows: one small aggregate."""
-    n = chunks.count()
-    said = manifest_rows.select(row_fingerprint(*sorted(manifest_rows.columns), separator="|").alias("f")).agg(F.sha2(F.concat_ws("|", F.lit(n), F.array_join(F.array_sort(F.collect_list("f")), ",")), 256)).first()
-    return said[0]
+def corpus_fingerprint(chunks: DataFrame, manifest_rows: DataFrame) -> str:
+    """A hash of the number of chunks and of the manifest's rows, whatever their order."""
+    return hashlib.sha256(f"{chunks.count()}|{rows_hash(manifest_rows, sorted(manifest_rows.columns))}".encode()).hexdigest()
 
 
 def valid_documents(docs: DataFrame, most: int = 100, most_id: int = 200, most_text: int = 50_000) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import delta_log, row_fingerprint, upsert, withdrawals
+from ..operators.incremental import delta_log, row_fingerprint, rows_hash, upsert, withdrawals
 
 COLUMNS = ["title", "status", "last_amendment_date"]
 CURRENT = "standard_id string, title string, status string, last_amendment_date string, fingerprint string, is_active int, first_seen string, last_seen string"
@@ -49,7 +49,7 @@ class Tracker:
     def run(self, rows: DataFrame, run_id: str, complete: bool = True, page_hash: str | None = None) -> str:
         """rows: (standard_id, title, status, last_amendment_date, position). Gives the run's status."""
         if page_hash is None:
-            page_hash = rows.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(row_fingerprint("standard_id", *COLUMNS)))), 256)).first()[0]
+            page_hash = rows_hash(rows, ["standard_id", *COLUMNS])
         if page_hash == self.last_run()[1]:
             return self._log(run_id, page_hash, "NO_CHANGE", 0)
         now = rows.withColumn("fingerprint", row_fingerprint("standard_id", *COLUMNS)).withColumn("seen_at", F.lit(run_id))

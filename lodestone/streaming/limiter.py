@@ -1,5 +1,5 @@
 """Greedy rate limiter: a request is admitted while fewer than `limit` admitted ones are at most `window` seconds old.
-Rejected requests do not count. As a batch over ordered rows, and as a stateful stream."""
+Rejected requests do not count; requests without a time are rejected. As a batch over ordered rows, and as a stateful stream."""
 
 from __future__ import annotations
 
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 LIMIT, WINDOW = 30, 60.0
 
 
-def admit(seen: deque, at: float, limit: int, window: float) -> bool:
+def admit(seen: deque, at: float | None, limit: int, window: float) -> bool:
+    if at is None or at != at:
+        return False
     while seen and at - seen[0] > window:
         seen.popleft()
     if len(seen) >= limit:

@@ -140,6 +140,11 @@ def test_change_stream(spark, tmp_path):
 LIMITS = [("u", 0.0, True), ("u", 1.0, True), ("u", 60.0, False), ("u", 60.5, True), ("u", 61.0, False), ("u", 61.5, True), ("v", 5.0, True)]
 
 
+def test_requests_without_a_time_are_rejected(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("a", 5.0, 3), (None, None, 4), (None, 1.0, 5)], "client string, s double, id long").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r.request: r.admitted for r in rate_limited(df, "client", "ts", "id", 2, 60.0).collect()} == {1: False, 2: False, 3: True, 4: False, 5: True}
+
+
 def test_rate_limiter_at_the_edges(spark, tmp_path):
     rows = [(c, F.lit(0) is not None and at, i) for i, (c, at, _) in enumerate(LIMITS)]
     df = spark.createDataFrame(rows, "client string, s double, id long").withColumn("ts", F.timestamp_seconds("s"))

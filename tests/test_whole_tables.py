@@ -1,7 +1,6 @@
 """Registered queries read whole tables: small tables made here, with rows beyond the bounds that queries once had."""
 
 from lodestone.operators import retrieval as R
-from lodestone.plans import extract_queries as E
 from lodestone.plans import registry
 
 
@@ -19,15 +18,20 @@ def test_discover_ids_of_every_page(spark, tmp_path):
 def test_knn_asks_every_fiftieth_vector(spark, tmp_path):
     rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], 0) for i in range(205)]
     write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
-    got = registry.QUERIES["knn_topk_all"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["knn_topk"](spark, str(tmp_path)).collect()
     assert {r.query for r in got} == {0, 50, 100, 150, 200} and len(got) == 5 * 20
     assert all(r.vec_id == 2 * (r["rank"] - 1) and r.distance == 0 for r in got)
 
 
-def test_knn_in_blocks_equals_one_batch(spark):
-    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, v array<float>")
+def test_knn_in_blocks_equals_brute_force(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)]
+    v = spark.createDataFrame(rows + [(60, None)], "vec_id long, v array<float>").repartition(3)
     q = v.filter("vec_id % 3 = 0").select(v.vec_id.alias("query"), v.v.alias("q"))
-    assert sorted(R.knn_in_blocks(q, v, 4, 10).collect()) == sorted(R.knn(q, v, 4).collect())
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(i, j, n) for i, a in rows if i % 3 == 0 for n, (_, j) in enumerate(sorted((round(1 - dot(a, b), 6), j) for j, b in rows)[:4], 1)}
+    for block in (4096, 7):
+        assert {(r.query, r.vec_id, r["rank"]) for r in R.knn(q, v, 4, block).collect()} == want
+    assert R.knn(q.limit(0), v, 4).count() == 0 and R.knn(q, v.limit(0), 4).count() == 0
 
 
 def test_every_conversation_and_turn_is_answered(spark, tmp_path):
@@ -36,56 +40,27 @@ def test_every_conversation_and_turn_is_answered(spark, tmp_path):
     write(spark, tmp_path, "conversations", [(c, t, "user", x) for c, t, x in said], "conv_id long, turn long, role string, text string")
     docs = [(1, "red gear of steel", "src1"), (2, "blue valve of brass", "src2"), (3, "green pump of iron", "src3"), (4, "other words here", "src4")]
     write(spark, tmp_path, "documents", [(i, x, "en", s, len(x)) for i, x, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {(r.conv_id, r.source, r.passage_hits) for r in registry.QUERIES["merge_passages_all"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.source, r.passage_hits) for r in registry.QUERIES["merge_passages"](spark, str(tmp_path)).collect()}
     assert got == {(10, "src1", 1), (11, "src1", 1), (150, "src2", 1), (150, "src3", 1)}
     asked = {r.conv_id for r in registry.QUERIES["document_recommendations"](spark, str(tmp_path)).collect()}
     assert asked == {10, 11, 150}
 
 
-def test_whole_passages_hold_those_of_the_bounded_query(spark, tmp_path):
-    """With no turn from the fourth on, conversations of number divisible by ten get what merge_passages gives."""
-    sf = "/root/testdata/sf0.001"
-    spark.read.parquet(f"{sf}/conversations.parquet").filter("turn < 3").write.parquet(f"{tmp_path}/conversations.parquet")
-    spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
-    want = registry.QUERIES["merge_passages"](spark, str(tmp_path)).collect()
-    got = registry.QUERIES["merge_passages_all"](spark, str(tmp_path)).collect()
-    assert want and sorted(map(repr, want)) == sorted(repr(r) for r in got if r.conv_id % 10 == 0)
-
-
 def test_files_of_every_part(spark, tmp_path):
     """Parts beyond the bounds of the SQL (650, 690, 700), with every case of the decision table among them."""
     parts = range(600, 2_000)
     write(spark, tmp_path, "part", [(k,) for k in parts], "p_partkey long")
     write(spark, tmp_path, "lineitem", [(k, 10 * k + j, j) for k in parts for j in (1, 2)], "l_partkey long, l_orderkey long, l_linenumber int")
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.source for r in run("index_inventory_all")} == {f"f{k}" for k in parts if k % 23}
-    decided = run("ingest_decision_all")
+    assert {r.source for r in run("index_inventory")} == {f"f{k}" for k in parts if k % 23}
+    decided = run("ingest_decision")
     assert {r.source for r in decided} == {f"f{k}" for k in parts}
     assert {r.reason for r in decided if int(r.source[1:]) >= 700} == {"mixed", "changed", "interrupted", "unchanged", "unlisted", "new", "missing"}
-    assert {r.source for r in run("gone_files_all")} == {f"f{k}" for k in parts if k % 10 == 4 and (k % 23 or k % 3 != 1)}
-    assert {r.source for r in run("manifest_repair_all")} >= {f"f{k}" for k in parts if k % 3 != 1}
+    assert {r.source for r in run("gone_files")} == {f"f{k}" for k in parts if k % 10 == 4 and (k % 23 or k % 3 != 1)}
+    assert {r.source for r in run("manifest_repair")} >= {f"f{k}" for k in parts if k % 3 != 1}
 
 
 def test_every_part_is_walked_from(spark, tmp_path):
     write(spark, tmp_path, "part", [(k,) for k in range(100)], "p_partkey long")
-    got = registry.QUERIES["citation_chain_all"](spark, str(tmp_path)).collect()
-    assert {r.root for r in got if r.depth == 0} == set(range(100)) and {r.root for r in got if r.depth == 3} > {41, 99}
-
-
-def test_extractors_read_the_tables(spark, tmp_path):
-    """The worked pages and needs as rows of the tables, beside rows of other texts."""
-    write(spark, tmp_path, "documents", [(n, x) for n, x in E.REFERENCE_PAGES] + [(9, "As said in IS 7 : 2001 about gear wheels")], "doc_id long, text string")
-    write(spark, tmp_path, "pages", [(i, h) for i, h, _, _ in E.HTML_CASES], "page_id long, html string")
-    parts = [(7, "red gear", "SMALL", 3), (1_000_456, "blue valve", "LARGE", 4)]
-    write(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_type string, p_size int")
-    write(spark, tmp_path, "benchmark", [(1, "a red gear small zzgizmo"), (2, "blue valve")], "item_id long, text string")
-    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {(r.doc, r.to_number) for r in run("reference_extract_all")} >= {(2, "1199"), (2, "383"), (3, "2"), (9, "7")}
-    assert {(r.page_id, r.found_by, r.n) for r in run("html_strategy_all")} == {(i, s, n) for i, _, s, n in E.HTML_CASES}
-    assert {(r.p_partkey, r.standard_keys, r.version) for r in run("category_parse_all")} == {(7, "IS|7||", "V3"), (1_000_456, "IS|456||", "V4")}
-    assert {(r.doc, r.resolved_id) for r in run("graph_edges_all") if r.resolved_id} == {(9, "IS 7 : 2001")}
-    assert {r.standard_id for r in run("option_labels_all")} == {"IS 7", "IS 1000456"}
-    assert {r.query_id for r in run("search_ladder_all")} == {1, 2}
-    assert {(r.query, r.category, r["rank"]) for r in run("idf_keyword_match_all")} == {(1, "red gear SMALL", 1), (2, "blue valve LARGE", 1)}
-    assert {(r.query, r.category, r.tier) for r in run("suggest_categories_all")} == {(1, "red gear SMALL", 0), (2, "blue valve LARGE", 1)}
-    assert ("zzgizmo" in {r.word for r in run("unknown_terms_all")})
+    got = registry.QUERIES["citation_chain"](spark, str(tmp_path)).collect()
+    assert {r.root for r in got} == set(range(100)) and any(r.depth == 3 for r in got) and not any(r.expanded for r in got if r.depth == 3)
