@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import durable, shared_dir
+
+__all__ = ["durable", "shared_dir"]
+
 #: Capitals up to ɏ whose small letters come after it, and so would not be letters to the rules below.
 _LOWERED_BEYOND = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
 
@@ -45,31 +48,11 @@ def rule_of(spec: dict) -> str | None:
     return "bytes" if rule == BYTE_RULE else "words" if rule == WORD_RULE else None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir named. Only a local
-    session without either gets a temporary folder; on a cluster that is an error."""
-    context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not where:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(where)
-    return where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
