@@ -42,6 +42,13 @@ def repaired_manifest(decided: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.unionByName(new)
 
 
+def pending(decided: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source, sha256, reason, old_ids): the files to ingest, with the ids of the chunks that they have now, sorted."""
+    ids = chunks.groupBy("source").agg(F.array_sort(F.collect_list("chunk_id")).alias("old_ids"))
+    todo = decided.filter("decision = 'ingest'").join(ids, "source", "left")
+    return todo.select("source", "sha256", "reason", F.coalesce("old_ids", F.array().cast("array<string>")).alias("old_ids"))
+
+
 def gone_files(stored: DataFrame, manifest: DataFrame, present: DataFrame, prune: bool = False) -> DataFrame:
     """(source, n_chunks, action): files of the inventory or the manifest that are no longer present."""
     names = stored.select("source").union(manifest.select("source")).distinct().join(present, "source", "left_anti")
@@ -74,11 +81,32 @@ def delta_log(changes: DataFrame, key: str, run_id: str) -> DataFrame:
     return changes.filter("change_type in ('NEW', 'UPDATED', 'WITHDRAWN')").select(F.lit(run_id).alias("run_id"), key, "change_type", "old_fingerprint", F.col("fingerprint").alias("new_fingerprint"))
 
 
-def withdrawals(current: DataFrame, expected: DataFrame, key: str, complete: Column | bool = True) -> DataFrame:
-    """Active rows that a complete discovery does not list; an incomplete or empty one withdraws nothing."""
+def expected_ids(current: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """What a run without a discovery expects: all that is held and all that is asked for."""
+    return current.select(key).unionByName(target.select(key)).distinct()
+
+
+def changed_or_missing(found: DataFrame, current: DataFrame, key: str, signature: str) -> DataFrame:
+    """(key): discovered ids that are not held, or are held with another signature (null is one too)."""
+    held = current.select(key, F.col(signature).alias("__old"), F.lit(True).alias("__held"))
+    j = found.join(held, key, "left")
+    return j.filter(F.col("__held").isNull() | ~F.col(signature).eqNullSafe(F.col("__old"))).select(key)
+
+
+def not_parsed(target: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """(key): ids that were asked for and that no record came back for."""
+    return target.select(key).distinct().join(records.select(key), key, "left_anti")
+
+
+def withdrawals(current: DataFrame, expected: DataFrame, key: str, complete: Column | bool = True, records: DataFrame | None = None) -> DataFrame:
+    """Active rows that a complete discovery does not list; an incomplete or empty one withdraws nothing, nor one of whose ids
+    some are neither held nor among the run's `records` (where these are given)."""
     flag = F.lit(complete) if isinstance(complete, bool) else complete
     some = expected.limit(1).select(F.lit(1).alias("__some"))
     gone = current.filter("is_active = 1").filter(flag).join(expected.select(key), key, "left_anti")
+    if records is not None:
+        unknown = expected.select(key).join(records.select(key).unionByName(current.select(key)), key, "left_anti").limit(1).select(F.lit(1).alias("__unknown"))
+        gone = gone.join(F.broadcast(unknown), F.lit(True), "left_anti")
     return gone.join(F.broadcast(some), F.lit(True), "left_semi").withColumn("change_type", F.lit("WITHDRAWN"))
 
 

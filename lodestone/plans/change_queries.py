@@ -166,10 +166,49 @@ def confidence_tier(spark: SparkSession, sf: str) -> DataFrame:
 def clarify_dimension(spark: SparkSession, sf: str) -> DataFrame:
     g = _standards(spark, sf)
     asked = g.select("query").distinct().withColumn("asked", F.when(F.col("query") % 3 == 0, F.array(F.lit("part"))).otherwise(F.array().cast("array<string>")))
-    q = decide.next_question(g, asked)
+    q = decide.next_question(g, asked, lambda standard_id, title: standard_id)
     return q.select(F.col("query").alias("item_id"), "dimension", F.array_join(F.transform("options", lambda x: F.concat(x["label"], F.lit("="), F.array_join(x["select"], "+"))), "; ").alias("options"))
 
 
+def version_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part as an answer, against a catalogue where some lack an edition, some are reaffirmed, and some come twice."""
+    k = F.col("p_partkey")
+    sid = F.concat(F.lit("IS "), k.cast("string"))
+    c = table(spark, sf, "part").filter("p_partkey % 5 <> 0").select(sid.alias("standard_id"), F.when(k % 3 != 0, F.concat(F.lit("Edition "), F.col("p_size").cast("string"))).alias("edition"), F.when(k % 2 == 0, F.lit("2019")).alias("reaffirmed_year"), k.alias("position"))
+    later = c.select("standard_id", F.lit("later").alias("edition"), F.lit("2024").alias("reaffirmed_year"), (F.col("position") + 1).alias("position"))
+    return decide.version_text(table(spark, sf, "part").select("p_partkey", sid.alias("standard_id")), c.unionByName(later)).select("p_partkey", "version")
+
+
+def pending_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files to ingest, with the ids of their chunks."""
+    files, manifest, chunks = _files(spark, sf)
+    decided = inc.ingest_decision(files, manifest, inc.inventory(chunks))
+    ids = table(spark, sf, "lineitem").filter("l_partkey % 23 <> 0").select(F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("source"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"))
+    return inc.pending(decided, ids).select("source", "reason", F.size("old_ids").cast("long").alias("n_old"), F.sha2(F.array_join("old_ids", ","), 256).alias("old_sha256"))
+
+
+def guarded_withdrawals(spark: SparkSession, sf: str) -> DataFrame:
+    """Discoveries of orders by priority as runs of their own: one whose ids are all held or parsed withdraws, one with an id of neither does not."""
+    old, new = _snapshots(spark, sf)
+    parsed = new.filter("id % 9 <> 0")
+    safe = inc.withdrawals(old, new.join(old.select("id").unionByName(parsed.select("id")).distinct(), "id", "left_semi"), "id", True, parsed)
+    unsafe = inc.withdrawals(old, new, "id", True, parsed)
+    return safe.select("id", F.lit("all known").alias("run")).unionByName(unsafe.select("id", F.lit("some unknown").alias("run")))
+
+
+def changed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids to fetch: not held, or held with another signature; beside them those that nothing came back for."""
+    old, new = _snapshots(spark, sf)
+    todo = inc.changed_or_missing(new.select("id", "fingerprint"), old, "id", "fingerprint")
+    lost = inc.not_parsed(todo, new.filter("id % 5 <> 0"), "id")
+    return todo.join(lost.withColumn("lost", F.lit(True)), "id", "left").select("id", F.coalesce("lost", F.lit(False)).alias("lost"))
+
+
+def expected_orders(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _snapshots(spark, sf)
+    return inc.expected_ids(old, new, "id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 def answer_narrowing(spark: SparkSession, sf: str) -> DataFrame:
     g = _standards(spark, sf)
     second = g.filter("rank in (2, 3)").groupBy("query").agg(F.array_sort(F.collect_list("standard_id")).alias("select")).withColumn("answer_no", F.lit(1))
@@ -226,7 +265,7 @@ v AS (SELECT root, CAST(place AS BIGINT) AS place, item, expanded FROM w WHERE p
 _S = """old AS (SELECT o_orderkey AS id, o_orderstatus AS status, sha256(o_orderkey || o_orderpriority || o_orderstatus) AS fp, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS is_active FROM orders WHERE o_orderkey % 3 <> 0),
 new AS (SELECT id, status, sha256(id || title || status) AS fp FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderpriority AS title FROM orders WHERE o_orderkey % 4 <> 1))"""
 _G = f"""{_BM25}, {_OWNED.format(pool=30, k=6)}, st0 AS (SELECT query, rank, best_score, CAST(regexp_extract(owner, '([0-9]+)', 1) AS INT) AS n FROM g),
-st AS (SELECT query, rank, best_score, 100 + n // 3 AS number, n % 3 + 1 AS part, 'IS ' || (100 + n // 3) || ' (Part ' || (n % 3 + 1) || ')' AS standard_id, ['test method', 'product specification', 'terminology', 'sampling'][n // 5 + 1] AS role FROM st0)"""
+st AS (SELECT query, rank, best_score, 100 + n // 3 AS number, n % 3 + 1 AS part, 'IS ' || (100 + n // 3) || ' (Part ' || (n % 3 + 1) || ')' AS standard_id, ['test method', 'product specification', 'terminology', 'sampling'][n // 5 + 1] AS role, ['Methods of test for gears', 'Gears - Specification', 'Glossary of terms', 'Sampling of gears'][n // 5 + 1] AS title FROM st0)"""
 SQL = {
     "outgoing_ranked": f"WITH {_E} SELECT src, dst, role, confidence, rank FROM o WHERE rank <= 8",
     "citation_chain": f"{_walk(3)} SELECT root, place, item.depth AS depth, item.src AS src, 'IS ' || item.dst AS label, expanded FROM v",
@@ -252,17 +291,27 @@ SELECT name, 'new' AS field, NULL AS old, name AS new FROM l WHERE k % 8 = 0 UNI
     "confidence_tier": f"""WITH {_G[5:]}, t AS (SELECT a.query, a.best_score AS top, a.best_score - b.best_score AS margin, COALESCE(a.best_score - b.best_score < 1.5 AND a.number = b.number AND a.part <> b.part, FALSE) AS tie FROM (SELECT * FROM st WHERE rank = 1) a LEFT JOIN (SELECT * FROM st WHERE rank = 2) b USING (query)),
 m AS (SELECT t.*, (top - 20) / 4 AS logit, len(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.FILLER_WORDS)}))) AS n FROM t JOIN benchmark ON item_id = query)
 SELECT query AS item_id, CASE WHEN logit >= 4 AND n >= 3 AND NOT tie THEN 'high' WHEN logit >= 4 AND n >= 3 OR logit >= 0 THEN 'medium' ELSE 'low' END AS tier, CAST(greatest(1, least(99, round_even(100 / (1 + exp(-logit)), 0))) AS BIGINT) AS match_score, round(margin, 4) + 0.0 AS margin, tie AS same_family_tie FROM m""",
-    "clarify_dimension": f"""WITH {_G[5:]}, f AS (SELECT query, number, COUNT(*) AS n, MIN(rank) AS seen, string_agg('Part ' || part || '=' || standard_id, '; ' ORDER BY rank) AS options FROM st GROUP BY query, number HAVING COUNT(*) > 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY COUNT(*) DESC, MIN(rank)) = 1),
+    "clarify_dimension": f"""WITH {_G[5:]}, tw AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.TITLE_NOISE)}))) AS words FROM st),
+f0 AS (SELECT query, number, COUNT(*) AS n, MIN(rank) AS seen, flatten(list(words)) AS every FROM tw GROUP BY query, number HAVING COUNT(*) > 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY COUNT(*) DESC, MIN(rank)) = 1),
+f1 AS (SELECT query, rank, part, standard_id, title, list_transform(list_sort(list_filter(words, lambda w: len(list_filter(every, lambda x: x = w)) * 2 <= n))[1:4], lambda w: upper(w[1]) || w[2:]) AS own FROM tw JOIN f0 USING (query, number)),
+f AS (SELECT query, string_agg('Part ' || part || ' - ' || (CASE WHEN len(own) > 0 THEN array_to_string(own, ' / ') ELSE title END) || '=' || standard_id, '; ' ORDER BY rank) AS options FROM f1 GROUP BY query),
 r0 AS (SELECT query, role, COUNT(*) AS n, MIN(rank) AS seen, role || '=' || string_agg(standard_id, '+' ORDER BY standard_id) AS o FROM st GROUP BY query, role), r AS (SELECT query, string_agg(o, '; ' ORDER BY n DESC, seen) AS options FROM r0 GROUP BY query HAVING COUNT(*) >= 2),
 p AS (SELECT query, string_agg(standard_id || '=' || standard_id, '; ' ORDER BY rank) AS options FROM st WHERE rank <= 4 GROUP BY query HAVING COUNT(*) >= 2)
 SELECT query AS item_id, CASE WHEN query % 3 <> 0 AND f.options IS NOT NULL THEN 'part' WHEN r.options IS NOT NULL THEN 'role' ELSE 'product' END AS dimension, CASE WHEN query % 3 <> 0 AND f.options IS NOT NULL THEN f.options ELSE COALESCE(r.options, p.options) END AS options
 FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING (query) LEFT JOIN p USING (query) WHERE COALESCE(CASE WHEN query % 3 <> 0 THEN f.options END, r.options, p.options) IS NOT NULL""",
+    "version_texts": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'no edition held' ELSE 'IS ' || p_partkey || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN ' (Edition ' || p_size || ', reaffirmed 2019)' WHEN p_partkey % 3 <> 0 THEN ' (Edition ' || p_size || ')' WHEN p_partkey % 2 = 0 THEN ' (reaffirmed 2019)' ELSE '' END || ': as its own text says; later revisions are not looked up' END AS version FROM part""",
+    "guarded_withdrawals": f"WITH {_S} SELECT id, 'all known' AS run FROM old WHERE is_active = 1 AND id NOT IN (SELECT id FROM new)",
+    "changed_ids": f"WITH {_S} SELECT new.id, new.id % 5 = 0 AS lost FROM new LEFT JOIN old USING (id) WHERE old.fp IS DISTINCT FROM new.fp",
+    "expected_orders": "SELECT COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS ids FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 1",
     "answer_narrowing": f"WITH {_G[5:]} SELECT query AS item_id, rank, standard_id FROM st WHERE query % 2 <> 0 OR rank IN (2, 3) OR query NOT IN (SELECT query FROM st WHERE rank IN (2, 3))",
     "request_rate": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS offered FROM events",
     "history_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, key) AS place FROM (SELECT user_id, event_type || '::' || props AS key, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type || '::' || props ORDER BY ts) = 1) QUALIFY place <= 10",
     "ttl_cache": "SELECT event_id, key, age_hours, COALESCE(age_hours <= 24, FALSE) AS hit FROM (SELECT event_id, key, round((s - lag(s) OVER (PARTITION BY key ORDER BY s, event_id)) / 3.6e9, 4) AS age_hours FROM (SELECT event_id, substr(sha256(lower(trim(event_type || ' ' || props))), 1, 16) AS key, epoch_us(ts) AS s FROM events))",
 }
+_DECIDED = SQL["ingest_decision"]
+SQL["pending_files"] = _DECIDED[: _DECIDED.rindex("\nSELECT")] + """, o AS (SELECT 'f' || l_partkey AS source, l_orderkey || '-' || l_linenumber AS id FROM lineitem WHERE l_partkey % 23 <> 0)
+SELECT r.source, any_value(reason) AS reason, COUNT(id) AS n_old, sha256(COALESCE(string_agg(id, ',' ORDER BY id), '')) AS old_sha256 FROM r LEFT JOIN o USING (source) WHERE reason <> 'unchanged' GROUP BY r.source"""
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
 }

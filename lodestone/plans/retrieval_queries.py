@@ -64,6 +64,13 @@ def passage_search(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("query").alias("item_id"), "key", F.round("rerank_score", 6).alias("score"), "rank")
 
 
+def source_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The best three documents of each query as one block of marked sources."""
+    top = _bm25(spark, sf, 3).select("query", F.col("doc").alias("key"), "rank")
+    c = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), T.citation(F.lit(None).cast("string"), F.col("source"), (F.col("doc_id") % 3).cast("int"), F.lit("text")).alias("citation"), F.upper("lang").alias("title"), "text")
+    return answer.sources(top, c).select(F.col("query").alias("item_id"), F.length("context").cast("long").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
+
+
 def merge_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations are the requests, their turns the passages."""
     c = table(spark, sf, "conversations").select(F.struct(F.col("conv_id").alias("request"), F.col("turn").alias("passage")).alias("pid"), "text")
@@ -156,6 +163,8 @@ u AS (SELECT query, key, 0 AS list_no, rank FROM s JOIN k USING (doc_id) UNION A
 f AS (SELECT query, key, SUM(1 / (60 + rank)) AS score, row_number() OVER (PARTITION BY query ORDER BY round(SUM(1 / (60 + rank)), 9) DESC, MIN(list_no * 1000 + rank)) AS fused_rank FROM u GROUP BY query, key),
 x AS (SELECT query, key, fused_rank, CASE WHEN lang = 'fr' THEN score / 2 ELSE score END AS score FROM f JOIN k USING (key))
 SELECT query AS item_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, fused_rank) AS rank FROM x QUALIFY rank <= 4""",
+    "source_contexts": f"""{_BM25}, {_FILLED}, c AS (SELECT query, string_agg('<source id="' || rank || '" standard="' || source || (CASE WHEN doc_id % 3 <> 0 THEN ', page ' || (doc_id % 3) ELSE '' END) || '">' || chr(10) || upper(lang) || chr(10) || chr(10) || trim(text, ' ') || chr(10) || '</source>', chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query)
+SELECT query AS item_id, CAST(length(context) AS BIGINT) AS n_chars, sha256(context) AS context_sha256 FROM c""",
     "merge_passages": f"""WITH p AS (SELECT {{'c': conv_id, 't': turn}} AS pid, text FROM conversations), {_hits('text', 'p', 'pid')}, {_OWNED.format(pool=20, k=4)},
 m AS (SELECT query.c AS request, owner, MAX(best_score) AS best_score, COUNT(*) AS passage_hits, MIN(query.t) AS seen FROM g GROUP BY request, owner)
 SELECT request AS conv_id, owner AS source, round(best_score, 4) AS best_score, passage_hits, round(best_score + ln(1 + passage_hits), 4) AS score, row_number() OVER (PARTITION BY request ORDER BY round(best_score + ln(1 + passage_hits), 6) DESC, seen, owner) AS rank FROM m QUALIFY rank <= 6""",
@@ -170,4 +179,4 @@ SELECT COUNT(*) AS n, round(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) A
 t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <> 0 THEN ', page ' || (doc_id % 3) ELSE '' END) || (CASE WHEN lang = 'de' THEN ' [OCR]' ELSE '' END) AS citation FROM c JOIN documents USING (doc_id))
 SELECT query AS item_id, citation, row_number() OVER (PARTITION BY query ORDER BY MIN(seen)) AS place FROM t GROUP BY query, citation""",
 }
-QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, rrf_fuse, passage_search, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}
+QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, rrf_fuse, passage_search, source_contexts, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}

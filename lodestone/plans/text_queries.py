@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..functions import text as T
-from ..operators import market
+from ..operators import decide, market
 from ..sources import documents as D
 from .common import quoted, table, tokens_sql
 
@@ -120,12 +120,27 @@ def catalog_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def distinguishing_words(spark: SparkSession, sf: str) -> DataFrame:
     """Per brand: the words of each distinct name that no more than half of the brand's names share."""
-    names = table(spark, sf, "part").select("p_brand", "p_name").distinct()
-    words = names.withColumn("word", F.explode(T.title_words(F.col("p_name"))))
-    total = names.groupBy("p_brand").agg(F.count("*").alias("n_names"))
-    seen = words.groupBy("p_brand", "word").agg(F.count("*").alias("n")).join(total, "p_brand").withColumn("common", F.col("n") > F.col("n_names") / 2)
-    own = words.join(seen, ["p_brand", "word"]).groupBy("p_brand", "p_name").agg(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("common"), F.col("word")))), " ").alias("words"))
-    return names.join(own, ["p_brand", "p_name"], "left").withColumn("words", F.coalesce("words", F.lit("")))
+    names = table(spark, sf, "part").select("p_brand", "p_name").distinct().withColumn("w", T.title_words(F.col("p_name")))
+    return decide.distinguishing(names, "p_brand", "p_name", "w").withColumn("words", F.array_join("words", " "))
+
+
+def category_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Per size: what tells the categories of that size apart, by the categories' rule."""
+    c = table(spark, sf, "part").select("p_size", F.concat_ws(" ", "p_name", "p_type").alias("category")).distinct().withColumn("w", T.query_terms(F.col("category")))
+    return decide.distinguishing(c.withColumn("w", F.filter("w", lambda x: F.length(x) > 2)), "p_size", "category", "w", categories=True).withColumn("words", F.array_join("words", " "))
+
+
+def category_find(spark: SparkSession, sf: str) -> DataFrame:
+    """The categories that hold each type's name, in any case, and a word that few have."""
+    p = table(spark, sf, "part")
+    needles = p.select(F.upper("p_type").alias("needle")).unionByName(p.select(F.substring_index("p_name", " ", -1).alias("needle"))).distinct()
+    return market.find(p.select(F.concat_ws(" ", "p_name", "p_type").alias("product_name")).distinct(), needles)
+
+
+def category_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The one search text of every part's category, whose name has two brackets and a measure."""
+    name = F.concat(F.initcap("p_name"), F.lit(" ("), "p_type", F.lit(" Light) (Size "), F.col("p_size").cast("string"), F.lit(") 36W"))
+    return table(spark, sf, "part").select("p_partkey", market.category_search_text(name).alias("search"))
 
 
 def confidence_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,6 +227,13 @@ WITH n AS (SELECT DISTINCT p_brand, p_name FROM part), w AS (SELECT p_brand, p_n
 t AS (SELECT p_brand, COUNT(*) AS n_names FROM n GROUP BY p_brand), c AS (SELECT p_brand, word, COUNT(*) AS k FROM w GROUP BY p_brand, word)
 SELECT n.p_brand, n.p_name, COALESCE(string_agg(w.word, ' ' ORDER BY w.word) FILTER (WHERE c.k <= t.n_names / 2), '') AS words
 FROM n JOIN t USING (p_brand) LEFT JOIN w USING (p_brand, p_name) LEFT JOIN c ON c.p_brand = w.p_brand AND c.word = w.word GROUP BY n.p_brand, n.p_name""",
+    "category_words": f"""
+WITH n AS (SELECT DISTINCT p_size, p_name || ' ' || p_type AS category FROM part), w AS (SELECT p_size, category, list_distinct(list_filter(regexp_extract_all(lower(category), '[a-z0-9]{{2,}}'), lambda x: length(x) > 2 AND x NOT IN ({quoted(T.QUERY_NOISE)}))) AS l FROM n),
+t AS (SELECT p_size, COUNT(*) AS n, flatten(list(l)) AS every FROM w GROUP BY p_size)
+SELECT p_size, category, array_to_string(list_sort(list_filter(l, lambda x: NOT ((n > 1 AND len(list_filter(every, lambda y: y = x)) = n) OR (n > 2 AND len(list_filter(every, lambda y: y = x)) > n / 2)))), ' ') AS words FROM w JOIN t USING (p_size)""",
+    "category_find": """WITH c AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part), k AS (SELECT upper(p_type) AS needle FROM part UNION SELECT string_split(p_name, ' ')[-1] FROM part)
+SELECT needle, name, COUNT(*) OVER (PARTITION BY needle) AS matches, row_number() OVER (PARTITION BY needle ORDER BY name) AS place FROM k JOIN c ON contains(lower(name), lower(needle)) QUALIFY place <= 25""",
+    "category_search": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_type || ' Light' AS search FROM part",
     "confidence_score": _SCORE,
     "confidence_buckets": f"SELECT level, COUNT(*) AS n, round(AVG(score), 4) AS mean_score FROM ({_SCORE}) GROUP BY level",
     "audio_gate": f"""SELECT event_id, CASE WHEN t = '' THEN 'no speech' WHEN trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) IN ({quoted(T.SILENCE_PHRASES)}) THEN 'silence phrase' WHEN lp IS NULL THEN 'no scores' WHEN ns > 0.6 THEN 'no_speech_prob too high' WHEN lp < -1.0 THEN 'avg_logprob too low' END AS reason
@@ -224,5 +246,5 @@ CASE f WHEN 0 THEN n || '|' || p WHEN 4 THEN 'no id' ELSE n || '|' END AS number
 FROM (SELECT p_partkey, p_partkey % 5 AS f, CAST(p_partkey % 80000 + 10000 AS VARCHAR) AS n, CAST(p_partkey % 9 + 1 AS VARCHAR) AS p FROM part)"""
 QUERIES = {
     f.__name__: f
-    for f in (tok_counts, unicode_tokens, meaningful_terms, boilerplate_strip, pii_redact, html_normalize_hash, json_extract, role_of_text, id_parse, filename_parse, line_profile, doc_quality_report, report_totals, vocab_df, catalog_stats, distinguishing_words, confidence_score, confidence_buckets, audio_gate, audio_scores)
+    for f in (tok_counts, unicode_tokens, meaningful_terms, boilerplate_strip, pii_redact, html_normalize_hash, json_extract, role_of_text, id_parse, filename_parse, line_profile, doc_quality_report, report_totals, vocab_df, catalog_stats, distinguishing_words, category_words, category_find, category_search, confidence_score, confidence_buckets, audio_gate, audio_scores)
 }

@@ -14,6 +14,7 @@ from ..operators.incremental import rows_hash
 
 CATALOG = "filename string, standard_id string, title string, status string, publication_date string, edition string, last_amendment_date string, doc_type string, number string, part string, part_to string, section string, reaffirmed_year string, confidence string, confidence_score int, needs_review boolean, verified boolean, notes array<string>"
 EDGE = "src string, from_file string, to_number string, to_part string, to_section string, cited_year string, cited_title string, role string, page int, confidence string, source string, context string"
+REPORT = "filename string, total_pages int, total_chars int, ocr_pages int, empty_pages int, legacy_font_pages int, boilerplate_chars_removed int, chunks int"
 MANIFEST = "source string, sha256 string, chunks long, standard_id string, ingested_at string"
 METADATA_FIELDS = ["standard_id", "title", "status", "publication_date", "edition", "last_amendment_date", "doc_type", "number", "part", "section"]
 TTL_HOURS = 24.0
@@ -45,14 +46,34 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, CATALOG, strict=True)
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the text of a file; none where it is missing."""
+    try:
+        return spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "value string")
+
+
 def graph(spark: SparkSession, path: str) -> DataFrame:
-    """Missing or invalid: no edges."""
-    return _json(spark, path, EDGE, strict=False)
+    """Edges as rows, or nested under `edges` in one object (their source under `from`). Missing or invalid: no edges."""
+    fields = EDGE.replace("src string", "`from` string").replace(" int", ": int").replace(" string", ": string")
+    nested = _whole(spark, path).select(F.explode(F.from_json("value", f"edges array<struct<{fields}>>")["edges"]).alias("e")).select("e.*").withColumnRenamed("from", "src")
+    return _json(spark, path, EDGE, strict=False).filter("src is not null or to_number is not null").unionByName(nested)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Missing, invalid or of an older shape: empty."""
-    return _json(spark, path, MANIFEST, strict=False).filter("source is not null")
+    """Files as rows, or as one object with an entry for each file's name. Missing, invalid or a bare list of names: empty."""
+    entry = "map<string,struct<sha256:string,chunks:bigint,standard_id:string,ingested_at:string>>"
+    whole = _whole(spark, path).filter(F.ltrim("value").startswith("{")).select(F.explode(F.from_json("value", entry)).alias("source", "e")).filter("e.sha256 is not null").select("source", "e.*")
+    return _json(spark, path, MANIFEST, strict=False).filter("source is not null").unionByName(whole)
+
+
+def report(spark: SparkSession, path: str, fields: str = REPORT) -> DataFrame:
+    """The files of a report, from its list `files`. Missing, invalid or of another shape: empty."""
+    typed = fields.replace(" int", ": int").replace(" string", ": string")
+    return _whole(spark, path).select(F.explode(F.from_json("value", f"files array<struct<{typed}>>")["files"]).alias("f")).select("f.*").filter("filename is not null")
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:

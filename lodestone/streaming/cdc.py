@@ -35,8 +35,8 @@ class Tracker:
         return self._read("runs", RUNS)
 
     def last_run(self) -> tuple[str | None, str | None]:
-        """(run_id, page_hash) of the last run that finished."""
-        r = self.runs().filter("status <> 'NO_CHANGE'").orderBy(F.desc("run_id")).select("run_id", "page_hash").first()
+        """(run_id, page_hash) of the last run that finished with a change."""
+        r = self.runs().filter("status = 'CHANGED'").orderBy(F.desc("run_id")).select("run_id", "page_hash").first()
         return (r[0], r[1]) if r else (None, None)
 
     def current(self) -> DataFrame:
@@ -46,8 +46,22 @@ class Tracker:
     def deltas(self) -> DataFrame:
         return self._read("delta", "run_id string, standard_id string, change_type string, old_fingerprint string, new_fingerprint string")
 
+    def run_states(self) -> DataFrame:
+        """(run_id, status): the last state that each run was logged in; RUNNING where it ended without a word."""
+        order = F.array_position(F.array(*map(F.lit, ("RUNNING", "FAILED", "NO_CHANGE", "CHANGED"))), F.col("status"))
+        return self.runs().groupBy("run_id").agg(F.max_by("status", order).alias("status"))
+
     def run(self, rows: DataFrame, run_id: str, complete: bool = True, page_hash: str | None = None) -> str:
-        """rows: (standard_id, title, status, last_amendment_date, position). Gives the run's status."""
+        """rows: (standard_id, title, status, last_amendment_date, position). Logs RUNNING, then how it ended, and gives that. A run that
+        fails is logged as FAILED and raises; the page's hash does not advance, so the next run does it again."""
+        self._log(run_id, page_hash or "", "RUNNING", 0)
+        try:
+            return self._run(rows, run_id, complete, page_hash)
+        except Exception:
+            self._log(run_id, page_hash or "", "FAILED", 0)
+            raise
+
+    def _run(self, rows: DataFrame, run_id: str, complete: bool, page_hash: str | None) -> str:
         if page_hash is None:
             page_hash = rows_hash(rows, ["standard_id", *COLUMNS])
         if page_hash == self.last_run()[1]:

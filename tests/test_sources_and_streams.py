@@ -86,6 +86,33 @@ def test_json_sources(spark, tmp_path):
     assert S.eval_cases(spark, str(tmp_path / "e.json")).first().expected == "x"
 
 
+def test_files_as_objects(spark, tmp_path):
+    """A graph with its edges nested, a manifest keyed by file name, a report with a list of files; damaged ones are empty."""
+    put = lambda name, x: (tmp_path / name).write_text(x if isinstance(x, str) else json.dumps(x, indent=1)) and str(tmp_path / name)
+    g = S.graph(spark, put("g.json", {"documents": 2, "edges": [{"from": "IS 1", "to_number": "2", "role": "sampling", "page": 4}, {"from": "IS 3", "to_number": "5"}]}))
+    assert {(r.src, r.to_number, r.page) for r in g.collect()} == {("IS 1", "2", 4), ("IS 3", "5", None)}
+    m = S.manifest(spark, put("o.json", {"a.pdf": {"sha256": "x", "chunks": 3, "standard_id": None, "ingested_at": "t"}, "b.pdf": {"sha256": "y", "chunks": 0}}))
+    assert {(r.source, r.sha256, r.chunks) for r in m.collect()} == {("a.pdf", "x", 3), ("b.pdf", "y", 0)}
+    r = S.report(spark, put("r.json", {"generated_at": "t", "totals": {"files": 1}, "files": [{"filename": "a.pdf", "total_pages": 7}, {"no": 1}]}))
+    assert [(x.filename, x.total_pages) for x in r.collect()] == [("a.pdf", 7)]
+    for bad in ("{not json", "[1, 2]", '["a"]', "", "{}"):
+        path = put("bad.json", bad or " ")
+        assert S.graph(spark, path).count() == S.manifest(spark, path).count() == S.report(spark, path).count() == 0
+    assert S.manifest(spark, str(tmp_path / "none.json")).count() == S.report(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_runs_that_fail_are_logged_and_done_again(spark, tmp_path):
+    t = Tracker(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([("IS 1", "a", "ACTIVE", None, 0)], "standard_id string, title string, status string, last_amendment_date string, position int")
+    import pytest
+
+    with pytest.raises(Exception):
+        t.run(rows.drop("position"), "r1", page_hash="h")
+    assert {tuple(r) for r in t.run_states().collect()} == {("r1", "FAILED")} and t.last_run() == (None, None)
+    assert t.run(rows, "r2", page_hash="h") == "CHANGED" and t.run(rows, "r3", page_hash="h") == "NO_CHANGE"
+    assert {tuple(r) for r in t.run_states().collect()} == {("r1", "FAILED"), ("r2", "CHANGED"), ("r3", "NO_CHANGE")} and t.current().count() == 1
+
+
 def test_categories_and_catalogue(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes("﻿Name,URL,Created At\nPump (V2) as per IS 5 : 1999,u,t\n".encode())
     c = S.categories(spark, str(tmp_path / "c.csv"))
