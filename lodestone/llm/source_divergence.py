@@ -11,7 +11,7 @@ Scale: texts are read once and counted inside tasks before the exchange, so that
 language with most of the rows is dealt by salt where groups meet terms, and by term in the self-join, which holds as many
 rows a key as the language has sources. The result's pairs grow with the square of a language's sources, as asked.
 
-Edge cases: null text, language and source are ''. A text without terms counts as its group's document. Repeated rows are
+Edge cases: null text, language and source are ''. A text without terms makes its group occur. Repeated rows are
 documents each. Equal values go by the item's bytes. A language without kept terms gives its pairs with value 0. Empty
 tables give no rows; long texts are read whole; only the three named columns are read, so others may be called anything."""
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import durable, table
 
 # --- fixed values ---------------------------------------------------------------------------------------------
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCUMENTS, TOP_TERMS, SMOOTHING, UNIT = 30, 50, 5, 1_000_000_000
 # ----------------------------------------------------------------------------------------------------------------
@@ -33,14 +33,20 @@ SALTS = 32
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, d): occurrences of a term in a group, and documents that hold it. A document without terms
-    gives its group a row with a null term."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    terms = F.regexp_extract_all(F.translate(name(text), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(name(lang).alias("lang"), name(source).alias("source"), terms.alias("terms"))
-    count = lambda n, d: lambda x: F.struct(x.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    each = F.concat(F.transform("terms", count(1, 0)), F.transform(F.array_distinct("terms"), count(0, 1)))
-    return rows.select("lang", "source", F.explode_outer(each).alias("x")).groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("d"))
+    """(lang, source, term, n, d): occurrences of a term in a group, and documents that hold it. Matches of the term pattern are
+    what lies between matches of its complement, which is the faster way to cut them out; the empty strings at a text's ends go."""
+    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # texts of one byte a character hold no capitals but A-Z
+    low = F.when(F.octet_length(said) == F.length(said), F.lower(said)).otherwise(F.translate(said, UPPER, LOWER))
+    rows = docs.select(_name(lang).alias("lang"), _name(source).alias("source"), F.split(low, BETWEEN).alias("terms"))
+    # a text's terms, then its distinct ones: told apart by their place
+    each = rows.select("lang", "source", F.size("terms").alias("k"), F.posexplode_outer(F.concat("terms", F.array_distinct("terms"))).alias("pos", "term")).filter("term <> ''")
+    once = F.when(F.col("pos") < F.col("k"), 1).otherwise(0)
+    return each.groupBy("lang", "source", "term").agg(F.sum(once).alias("n"), F.sum(1 - once).alias("d"))
+
+
+def _name(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
 def share(count: Column, total: Column, terms: Column, smoothing: int = SMOOTHING) -> Column:
@@ -53,17 +59,19 @@ def share(count: Column, total: Column, terms: Column, smoothing: int = SMOOTHIN
 def dense_shares(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, smoothing: int = SMOOTHING) -> tuple[DataFrame, DataFrame]:
     """Groups (lang, source, terms: V), and (lang, source, term, n, p, q): every group's share p of every kept term of its
     language, and the language's own share q."""
-    counts = durable(term_counts(docs, text, lang, source))
-    kept = durable(counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n_all"), F.sum("d").alias("d")).filter(F.col("d") >= least).select("lang", "term", "n_all"))
-    own = durable(counts.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"))
+    # all groups of a term meet once: at most a row for each of its language's sources
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, text, lang, source).withColumn("n_all", F.sum("n").over(of_term)).withColumn("d", F.sum("d").over(of_term))
+    own = durable(counts.filter(F.col("d") >= least).select("lang", "source", "term", "n", "n_all"))
+    kept = durable(own.select("lang", "term", "n_all").distinct())
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_all").alias("total_all"))
     of_group = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
+    groups = docs.select(_name(lang).alias("lang"), _name(source).alias("source")).distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
     zero = F.lit(0).cast("long")
     groups = durable(groups.select("lang", "source", *(F.coalesce(c, zero).alias(c) for c in ("total", "terms", "total_all"))))
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     crossed = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
-    filled = crossed.join(own, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", zero))
+    filled = crossed.join(own.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", zero))
     shares = filled.select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("terms"), smoothing).alias("p"), share(F.col("n_all"), F.col("total_all"), F.col("terms"), smoothing).alias("q"))
     return groups.select("lang", "source", "terms"), durable(shares)
 
