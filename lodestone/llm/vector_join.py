@@ -115,8 +115,9 @@ def homes(nodes: DataFrame, pivots: dict[int, np.ndarray], width: int) -> DataFr
 
 
 def members(housed: DataFrame, pivots: dict[int, np.ndarray], cells: dict[int, dict[int, tuple[int, float]]], width: int, reach: float) -> DataFrame:
-    """(len, cell, block, guest, node, n_copies, v): a vector in its own block, guest 0, and as a guest in every other block
-    whose members may be within the angle `reach`. cells: by length and cell the number of blocks and the radius."""
+    """(len, cell, block, guest, node, n_copies, v): a vector in its own block, guest 0, and as a guest in half of the other blocks
+    whose members may be within the angle `reach`; theirs come to it from the rest. cells: by length and cell the number of
+    blocks and the radius."""
     schema = pa.schema([("len", pa.int32()), ("cell", pa.int32()), ("block", pa.int32()), ("guest", pa.int32()), ("node", pa.binary()), ("n_copies", pa.int64()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +129,18 @@ def members(housed: DataFrame, pivots: dict[int, np.ndarray], cells: dict[int, d
                 for n in np.unique(size).tolist():
                     at = np.flatnonzero(size == n)
                     a = angles(units([found[i] for i in at], width), pivots[n]) if n in pivots else np.zeros((len(at), 1))
+                    begin = dict(zip(cells[n], np.cumsum([0, *(blocks for blocks, _ in cells[n].values())]).tolist(), strict=False))
+                    every = sum(blocks for blocks, _ in cells[n].values())
+                    own = np.array([begin[home[i]] + first[i] % cells[n][home[i]][0] for i in at.tolist()])
                     for c, (blocks, radius) in cells[n].items():
                         near = (a[:, c] <= np.minimum(angle[at] + 2 * reach, radius + reach) + _SLACK) | (home[at] == c)
-                        rows = at[near]
-                        if not len(rows):
-                            continue
-                        own = np.array([first[i] % blocks for i in rows.tolist()])
-                        part = b.take(pa.array(rows))
                         for k in range(blocks):
-                            guest = ~((home[rows] == c) & (own == k))
-                            same = [pa.array(np.full(len(rows), v, np.int32)) for v in (n, c, k)]
-                            yield pa.RecordBatch.from_arrays([*same, pa.array(guest.astype(np.int32)), part.column(0), part.column(1), part.column(2)], schema=schema)
+                            step = (begin[c] + k - own) % every
+                            rows = np.flatnonzero(near & ((2 * step < every) | ((2 * step == every) & (own < begin[c] + k))))
+                            if len(rows):
+                                part, guest = b.take(pa.array(at[rows])), step[rows] > 0
+                                same = [pa.array(np.full(len(rows), v, np.int32)) for v in (n, c, k)]
+                                yield pa.RecordBatch.from_arrays([*same, pa.array(guest.astype(np.int32)), part.column(0), part.column(1), part.column(2)], schema=schema)
 
     return housed.select("node", "n_copies", "v", "len", "cell", "angle").mapInArrow(run, "len int, cell int, block int, guest int, node binary, n_copies long, v binary")
 
@@ -150,53 +152,62 @@ class Block:
         self.width, self.cosine = width, cosine
         self.nodes = [x for p in parts for x in p.column(4).to_pylist()]
         self.raw = [x for p in parts for x in p.column(6).to_pylist()]
-        weights = np.concatenate([p.column(5).to_numpy() for p in parts])
+        self.weights = np.concatenate([p.column(5).to_numpy() for p in parts])
         self.x, self.links, self.label = units(self.raw, width), np.zeros(len(self.raw), np.int64), np.arange(len(self.raw))
-        self.edges: list[tuple[bytes, bytes]] = []
+        self.rough = self.x.astype(np.float32)
+        # what rounding to single precision may take from a product of unit vectors
+        self.margin = (self.x.shape[1] + 4) * 1.2e-7
+        self.guests_found: list[tuple[bytes, bytes, int]] = []
         for k in range(0, len(self.raw), 1024):
-            self._meet(self.x[k : k + 1024], self.raw[k : k + 1024], weights[k : k + 1024], k)
+            self._meet(self.x[k : k + 1024], self.raw[k : k + 1024], self.weights[k : k + 1024], k)
 
     def guests(self, part: pa.RecordBatch) -> None:
         for k in range(0, part.num_rows, 1024):
             p = part.slice(k, 1024)
             raw = p.column(6).to_pylist()
-            seen = self._meet(units(raw, self.width), raw, p.column(5).to_numpy(), -1)
-            nodes = p.column(4).to_pylist()
-            self.edges += [(nodes[j], self.nodes[i]) for j, i in seen]
-
-    def _meet(self, y: np.ndarray, raw: list[bytes], weights: np.ndarray, offset: int) -> list[tuple[int, int]]:
-        """offset: where the others are home vectors, the place of their first."""
-        c = self.x @ y.T
+            found = self._meet(units(raw, self.width), raw, p.column(5).to_numpy(), -1)
+            if found:
+                nodes = p.column(4).to_pylist()
+                self.guests_found += [(nodes[j], self.nodes[i], n) for j, i, n in found]
+
+    def _meet(self, y: np.ndarray, raw: list[bytes], weights: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
+        """offset: where the others are home vectors, the place of their first. Gives for a guest with links one of the home
+        vectors and the weight of all."""
+        near = self.rough @ y.astype(np.float32).T >= self.cosine - self.margin
+        cols = np.flatnonzero(near.any(axis=0))
+        if not len(cols):
+            return []
+        rows = np.flatnonzero(near[:, cols].any(axis=1))
+        c = self.x[rows] @ y[cols].T
         hit = c >= self.cosine
         for i, j in zip(*np.nonzero(np.abs(c - self.cosine) < 1e-9), strict=True):
-            hit[i, j] = linked(self.raw[i], raw[j], self.width, self.cosine)
+            hit[i, j] = linked(self.raw[rows[i]], raw[cols[j]], self.width, self.cosine)
         if offset >= 0:
-            n = np.arange(len(raw))
-            hit[offset + n, n] = False
-        self.links += hit @ weights
-        seen = []
-        for j in np.flatnonzero(hit.any(axis=0)).tolist():
-            who = np.flatnonzero(hit[:, j])
+            hit &= rows[:, None] != offset + cols[None, :]
+        found = []
+        for k in np.flatnonzero(hit.any(axis=0)).tolist():
+            j, who = int(cols[k]), rows[hit[:, k]]
+            self.links[who] += weights[j]
             if offset >= 0:
                 who = np.append(who, offset + j)
             else:
-                seen.append((j, int(who[0])))
+                found.append((j, int(who[0]), int(self.weights[who].sum())))
             labels = self.label[who]
             low = labels.min()
             if labels.max() != low:
                 for r in np.unique(labels).tolist():
                     if r != low:
                         self.label[self.label == r] = low
-        return seen
+        return found
 
     def rows(self) -> Iterator[tuple[bytes, bytes, int]]:
         yield from zip(self.nodes, (self.nodes[k] for k in self.label.tolist()), self.links.tolist(), strict=True)
-        yield from ((a, b, 0) for a, b in self.edges)
+        yield from self.guests_found
 
 
 def joined(dealt: DataFrame, width: int, cosine: float) -> DataFrame:
-    """(a, b, links) of each block of members(): for a home vector its links (weights) and another of its component, for a guest with a link
-    a home vector of it."""
+    """(a, b, links) of each block of members(): for a home vector, and for a guest with links, the weight of those here and
+    a home vector of its component."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
 
     def out(block: Block) -> Iterator[pa.RecordBatch]:
