@@ -260,7 +260,8 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("a <> b").select("a", "b"))
     told = nodes.select("node", "n_copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written out, so that the join has a plain exchange on either side, which adaptive execution splits at a large component
+    least = durable(told.groupBy("root").agg(F.min("least").alias("component_id")))
     told = durable(told.join(least, "root").select("node", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n_copies") - 1).alias("n_links"), "component_id"))
     out = marked.select("vec_id", "node").join(told, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
