@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, market, retrieval as R
+from ..operators.word_index import WordIndex, Words, files_fingerprint
+from ..stored import shared_dir
 from .common import quoted, table, tokens_sql
 
 
+def _index(spark: SparkSession, sf: str, name: str, docs: DataFrame | None = None, doc: str = "doc_id", kind: str = "bigint", plain: bool = False) -> Words:
+    """The stored index of a table's documents, or of texts made of them; brought up to date where the table's files have changed."""
+    where = f"{shared_dir(spark).rstrip('/')}/words/{hashlib.sha256(sf.encode()).hexdigest()[:16]}-{name}"
+    index = WordIndex(spark, where, kind, words_of=T.meaningful_terms if plain else T.tokens, plain=plain)
+    return index.refresh(table(spark, sf, "documents") if docs is None else docs, files_fingerprint(spark, f"{sf}/documents.parquet"), doc)
+
+
 def _bm25(spark: SparkSession, sf: str, k: int, fill: bool = True) -> DataFrame:
-    return R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k, query="item_id", fill=fill)
+    return R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k, query="item_id", fill=fill, words=_index(spark, sf, "texts"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,11 +37,8 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _second_list(spark: SparkSession, sf: str) -> DataFrame:
-    """A ranking by shared meaningful words, in place of the dense one."""
-    q = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.meaningful_terms(F.col("text")))).alias("w"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.meaningful_terms(F.col("text")))).alias("w"))
-    hits = d.join(q, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return R.ranked(hits, ["item_id"], [F.desc("n"), F.asc("doc_id")], 20)
+    """A ranking by the number of shared meaningful words, in place of the dense one."""
+    return _index(spark, sf, "meaningful", plain=True).search(table(spark, sf, "benchmark"), 20, "item_id", fill=False).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank")
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +68,8 @@ def passage_search(spark: SparkSession, sf: str) -> DataFrame:
     def scorer(x: DataFrame) -> DataFrame:
         return x.join(c.select("key", "lang"), "key").withColumn("rerank_score", F.when(F.col("lang") == "fr", F.col("score") / 2).otherwise(F.col("score")))
 
-    out = R.passage_search(table(spark, sf, "benchmark"), c.select("key", "text"), dense, scorer, query="item_id")
+    words = _index(spark, sf, "passages", c.select("key", "text"), "key", "string")
+    out = R.passage_search(table(spark, sf, "benchmark"), c.select("key", "text"), dense, scorer, query="item_id", words=words)
     return out.select(F.col("query").alias("item_id"), "key", F.round("rerank_score", 6).alias("score"), "rank")
 
 
@@ -74,7 +83,7 @@ def source_contexts(spark: SparkSession, sf: str) -> DataFrame:
 def merge_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations are the requests, their turns the passages."""
     c = table(spark, sf, "conversations").select(F.struct(F.col("conv_id").alias("request"), F.col("turn").alias("passage")).alias("pid"), "text")
-    hits = R.bm25(c, table(spark, sf, "documents"), 20, query="pid", fill=False).join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner")), "doc")
+    hits = R.bm25(c, table(spark, sf, "documents"), 20, query="pid", fill=False, words=_index(spark, sf, "texts")).join(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("owner")), "doc")
     m = R.merge_passages(R.group_by_owner(hits, 4).select("query.request", "query.passage", "owner", "best_score", "chunks"))
     return m.select(F.col("request").alias("conv_id"), F.col("owner").alias("source"), F.round("best_score", 4).alias("best_score"), "passage_hits", F.round("score", 4).alias("score"), "rank")
 
