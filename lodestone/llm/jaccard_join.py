@@ -14,8 +14,9 @@ Words are runs of word characters, lower-cased; a text of fewer than five words
    sets (counts from postings in numpy); what leaves the task is one row a node: its links and its component.
 
 Buckets and families over a limit are dealt as pairs of blocks to different tasks, so that each task is bounded in rows
-and bytes, and no pair is lost. A large family is dealt to at most MOST_BLOCKS blocks unless its bytes ask for more, so a
-text is copied as often at most. Only the texts of families are shuffled: a Bloom filter of their keys (of a size
+(MOST_ROWS) and bytes, and no pair is lost. A row is copied once for each block: MOST_BLOCKS times, or once for every 32,000
+rows of its bucket or family where that is more. In a family, sets that share the same shingles with others are counted as one, so
+that near copies cost about their number, not its square. Only the texts of families are shuffled: a Bloom filter of their keys (of a size
 checked before; without it all texts are) keeps the others where they are.
 
 Edge cases: a null text is empty. Texts without words have no shingles: equal ones (the empty and null ones, say) are
@@ -46,8 +47,9 @@ THRESHOLD = (4, 5)
 BANDS, ROWS = 24, 4
 CHUNK = 16
 TOLERANCE = 1e-7
-#: Rows of a bucket or family that one task takes; blocks of a larger family; shingle bytes of a block.
-BUCKET_LIMIT, FAMILY_LIMIT, MOST_BLOCKS, BLOCK_BYTES = 20_000, 4_000, 64, 16 << 20
+#: Rows of a bucket or family that one task takes; blocks of a larger one, up to which blocks have half as many rows; rows of
+#: two blocks at most, whatever their number; shingle bytes of a block.
+BUCKET_LIMIT, FAMILY_LIMIT, MOST_BLOCKS, MOST_ROWS, BLOCK_BYTES = 20_000, 4_000, 64, 64_000, 16 << 20
 
 _WORDS = re.compile(r"\w+")
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -133,31 +135,41 @@ def least_matches(n: int, threshold: float = THRESHOLD[0] / THRESHOLD[1], tolera
 _LEAST = [(n, least_matches(n)) for n in range(CHUNK, BANDS * ROWS + 1, CHUNK)]
 
 
-def survivors(marks: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
-    """Those of `others` (row numbers) whose comparison with row `one` is never given up."""
-    matches = np.zeros(len(others), np.int64)
-    for n, least in _LEAST:
-        matches += (marks[others, n - CHUNK : n] == marks[one, n - CHUNK : n]).sum(axis=1)
-        stay = matches >= least
-        if not stay.all():
-            others, matches = others[stay], matches[stay]
-            if not len(others):
-                break
-    return others
-
-
 def forest(marks: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (seed, member) that span the components of the surviving pairs."""
-    left, out = np.arange(len(marks)), []
-    while len(left) > 1:
-        seed, left, queue = int(left[0]), left[1:], []
-        queue.append(seed)
-        while queue and len(left):
-            found = survivors(marks, queue.pop(), left)
+    """Edges (seed, member) that span the components of the pairs whose comparison is never given up. A row is compared with all
+    rows left at once, a chunk of bytes at a time, by columns that lie together; the later chunks only with those that stay."""
+    names, t = np.arange(len(marks)), np.ascontiguousarray(marks.T)
+    live, left, out = np.ones(len(names), bool), len(names), []
+
+    def near(x: np.ndarray) -> np.ndarray:
+        """Places of the rows left that stay beside a row with these bytes."""
+        others, matches = np.flatnonzero(live), 0
+        for n, least in _LEAST:
+            rows, bytes_ = t[n - CHUNK : n], x[n - CHUNK : n, None]
+            # where most rows are left, all are compared, which needs no copy of those left
+            equal = (rows == bytes_).view(np.uint8).sum(axis=0, dtype=np.uint8)[others] if 8 * len(others) > len(names) else (rows[:, others] == bytes_).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            matches = matches + equal
+            stay = matches >= least
+            if not stay.all():
+                others, matches = others[stay], matches[stay]
+                if not len(others):
+                    break
+        return others
+
+    first = 0
+    while left > 1:
+        if 2 * left < len(names):
+            names, t, live, first = names[live], np.ascontiguousarray(t[:, live]), np.ones(left, bool), 0
+        first += int(live[first:].argmax())
+        seed, live[first], left = int(names[first]), False, left - 1
+        queue = [t[:, first].copy()]
+        while queue and left:
+            found = near(queue.pop())
             if len(found):
-                out += [(seed, x) for x in found.tolist()]
-                queue += found.tolist()
-                left = np.setdiff1d(left, found, assume_unique=True)
+                out += [(seed, x) for x in names[found].tolist()]
+                queue += list(t[:, found].T.copy())
+                live[found] = False
+                left -= len(found)
     return out
 
 
@@ -196,13 +208,18 @@ def in_blocks(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     return dealt.select(*rows.columns, F.least("own_block", "other").alias("block_a"), F.greatest("own_block", "other").alias("block_b"), "own_block")
 
 
+def _blocks(n: Column, limit: int) -> Column:
+    """Into how many blocks n rows are dealt: of half the limit each, but no more than MOST_BLOCKS unless two blocks would pass MOST_ROWS."""
+    return F.greatest(F.least(F.ceil(n * 2 / limit), F.lit(MOST_BLOCKS)), F.ceil(n * 2 / MOST_ROWS))
+
+
 def candidate_families(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(node, root) of the nodes that any pruned comparison has left with a partner. nodes: (node, bands, sketch)."""
     keys = nodes.select("node", F.explode("bands").alias("band"))
     # most bands are a node's own: only those that two nodes share get the sketches
     counts = durable(keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     rows = keys.join(counts.select("band"), "band").join(nodes.select("node", "sketch"), "node").select("node", "sketch", "band")
-    rows = in_blocks(rows, "band", counts.select("band", F.when(F.col("n") > bucket_limit, F.ceil(F.col("n") * 2 / bucket_limit)).otherwise(1).cast("int").alias("blocks")))
+    rows = in_blocks(rows, "band", counts.select("band", F.when(F.col("n") > bucket_limit, _blocks(F.col("n"), bucket_limit)).otherwise(1).cast("int").alias("blocks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[bytes] = []
@@ -225,37 +242,56 @@ def candidate_families(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> Da
 
 def count_links(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each set: how many of the others have the similarity, the sum of their weights, and a number of its component.
-    Where a < b, only pairs across the two blocks are looked at."""
+    Where a < b, only pairs across the two blocks are looked at.
+
+    Sets of one size with the same shared shingles (those that any other set has) are alike to all others, and are counted as
+    one group: near copies of a text differ in where they differ, of which there are few ways, and in shingles of their own."""
     k = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(k), sizes)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    posted, bounds = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2))
-    lengths = np.diff(bounds)
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    texts, docs, root = np.zeros(k, np.int64), np.zeros(k, np.int64), np.arange(k)
-    up, down = THRESHOLD
+    known: dict[tuple, int] = {}
+    profiles: list[np.ndarray] = []
+    group = np.zeros(k, np.int64)
     for i in range(k):
         own = code[at[i] : at[i + 1]]
-        own = own[lengths[own] > 1]
+        own = own[held[own] > 1]
+        group[i] = known.setdefault((own.tobytes(), int(sizes[i]), int(blocks[i]) if a < b else 0), len(profiles))
+        if group[i] == len(profiles):
+            profiles.append(own)
+    g = len(profiles)
+    first = np.full(g, k)
+    np.minimum.at(first, group, np.arange(k))
+    members, heavy = np.bincount(group, minlength=g), np.bincount(group, weights, minlength=g).astype(np.int64)
+    size, block = sizes[first], blocks[first]
+    owner, posted = np.repeat(np.arange(g), [len(p) for p in profiles]), np.concatenate(profiles) if g else np.zeros(0, np.int64)
+    order = np.argsort(posted, kind="stable")
+    posted, owner = posted[order], owner[order]
+    bounds = np.searchsorted(posted, np.arange(len(held) + 1))
+    lengths = np.diff(bounds)
+    texts, docs, itself, root = np.zeros(g, np.int64), np.zeros(g, np.int64), np.zeros(g, bool), np.arange(g)
+    up, down = THRESHOLD
+    for i, own in enumerate(profiles):
         if not len(own):
             continue
         n = lengths[own]
         spots = np.repeat(bounds[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(posted[spots], minlength=k)
-        hit = down * shared >= up * (sizes + sizes[i] - shared)
-        hit[i] = False
+        shared = np.bincount(owner[spots], minlength=g)
+        hit = down * shared >= up * (size + size[i] - shared)
         if a < b:
-            hit &= blocks != blocks[i]
+            hit &= block != block[i]
+        itself[i] = hit[i]
         j = np.flatnonzero(hit)
         if len(j):
-            texts[i], docs[i] = len(j), int(weights[j].sum())
+            texts[i], docs[i] = members[j].sum(), heavy[j].sum()
             low = min(int(root[i]), int(root[j].min()))
             for r in np.unique(np.append(root[j], root[i])).tolist():
                 if r != low:
                     root[root == r] = low
-    return texts, docs, root
+    least = np.full(g, k)
+    np.minimum.at(least, root, first)
+    mine = itself[group]
+    return texts[group] - mine, docs[group] - weights * mine, np.where(texts[group] > 0, least[root[group]], np.arange(k))
 
 
 def family_texts(docs: DataFrame, families: DataFrame, doc_id: str, text: str, repeated: bool = True) -> DataFrame:
@@ -272,7 +308,7 @@ def verified(families: DataFrame, texts: DataFrame, family_limit: int = FAMILY_L
     """families: (node, root, row_key, text_key, n_copies, size); texts: (row_key, text_key, text), one for each. Gives (node, class,
     n_linked_texts, n_linked_docs)."""
     bytes_, n = F.sum("size") * 8, F.count("*")
-    few = F.least(F.ceil(n * 2 / family_limit), F.lit(MOST_BLOCKS))
+    few = _blocks(n, family_limit)
     blocks = durable(families.groupBy("root").agg(F.when((n > family_limit) | (bytes_ > 2 * BLOCK_BYTES), F.greatest(few, F.ceil(bytes_ / BLOCK_BYTES))).otherwise(1).cast("int").alias("blocks")).filter("blocks > 1"))
     rows = in_blocks(families.join(texts, ["row_key", "text_key"]), "root", blocks)
     out = pa.schema([("node", pa.binary()), ("class", pa.binary()), ("n_linked_texts", pa.int64()), ("n_linked_docs", pa.int64())])
