@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, market, retrieval as R
+from ..operators.vector_index import VectorIndex
 from ..operators.word_index import WordIndex, Words, files_fingerprint
 from ..stored import shared_dir
 from .common import quoted, table, tokens_sql
@@ -36,6 +37,15 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.knn(q, v.select("vec_id", F.col("embedding").alias("v")), 20).select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
 
 
+def knn_index(spark: SparkSession, sf: str) -> DataFrame:
+    """As knn_topk, from the stored index of inverted lists; about nine tenths of its rows or more."""
+    v = table(spark, sf, "embeddings")
+    where = f"{shared_dir(spark).rstrip('/')}/vectors/{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    index = VectorIndex(spark, where).refresh(v, files_fingerprint(spark, f"{sf}/embeddings.parquet"))
+    found = index.search(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 20)
+    return found.select("query", "vec_id", (F.round("distance", 4) + 0.0).alias("distance"), "rank")
+
+
 def _second_list(spark: SparkSession, sf: str) -> DataFrame:
     """A ranking by the number of shared meaningful words, in place of the dense one."""
     return _index(spark, sf, "meaningful", plain=True).search(table(spark, sf, "benchmark"), 20, "item_id", fill=False).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank")
@@ -188,4 +198,4 @@ SELECT COUNT(*) AS n, round(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) A
 t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <> 0 THEN ', page ' || (doc_id % 3) ELSE '' END) || (CASE WHEN lang = 'de' THEN ' [OCR]' ELSE '' END) AS citation FROM c JOIN documents USING (doc_id))
 SELECT query AS item_id, citation, row_number() OVER (PARTITION BY query ORDER BY MIN(seen)) AS place FROM t GROUP BY query, citation""",
 }
-QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, rrf_fuse, passage_search, source_contexts, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}
+QUERIES = {f.__name__: f for f in (rank_sources, bm25_topk, knn_topk, knn_index, rrf_fuse, passage_search, source_contexts, merge_passages, idf_keyword_match, suggest_categories, unknown_terms, eval_recall, source_citations)}
