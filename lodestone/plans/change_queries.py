@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import decide, graph, incremental as inc
 from ..operators.retrieval import ranked
+from ..streaming.ingest import Ingest
 from ..streaming.limiter import rate_limited
-from ..stored import durable
+from ..stored import durable, shared_dir
 from .common import quoted, table
 from .retrieval_queries import _BM25, _OWNED, _groups
 
@@ -223,6 +226,24 @@ def request_rate(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.count("*").over(w).alias("offered"))
 
 
+def _pieces(files: DataFrame, size: int = 1000) -> DataFrame:
+    n = F.ceil(F.length("text") / size).cast("int")
+    return files.filter(n > 0).select("source", F.explode(F.sequence(F.lit(1), n)).alias("k"), "text").select("source", F.format_string("%s::c%05d", "source", "k").alias("chunk_id"), F.expr(f"substr(text, (k - 1) * {size} + 1, {size})").alias("text"))
+
+
+def resumable_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents are ingested as files; then every seventh has another text, every eleventh is gone, and a run that sees them all
+    prunes. Listed files with their chunks, as the tables hold them after both runs."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id").alias("source"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    hashed = lambda x: x.withColumn("sha256", F.sha2("text", 256))
+    work = Ingest(spark, f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}", _pieces, 16)
+    work.run(hashed(d))
+    work.run(hashed(d.filter("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text")))), complete=True, prune=True)
+    kept = work.chunks.read().groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), ""), 256).alias("text_sha256"))
+    zero = F.lit(0).cast("long")
+    return work.manifest.read().join(kept, "source", "left").select("source", "sha256", "chunks", F.coalesce("n_chunks", zero).alias("n_chunks"), F.coalesce("n_chars", zero).alias("n_chars"), F.coalesce("text_sha256", F.sha2(F.lit(""), 256)).alias("text_sha256"))
+
+
 def rate_limiter(spark: SparkSession, sf: str) -> DataFrame:
     return rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 2, 12 * 3600.0)
 
@@ -309,9 +330,18 @@ FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING
     "ttl_cache": "SELECT event_id, key, age_hours, COALESCE(age_hours <= 24, FALSE) AS hit FROM (SELECT event_id, key, round((s - lag(s) OVER (PARTITION BY key ORDER BY s, event_id)) / 3.6e9, 4) AS age_hours FROM (SELECT event_id, substr(sha256(lower(trim(event_type || ' ' || props))), 1, 16) AS key, epoch_us(ts) AS s FROM events))",
 }
 _DECIDED = SQL["ingest_decision"]
+SQL["rate_limiter"] = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, event_id, n, us IS NOT NULL AS admitted, CASE WHEN us IS NULL THEN [] ELSE [us] END AS seen FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, us IS NOT NULL AND len(held) < 2, CASE WHEN us IS NOT NULL AND len(held) < 2 THEN list_append(held, us) ELSE held END
+FROM (SELECT e.*, list_filter(w.seen, lambda x: e.us - x <= 43200000000) AS held FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.n = w.n + 1))
+SELECT CAST(user_id AS VARCHAR) AS client, event_id AS request, admitted FROM w"""
+SQL["resumable_ingest"] = """
+WITH d AS (SELECT 'f' || doc_id AS source, CASE WHEN doc_id % 7 = 0 THEN 'new ' ELSE '' END || COALESCE(text, '') AS text FROM documents WHERE doc_id % 11 <> 0)
+SELECT source, sha256(text) AS sha256, CAST(ceil(length(text) / 1000) AS BIGINT) AS chunks, CAST(ceil(length(text) / 1000) AS BIGINT) AS n_chunks, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM d"""
 SQL["pending_files"] = _DECIDED[: _DECIDED.rindex("\nSELECT")] + """, o AS (SELECT 'f' || l_partkey AS source, l_orderkey || '-' || l_linenumber AS id FROM lineitem WHERE l_partkey % 23 <> 0)
 SELECT r.source, any_value(reason) AS reason, COUNT(id) AS n_old, sha256(COALESCE(string_agg(id, ',' ORDER BY id), '')) AS old_sha256 FROM r LEFT JOIN o USING (source) WHERE reason <> 'unchanged' GROUP BY r.source"""
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, resumable_ingest, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..operators.incremental import rows_hash
+from .buckets import Conflict, Log
 
 CATALOG = "filename string, standard_id string, title string, status string, publication_date string, edition string, last_amendment_date string, doc_type string, number string, part string, part_to string, section string, reaffirmed_year string, confidence string, confidence_score int, needs_review boolean, verified boolean, notes array<string>"
 EDGE = "src string, from_file string, to_number string, to_part string, to_section string, cited_year string, cited_title string, role string, page int, confidence string, source string, context string"
@@ -120,32 +122,32 @@ def valid_documents(docs: DataFrame, most: int = 100, most_id: int = 200, most_t
 
 
 class Versions:
-    """A table as numbered folders and a pointer that names the current one; the pointer moves after the folder is whole."""
+    """A table as folders, and a log of which is current. A version is put after its folder is whole, and only if no other writer has
+    put one of that number: the other's then stays the version before."""
 
     def __init__(self, spark: SparkSession, where: str):
         self.spark, self.where = spark, where.rstrip("/")
+        self.log = Log(spark, f"{self.where}/log")
 
     def current(self) -> int | None:
-        try:
-            r = self.spark.read.schema("version int").json(f"{self.where}/pointer").agg(F.max("version")).first()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return r[0]
+        return self.log.latest()[0] or None
 
     def read(self, schema: str | None = None) -> DataFrame | None:
-        v = self.current()
-        if v is None:
+        v, entry = self.log.latest()
+        if not v:
             return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(f"{self.where}/v={v}")
-
-    def write(self, df: DataFrame, partition_by: str | None = None) -> int:
-        v = (self.current() or 0) + 1
-        w = df.write.mode("overwrite")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(f"{self.where}/v={v}")
-        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("append").json(f"{self.where}/pointer")
-        return v
+        return self.spark.read.parquet(f"{self.where}/{entry['folder']}")
+
+    def write(self, df: DataFrame, partition_by: str | None = None, upto: int | None = None) -> int:
+        """The new version. With `upto` (0: none yet), fails with Conflict unless that is still the current one."""
+        folder = f"data-{uuid.uuid4().hex}"
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(f"{self.where}/{folder}")
+        while True:
+            v = self.log.latest()[0]
+            if upto is not None and v != upto:
+                raise Conflict(f"version {v} was written after {upto}")
+            if self.log.put(v + 1, {"folder": folder}):
+                return v + 1
 
 
 def export_json(df: DataFrame, path: str) -> None:
