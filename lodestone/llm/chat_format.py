@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from ..functions.names import unused
 from .common import let, running, table
 
 TURNS = "array<struct<role:string,text:string>>"
@@ -178,13 +179,14 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: list[M
         return records.withColumns({"fingerprint": F.when(there, F.lit(print_)), "layout": F.when(there, F.lit(m.name if m else None)), "turns": F.when(there, turns).cast(TURNS)})
     json = F.col(record)
     df = records.withColumn("fingerprint", F.when(json.isNotNull(), F.sha2(paths_of_json(json, known), 256)))
-    df = df.withColumn("__v", F.from_json(json, _ddl(known) + ", _corrupt_record string", _LARGE))
+    own = unused(df, "__record")[0]
+    df = df.withColumn(own, F.from_json(json, _ddl(known) + ", _corrupt_record string", _LARGE))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for print_, m in by_hash.items():
-        hit = (F.col("fingerprint") == print_) & F.col("__v._corrupt_record").isNull()
+        hit = (F.col("fingerprint") == print_) & F.col(f"{own}._corrupt_record").isNull()
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
-        turns = F.when(hit, m.turns(F.col("__v")).cast(TURNS)).otherwise(turns)
-    return df.withColumn("layout", layout).withColumn("turns", turns).drop("__v")
+        turns = F.when(hit, m.turns(F.col(own)).cast(TURNS)).otherwise(turns)
+    return df.withColumn("layout", layout).withColumn("turns", turns).drop(own)
 
 
 @dataclass(frozen=True)
@@ -227,9 +229,10 @@ def format_turns(df: DataFrame, template: Template = Template()) -> DataFrame:
 
         return F.array_compact(F.zip_with(parts, at, lambda p, x: F.when(p["trained"], span(p, x))))
 
-    df = df.withColumn("__parts", parts)
-    df = df.withColumn("formatted", F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(t.end))), ""))
-    return df.withColumn("loss_spans", let(F.col("__parts"), spans)).drop("__parts")
+    own = unused(df, "__parts")[0]
+    df = df.withColumn(own, parts)
+    df = df.withColumn("formatted", F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], F.lit(t.end))), ""))
+    return df.withColumn("loss_spans", let(F.col(own), spans)).drop(own)
 
 
 def parse_formatted(formatted: Column, template: Template = Template()) -> Column:

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
 from . import bloom
 from .common import durable, table
 
@@ -35,14 +36,15 @@ LISTED_LABELS = ["cheap-pills", "casino-win", "ads-track", "free-bets", "adult-x
 
 def _rest(url: Column) -> Column:
     at = F.locate("://", url)
-    return F.when(at > 0, F.expr("substring(__u, locate('://', __u) + 3)")).otherwise(F.lit(""))
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
 def with_host_and_path(df: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
     """Adds host (A-Z lower-cased) and path; both empty where the url is null or has no `://`."""
-    df = df.withColumn("__u", F.col(url)).withColumn("__r", F.coalesce(_rest(F.col("__u")), F.lit("")))
-    host = F.translate(F.regexp_extract("__r", r"^([^/?#]*)", 1), UPPER, LOWER)
-    return df.withColumn(f"{prefix}host", host).withColumn(f"{prefix}path", F.regexp_extract("__r", r"^[^/?#]*([^?#]*)", 1)).drop("__u", "__r")
+    rest = unused(df, "__rest")[0]
+    df = df.withColumn(rest, F.coalesce(_rest(F.col(url)), F.lit("")))
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
+    return df.withColumn(f"{prefix}host", host).withColumn(f"{prefix}path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).drop(rest)
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -85,8 +87,13 @@ class Cascade:
         if self.table is None:
             return df.withColumn(name, self.listed(F.col(key)))
         size = self.shards * sum(x.bits for x in self.levels) // 8
-        met = df.withColumn("__shard", bloom.shard_of([F.col(key)], self.shards)).join(bloom.meeting(self.table, size), "__shard")
-        return met.withColumn(name, self.listed(F.col(key))).drop("__shard", *(f"__w{i}" for i in range(len(self.levels))))
+        # the table is written out, so that beyond a broadcast both sides have a plain exchange, and adaptive execution splits
+        # the shard of a host with many rows; the caller's columns have other names meanwhile
+        plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+        at = plain[f"c{df.columns.index(key)}"]
+        met = plain.withColumn("__shard", bloom.shard_of([at], self.shards)).join(bloom.meeting(self.table, size), "__shard")
+        kept = [(c, n) for c, n in zip(plain.columns, df.columns, strict=True) if n.lower() != name.lower()]
+        return met.select(*(F.col(c) for c, _ in kept), self.listed(at).alias("__listed")).toDF(*(n for _, n in kept), name)
 
 
 def build_cascade(universe: DataFrame, max_filter_bytes: int = 4 << 20) -> Cascade:
