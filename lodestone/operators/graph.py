@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.names import unused
 from .retrieval import ranked
 
 #: Orders of roles and confidences.
@@ -30,11 +31,12 @@ def resolve(edges: DataFrame, held: DataFrame) -> DataFrame:
     """edges: (..., to_number, to_part, to_section, cited_year); held: (standard_id, number, part, section, year, position).
     Left join on the three parts of the key, null as empty; of held rows with one key the last is taken. Adds in_corpus,
     resolved_id and edition_note. The held side is reduced to one row a key before the join."""
-    key = lambda *cs: [F.coalesce(F.col(c), F.lit("")).alias(f"__{i}") for i, c in enumerate(cs)]
-    last = held.select(*key("number", "part", "section"), "standard_id", F.col("year").alias("held_year"), "position").groupBy("__0", "__1", "__2").agg(F.max_by(F.struct("standard_id", "held_year"), "position").alias("h"))
-    out = edges.select("*", *key("to_number", "to_part", "to_section")).join(last, ["__0", "__1", "__2"], "left")
-    note = F.when(F.col("cited_year") != F.col("h.held_year"), F.concat(F.lit("cites "), F.col("cited_year"), F.lit(", holds "), F.col("h.held_year")))
-    return out.select(*edges.columns, F.col("h").isNotNull().alias("in_corpus"), F.col("h.standard_id").alias("resolved_id"), note.alias("edition_note"))
+    own = unused(edges, "__number", "__part", "__section", "__held")
+    key = lambda *cs: [F.coalesce(F.col(c), F.lit("")).alias(k) for k, c in zip(own, cs, strict=False)]
+    last = held.select(*key("number", "part", "section"), "standard_id", F.col("year").alias("held_year"), "position").groupBy(*own[:3]).agg(F.max_by(F.struct("standard_id", "held_year"), "position").alias(own[3]))
+    out = edges.select("*", *key("to_number", "to_part", "to_section")).join(last, own[:3], "left")
+    note = F.when(F.col("cited_year") != F.col(f"{own[3]}.held_year"), F.concat(F.lit("cites "), F.col("cited_year"), F.lit(", holds "), F.col(f"{own[3]}.held_year")))
+    return out.select(*edges.columns, F.col(own[3]).isNotNull().alias("in_corpus"), F.col(f"{own[3]}.standard_id").alias("resolved_id"), note.alias("edition_note"))
 
 
 def outgoing(edges: DataFrame, least: str = "medium", limit: int | None = None, source: str = "src", tie: str = "edge_no") -> DataFrame:

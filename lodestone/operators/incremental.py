@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
+
 
 def row_fingerprint(*columns: str, separator: str = "") -> Column:
     """SHA-256 of the columns' texts, nulls empty. Without a separator different rows can share a fingerprint."""
@@ -88,9 +90,10 @@ def expected_ids(current: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 def changed_or_missing(found: DataFrame, current: DataFrame, key: str, signature: str) -> DataFrame:
     """(key): discovered ids that are not held, or are held with another signature (null is one too)."""
-    held = current.select(key, F.col(signature).alias("__old"), F.lit(True).alias("__held"))
+    old, there = unused(found, "__old", "__held")
+    held = current.select(key, F.col(signature).alias(old), F.lit(True).alias(there))
     j = found.join(held, key, "left")
-    return j.filter(F.col("__held").isNull() | ~F.col(signature).eqNullSafe(F.col("__old"))).select(key)
+    return j.filter(F.col(there).isNull() | ~F.col(signature).eqNullSafe(F.col(old))).select(key)
 
 
 def not_parsed(target: DataFrame, records: DataFrame, key: str) -> DataFrame:
@@ -113,11 +116,12 @@ def withdrawals(current: DataFrame, expected: DataFrame, key: str, complete: Col
 def snapshot_diff(live: DataFrame, snapshot: DataFrame, key: str, fields: list[str], position: str) -> DataFrame:
     """(key, field, old, new): live rows against the snapshot on the lower-cased key; snapshot rows with one key: the last.
     A row that the snapshot lacks gives the field `new`."""
-    last = snapshot.groupBy(F.lower(key).alias("__k")).agg(F.max_by(F.struct(*fields), position).alias("o"))
-    j = live.withColumn("__k", F.lower(key)).join(last, "__k", "left")
-    cells = [F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").cast("string").alias("old"), F.col(f).cast("string").alias("new")) for f in fields]
+    low, old = unused(live, "__key", "__old")
+    last = snapshot.groupBy(F.lower(key).alias(low)).agg(F.max_by(F.struct(*fields), position).alias(old))
+    j = live.withColumn(low, F.lower(key)).join(last, low, "left")
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f"{old}.{f}").cast("string").alias("old"), F.col(f).cast("string").alias("new")) for f in fields]
     fresh = F.array(F.struct(F.lit("new").alias("field"), F.lit(None).cast("string").alias("old"), F.col(key).cast("string").alias("new")))
-    changed = F.when(F.col("o").isNull(), fresh).otherwise(F.filter(F.array(*cells), lambda c: ~c["old"].eqNullSafe(c["new"])))
+    changed = F.when(F.col(old).isNull(), fresh).otherwise(F.filter(F.array(*cells), lambda c: ~c["old"].eqNullSafe(c["new"])))
     return j.select(F.col(key), F.explode(changed).alias("c")).select(key, "c.field", "c.old", "c.new")
 
 

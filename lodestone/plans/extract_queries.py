@@ -123,11 +123,15 @@ def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return S.chunk_metadata(files, cat).select("filename", "standard_id", "title")
 
 
+def _model(route: str, score) -> Callable[[], Model]:
+    """A stand-in for a language model, which scores a text by its length."""
+    return lambda: lambda texts: [(route, score(len(x))) for x in texts]
+
+
 def language_route(spark: SparkSession, sf: str) -> DataFrame:
     """Native or roman script by the share of ASCII letters; roman texts of low confidence go to a second model."""
-    d = table(spark, sf, "documents").withColumn("share", T.roman_share(F.col("text"))).withColumn("score", (F.col("doc_id") % 10) / 10)
-    route = F.when(F.col("share") <= 0.5, "native").when(F.col("score") <= 0.6, "roman, second model").otherwise("roman")
-    return d.select("doc_id", route.alias("route"), T.language_gate(F.col("lang"), F.col("score")).alias("language"))
+    d = route_scripts(table(spark, sf, "documents").select("doc_id", "lang", "text"), "text", _model("native", lambda _: 0.9), _model("roman", lambda n: n % 10 / 10), _model("roman, second model", lambda _: 0.5))
+    return d.select("doc_id", F.col("language").alias("route"), T.language_gate(F.col("lang"), F.col("score")).alias("language"))
 
 
 def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +226,7 @@ SELECT doc, to_number, 'IS ' || (p_partkey + 10000) || ' : 2001' AS resolved_id,
     "page_methods": f"SELECT page, method, legacy_font, chars FROM ({_METHODS})",
     "page_summary": f"SELECT filename, COUNT(*) AS total_pages, CAST(SUM(chars) AS BIGINT) AS total_chars, COUNT(*) FILTER (WHERE method = 'ocr') AS ocr_pages, COUNT(*) FILTER (WHERE method = 'empty') AS empty_pages, COUNT(*) FILTER (WHERE legacy_font) AS legacy_font_pages, round(SUM(chars) / COUNT(*), 1) AS chars_per_page FROM ({_METHODS}) GROUP BY filename",
     "chunk_metadata": "SELECT CAST(s_suppkey AS VARCHAR) AS filename, CASE WHEN s_suppkey % 3 <> 0 THEN 'IS ' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS standard_id, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 <> 0 THEN s_name END AS title FROM supplier",
-    "language_route": rf"SELECT doc_id, CASE WHEN share <= 0.5 THEN 'native' WHEN (doc_id % 10) / 10 <= 0.6 THEN 'roman, second model' ELSE 'roman' END AS route, CASE WHEN (doc_id % 10) / 10 < 0.6 THEN 'en' ELSE lang END AS language FROM (SELECT doc_id, lang, {_SHARE} AS share FROM (SELECT doc_id, lang, text, length(regexp_replace(text, '[!-/:-@\[-`{{-~]|\s', '', 'g')) - (length(text) - length(replace(text, chr(10), ''))) AS rest FROM documents))",
+    "language_route": rf"SELECT doc_id, CASE WHEN share <= 0.5 THEN 'native' WHEN (n % 10) / 10 <= 0.6 THEN 'roman, second model' ELSE 'roman' END AS route, CASE WHEN share > 0.5 AND (n % 10) / 10 <= 0.6 THEN 'en' ELSE lang END AS language FROM (SELECT doc_id, lang, length(COALESCE(text, '')) AS n, {_SHARE} AS share FROM (SELECT doc_id, lang, text, length(regexp_replace(text, '[!-/:-@\[-`{{-~]|\s', '', 'g')) - (length(text) - length(replace(text, chr(10), ''))) AS rest FROM documents))",
     "chunk_upsert": "SELECT run, COUNT(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 <> 1 THEN 'new' ELSE 'old' END AS run FROM lineitem) GROUP BY run",
     "manifest_repair": f"WITH {_F} SELECT source, m_sha AS sha256, m_chunks AS chunks FROM m UNION ALL SELECT source, sha, n_chunks FROM p JOIN i USING (source) WHERE n_stamped = n_chunks AND n_hashes = 1 AND a_hash = sha AND n_totals = 1 AND a_total = n_chunks AND source NOT IN (SELECT source FROM m)",
     "edge_labels": f"WITH {_R} SELECT r.edge_no, COALESCE(resolved_id, 'IS ' || dst || CASE WHEN dst % 2 = 0 THEN ' (Part ' || (dst % 5) || ')' ELSE '' END || ' : ' || (2000 + r.edge_no % 3)) AS label FROM r JOIN e ON e.edge_no = r.edge_no",

@@ -211,9 +211,47 @@ def test_monitored_pages(spark, tmp_path):
 
 
 def test_script_routing(spark):
+    """Every row once and in order, each model asked once a row, missing scores kept, other columns as they were."""
     from lodestone.sources.pages import route_scripts
 
-    t = spark.createDataFrame([(1, "भारत"), (2, "hello there"), (3, "namaste ji")], "id long, text string")
-    model = lambda name, score: lambda df: df.withColumn("language", F.lit(name)).withColumn("score", F.when(F.col("id") == 3, 0.6).otherwise(score))
-    got = {r.id: (r.language, r.score) for r in route_scripts(t, "text", model("hi", 0.9), model("en", 0.9), model("hi-Latn", 0.7)).collect()}
-    assert got == {1: ("hi", 0.9), 2: ("en", 0.9), 3: ("hi-Latn", 0.6)}
+    t = spark.createDataFrame([(1, "भारत", "a"), (2, "hello there", "b"), (3, "namaste ji", "c"), (4, "no score", "d"), (5, None, "e"), (6, "", None)], "id long, text string, __roman string").coalesce(1)
+
+    def model(name, score):
+        def make():
+            seen = set()
+
+            def ask(texts):
+                assert not seen & {x for x in texts if x}, "asked twice"
+                seen.update(texts)
+                return [(name, None if x == "no score" else 0.6 if x == "namaste ji" else score) for x in texts]
+
+            return ask
+
+        return make
+
+    got = [tuple(r) for r in route_scripts(t, "text", model("hi", 0.9), model("en", 0.9), model("hi-Latn", 0.7), rows=4).collect()]
+    assert got == [(1, "भारत", "a", "hi", 0.9), (2, "hello there", "b", "en", 0.9), (3, "namaste ji", "c", "hi-Latn", 0.6), (4, "no score", "d", "en", None), (5, None, "e", "hi", 0.9), (6, "", None, "hi", 0.9)]
+    assert route_scripts(t.limit(0), "text", model("a", 1.0), model("b", 1.0), model("c", 1.0)).count() == 0
+
+
+def test_state_of_clients_who_went_away_goes(spark, tmp_path):
+    """State rows fall to zero once the clock has passed the window; a request from before the clock gets no answer."""
+    kind = "client string, ts timestamp, id long"
+
+    def batch(k, rows):
+        spark.createDataFrame(rows, "client string, s double, id long").select("client", F.timestamp_seconds("s").alias("ts"), "id").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    def run():
+        s = rate_limited_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in/*")), "client", "ts", "id", 2, 60.0, lateness=10.0)
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    batch(0, [("a", 0.0, 1), ("b", 1.0, 2), ("a", 1.0, 3), ("a", 2.0, 4)])
+    assert run() == 2
+    batch(1, [("c", 500.0, 5)])
+    run()
+    batch(2, [("c", 501.0, 6), ("a", 100.0, 7)])
+    assert run() == 1
+    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).withColumnRenamed("request", "id").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True}
