@@ -66,6 +66,12 @@ class Nearest:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, such as one file, dealt to all; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def word_counts(docs: DataFrame, doc: str, text: str, words_of: Callable[[Column], Column] = tokens) -> DataFrame:
     """(doc, dl, words, counts): a row a document, its distinct words with their counts; null texts have none."""
     kind = dict(docs.select(F.col(doc).alias("doc")).dtypes)["doc"]
@@ -83,7 +89,7 @@ def word_counts(docs: DataFrame, doc: str, text: str, words_of: Callable[[Column
                 words = coded.dictionary.take(pa.array(word))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(at, words), pa.ListArray.from_arrays(at, pa.array(counts.astype(np.int32)))], names=["doc", "dl", "words", "counts"])
 
-    return docs.select(F.col(doc).alias("doc"), words_of(F.col(text)).alias("t")).mapInArrow(run, f"doc {kind}, dl long, words array<string>, counts array<int>")
+    return spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).select("doc", words_of(F.col("text")).alias("t")).mapInArrow(run, f"doc {kind}, dl long, words array<string>, counts array<int>")
 
 
 class Words:

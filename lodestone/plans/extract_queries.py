@@ -3,6 +3,8 @@ every row of a table, whose contents SQL works out from the row's key."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from ..functions import text as T
 from ..operators import answer, decide, extract, graph, incremental as inc, market
 from ..sources import documents as D
 from ..sources import tables as S
+from ..sources.pages import Model, route_scripts
 from .change_queries import _F, _R, _files, _resolved
 from .common import table
-from .retrieval_queries import _categories
+from .retrieval_queries import _categories, _index
 from .text_queries import _roles
 
 
@@ -189,16 +192,42 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("IS "), F.regexp_extract("source", r"(\d+)", 1), F.lit(" : 2000")).alias("owner"), F.col("source").alias("title"))
 
 
+def _numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """(n): the numbers of the corpus's standards."""
+    return table(spark, sf, "documents").select(F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("n")).distinct()
+
+
+def _cites(spark: SparkSession, sf: str) -> DataFrame:
+    """Every standard cites the next two numbers."""
+    cited = F.explode(F.array(*(F.struct(F.lit(k).alias("position"), _said("IS ", (F.col("n") + k).cast("string"), " : 2000").alias("code")) for k in (1, 2)))).alias("c")
+    return _numbers(spark, sf).select(_said("IS ", F.col("n").cast("string"), " : 2000").alias("src"), "n", cited).select("src", "c.code", F.when(F.col("n") % 2 == 0, "test method").otherwise("safety").alias("role"), F.col("c.position").cast("long").alias("position"))
+
+
+def _enrichment(spark: SparkSession, sf: str) -> answer.Enrichment:
+    """The chain of citations, where the cited standard is held; editions of every other standard; the parts' categories, of which those with a
+    standard's number in their name cite it."""
+    e = _cites(spark, sf)
+    held = e.select(F.col("src").alias("target")).distinct()
+    walked = e.select("src", F.col("position").alias("edge_rank"), F.col("code").alias("label")).join(held, F.col("label") == F.col("target"), "left")
+    catalog = _numbers(spark, sf).filter("n % 2 = 0").select(_said("IS ", F.col("n").cast("string"), " : 2000").alias("standard_id"), F.lit("2000").alias("edition"), F.lit("2021").alias("reaffirmed_year"), F.col("n").alias("position"))
+    names = table(spark, sf, "part").select(_said(F.col("p_name"), " as per IS ", (F.col("p_partkey") % 40).cast("string")).alias("name"), "p_partkey")
+    cites = names.select(_said("IS ", (F.col("p_partkey") % 40).cast("string"), " : 2000").alias("standard_id"), F.col("name").alias("category"), F.col("p_partkey").alias("position"))
+    return answer.Enrichment(walked, catalog, names.select(F.col("name").alias("category"), F.col("name").alias("product_name")).distinct(), cites)
+
+
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array().cast("array<struct<label:string,select:array<string>>>").alias("answers"), F.array().cast("array<string>").alias("asked"))
-    r = answer.recommend(q, _corpus(spark, sf))
-    return r.select(F.col("query").alias("item_id"), "clarification_needed", "primary_standard", "confidence", "match_score", F.size("clauses").alias("n_clauses"), F.size("placeholders").alias("n_placeholders"))
+    d = _corpus(spark, sf)
+    r = answer.recommend(q, d, _cites(spark, sf), words=_index(spark, sf, "texts"), more=_enrichment(spark, sf))
+    own = [F.size("allied").alias("n_allied"), "version", F.size("references").alias("n_references"), F.array_join(F.transform("categories", lambda c: c["category"]), "|").alias("categories")]
+    return r.select(F.col("query").alias("item_id"), "clarification_needed", "primary_standard", "confidence", "match_score", F.size("clauses").alias("n_clauses"), F.size("placeholders").alias("n_placeholders"), *own)
 
 
 def document_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n\n").alias("text"))
-    merged, _ = answer.recommend_from_document(c.select(F.col("conv_id").alias("request"), "text"), _corpus(spark, sf))
-    return merged.select(F.col("request").alias("conv_id"), "owner", "passage_hits", "rank")
+    out = answer.answer_documents(c.select(F.col("conv_id").alias("request"), "text"), _corpus(spark, sf), edges=_cites(spark, sf), words=_index(spark, sf, "texts"), more=_enrichment(spark, sf))
+    found = F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["standard_id"], x["passage_hits"].cast("string"))), "|")
+    return out.select(F.col("query").alias("conv_id"), found.alias("candidates"), F.size("requirements").alias("n_requirements"), "primary_standard", "confidence", "version", F.size("clauses").alias("n_clauses"), F.size("allied").alias("n_allied"), F.size("references").alias("n_references"), F.size("categories").alias("n_categories"))
 
 
 _PAGES = r"""SELECT doc_id AS page, source AS filename, CASE WHEN doc_id % 3 = 0 AND length(trim(source)) < 200 AND length(s) > length(trim(source)) THEN 'ocr' ELSE 'text' END AS m0, s, trim(source) AS cut

@@ -125,9 +125,11 @@ def unknown_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected: the source of the document that holds the item's text best by id; measured on the ranked sources."""
-    want = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("owner"))
-    r = answer.evaluate(_groups(spark, sf, 5), want.withColumnRenamed("owner", "expected"), 5)
+    """Cases: the items whose text some document holds. Expected: the source of the first such document; measured on the ranked sources."""
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    held = market.holders(d, b.select(F.col("text").alias("needle")), "doc_id", "text").groupBy("needle").agg(F.min("key").alias("doc_id"))
+    want = b.join(held, b["text"] == held["needle"]).join(d.select("doc_id", F.col("source").alias("expected")), "doc_id").select(F.col("item_id").alias("query"), "expected")
+    r = answer.evaluate(_groups(spark, sf, 5), want, 5)
     return r.select("n", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")), "not_found")
 
 
@@ -192,7 +194,7 @@ SELECT request AS conv_id, owner AS source, round(best_score, 4) AS best_score,
 u AS (SELECT query, category, 0 AS tier, place, CAST(100 AS DOUBLE) AS score FROM e UNION ALL SELECT query, category, 1, rank, round_even(score, 2) FROM m WHERE (query, category) NOT IN (SELECT query, category FROM e))
 SELECT query, category, tier, score, row_number() OVER (PARTITION BY query ORDER BY tier, place, category) AS rank FROM u QUALIFY rank <= 5""",
     "unknown_terms": f"WITH {_IDF} SELECT query AS query_id, word FROM (SELECT query, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda x: x NOT IN ({quoted(T.QUERY_NOISE)})))) AS word FROM needs) WHERE word NOT IN (SELECT word FROM i)",
-    "eval_recall": f"""{_BM25}, {_OWNED.format(pool=30, k=5)}, r AS (SELECT item_id, rank FROM (SELECT item_id, 'src' || (item_id % 20) AS owner FROM benchmark) b LEFT JOIN g ON g.query = item_id AND g.owner = b.owner)
+    "eval_recall": f"""{_BM25}, {_OWNED.format(pool=30, k=5)}, r AS (SELECT item_id, rank FROM (SELECT b.item_id, arg_min(d.source, d.doc_id) AS owner FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id) b LEFT JOIN g ON g.query = item_id AND g.owner = b.owner)
 SELECT COUNT(*) AS n, round(AVG(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(AVG(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(AVG(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(SUM(COALESCE(1.0 / rank, 0)) / COUNT(*), 6) AS mrr, COUNT(*) FILTER (WHERE rank IS NULL) AS not_found FROM r""",
     "source_citations": f"""{_BM25}, {_OWNED.format(pool=30, k=3)}, c AS (SELECT query, rank, generate_subscripts(chunks, 1) AS pos, unnest(chunks) AS doc_id FROM g),
 t AS (SELECT query, rank * 100 + pos AS seen, source || (CASE WHEN doc_id % 3 <> 0 THEN ', page ' || (doc_id % 3) ELSE '' END) || (CASE WHEN lang = 'de' THEN ' [OCR]' ELSE '' END) AS citation FROM c JOIN documents USING (doc_id))
