@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .html import stable
+
 # --- fixed values: word lists, patterns and names that results depend on --------------------------------------
 FILLER_WORDS = [
     "the", "a", "an", "and", "or", "for", "of", "in", "on", "to", "with", "is", "are", "was", "be", "by", "at", "as", "from", "this", "that",
@@ -122,10 +124,7 @@ def redact(text: Column) -> Column:
 
 def normalise_html(html: Column) -> Column:
     """Scripts, styles, volatile attributes and token texts go; white space is squeezed."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|iframe)\b.*?</(script|style|noscript|iframe)\s*>", "")
-    t = F.regexp_replace(t, r"""(?i)\s(style|on[a-z]+|nonce|[\w-]*(?:csrf|token|session)[\w-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    t = F.regexp_replace(t, r"(?i)\b(csrf|session|token|timestamp|time)\s*[=:]\s*[A-Za-z0-9_./+-]+", "")
-    return squeeze(t)
+    return stable(html)
 
 
 def json_object(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..functions import text as T
+from ..functions.html import stable_sql
 from ..operators import decide, market
 from ..sources import documents as D
 from .common import quoted, table, tokens_sql
@@ -169,11 +170,6 @@ _STRIPPED = "text"
 for _p in [*T.WATERMARKS, LICENCE_MARK]:
     _STRIPPED = f"regexp_replace({_STRIPPED}, '(?i){_p}', ' ', 'g')"
 _STRIPPED = rf"regexp_replace(regexp_replace(regexp_replace({_STRIPPED}, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-_HTML = (
-    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe)\b.*?</(script|style|noscript|iframe)\s*>', '', 'g'), "
-    r"""'(?i)\s(style|on[a-z]+|nonce|[\w-]*(?:csrf|token|session)[\w-]*)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g'), """
-    r"'(?i)\b(csrf|session|token|timestamp|time)\s*[=:]\s*[A-Za-z0-9_./+-]+', '', 'g'), '\s+', ' ', 'g'))"
-)
 
 
 def _roles(text: str, rules: list, otherwise: str) -> str:
@@ -209,7 +205,7 @@ SQL = {
     "meaningful_terms": f"SELECT item_id, array_to_string(t, ' ') AS terms, CAST(len(t) AS BIGINT) AS n_terms FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({quoted(T.FILLER_WORDS)})) AS t FROM benchmark)",
     "boilerplate_strip": f"SELECT doc_id, CAST(length(text) - length(s) AS BIGINT) AS removed, sha256(s) AS text_sha256 FROM (SELECT doc_id, text, {_STRIPPED} AS s FROM documents)",
     "pii_redact": f"SELECT doc_id, sha256(r) AS redacted_sha256 FROM (SELECT doc_id, text, regexp_replace(text, '{T.PERSONAL}', '[redacted]', 'g') AS r FROM documents) WHERE r <> text",
-    "html_normalize_hash": f"SELECT page_id, sha256({_HTML}) AS page_hash FROM pages",
+    "html_normalize_hash": f"SELECT page_id, sha256({stable_sql('html')}) AS page_hash FROM pages",
     "json_extract": "SELECT event_id, CAST(json_extract(regexp_extract('Answer: ```json ' || props || ' ``` ok', '(?s)\\{.*\\}'), '$.k') AS BIGINT) AS k FROM events",
     "role_of_text": f"SELECT p_partkey, {_roles('t', T.TITLE_ROLES, 'product specification')} AS title_role, {_roles('t', T.REFERENCE_ROLES, 'normative reference')} AS reference_role FROM (SELECT p_partkey, p_name || ' ' || ['methods of test', 'glossary of terms', 'sampling', 'safety code of practice', 'specification', 'determination of lead', ''][CAST(p_partkey % 7 + 1 AS INT)] AS t FROM part)",
     "filename_parse": "SELECT p_partkey, " + ", ".join(f"CASE p_partkey % {len(FILE_FORMS)} " + " ".join(f"WHEN {i} THEN {_value(v[f])}" for i, (_, v) in enumerate(FILE_FORMS)) + f" END AS {name}" for f, name in enumerate(FILE_FIELDS)) + " FROM (SELECT p_partkey, CAST(p_partkey % 80000 + 10000 AS VARCHAR) AS n, CAST(p_partkey % 9 + 1 AS VARCHAR) AS p FROM part)",
