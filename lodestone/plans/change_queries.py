@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import decide, graph, incremental as inc
 from ..operators.retrieval import ranked
+from ..sources.recognised import Recognised, Recogniser
+from ..streaming.cycle import Cycle
 from ..streaming.ingest import Ingest
 from ..streaming.limiter import rate_limited
 from ..stored import durable, shared_dir
@@ -244,6 +246,42 @@ def resumable_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return work.manifest.read().join(kept, "source", "left").select("source", "sha256", "chunks", F.coalesce("n_chunks", zero).alias("n_chunks"), F.coalesce("n_chars", zero).alias("n_chars"), F.coalesce("text_sha256", F.sha2(F.lit(""), 256)).alias("text_sha256"))
 
 
+def _read_aloud() -> Recogniser:
+    return lambda contents, languages: [f"{len(c)} bytes in {x}: {c.decode()}" for c, x in zip(contents, languages, strict=True)]
+
+
+def ocr_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages to be read, a third of them in a second run only: what each says, and the run in which its text was read."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    cache = Recognised(spark, f"{shared_dir(spark).rstrip('/')}/read-{uuid.uuid4().hex}", _read_aloud, 16)
+    cache.read(d.filter("doc_id % 3 <> 0"), "first")
+    out = cache.read(d, "second").join(cache.cache.read().select(F.col("content_hash"), F.col("language").alias("of"), "run"), (F.sha2("content", 256) == F.col("content_hash")) & (F.col("language") == F.col("of")))
+    return out.select("doc_id", F.sha2("ocr_text", 256).alias("text_sha256"), "run")
+
+
+def change_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds over pages that list the orders of a customer: the second has other rows for every fifth customer, who has one order fewer,
+    and a new one. Current standards with what each round did to them."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("page"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 50).orderBy("o_orderkey")).alias("no")).filter("no <= 40")
+
+    def pages(second: bool) -> DataFrame:
+        other = (F.col("page") % 5 == 0) & F.lit(second)
+        rows = o.filter(~(other & (F.col("no") == 1))).withColumn("id", F.concat(F.lit("IS "), F.col("page") * 100 + F.col("no") + 1000))
+        said = F.concat(F.lit("<tr><td>"), "id", F.lit("</td><td>"), F.when(other & (F.col("no") == 2), "changed").otherwise("as it was"), F.lit("</td></tr>"))
+        html = rows.select("page", "no", said.alias("said")).groupBy(F.concat(F.lit("p"), "page").alias("page"), F.col("page").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "said"))), lambda x: x["said"]), "").alias("html"))
+        html = html.withColumn("html", F.concat(F.lit("<table>"), "html", F.when((F.col("n") % 5 == 0) & F.lit(second), F.concat(F.lit("<tr><td>IS "), (F.col("n") * 100 + 1099).cast("string"), F.lit("</td></tr>"))).otherwise(F.lit("")), F.lit("</table>")))
+        return html.select("page", "html", F.sha2(T.normalise_html(F.col("html")), 256).alias("page_hash"))
+
+    def collect(ids: DataFrame) -> DataFrame:
+        return ids.select("standard_id", F.concat(F.lit("Title of "), "standard_id").alias("title"), F.lit("ACTIVE").alias("status"), F.lit(None).cast("string").alias("last_amendment_date"), F.lit(0).alias("position"))
+
+    cycle = Cycle(spark, f"{shared_dir(spark).rstrip('/')}/cycle-{uuid.uuid4().hex}", collect, buckets=8)
+    cycle.run(pages(False), "1")
+    cycle.run(pages(True), "2")
+    did = cycle.tracker.deltas().groupBy("standard_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "run_id", "change_type"))), ",").alias("changes"))
+    return cycle.tracker.current().join(did, "standard_id", "left").select("standard_id", "status", "is_active", "first_seen", "last_seen", "changes")
+
+
 def rate_limiter(spark: SparkSession, sf: str) -> DataFrame:
     return rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 2, 12 * 3600.0)
 
@@ -336,6 +374,15 @@ w AS (SELECT user_id, event_id, n, us IS NOT NULL AS admitted, CASE WHEN us IS N
 UNION ALL SELECT user_id, event_id, n, us IS NOT NULL AND len(held) < 2, CASE WHEN us IS NOT NULL AND len(held) < 2 THEN list_append(held, us) ELSE held END
 FROM (SELECT e.*, list_filter(w.seen, lambda x: e.us - x <= 43200000000) AS held FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.n = w.n + 1))
 SELECT CAST(user_id AS VARCHAR) AS client, event_id AS request, admitted FROM w"""
+SQL["ocr_cache"] = """
+WITH d AS (SELECT doc_id, lang, COALESCE(text, '') AS text FROM documents WHERE lang IS NOT NULL), f AS (SELECT DISTINCT text, lang FROM d WHERE doc_id % 3 <> 0)
+SELECT doc_id, sha256(octet_length(encode(d.text)) || ' bytes in ' || d.lang || ': ' || d.text) AS text_sha256, CASE WHEN f.text IS NULL THEN 'second' ELSE 'first' END AS run FROM d LEFT JOIN f ON f.text = d.text AND f.lang = d.lang"""
+SQL["change_cycle"] = """
+WITH o AS (SELECT p, no FROM (SELECT o_custkey % 50 AS p, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS no FROM orders) WHERE no <= 40),
+x AS (SELECT 'IS ' || (p * 100 + no + 1000) AS standard_id, p % 5 = 0 AND no = 1 AS gone, p % 5 = 0 AND no = 2 AS again, FALSE AS fresh FROM o
+UNION ALL SELECT DISTINCT 'IS ' || (p * 100 + 1099), FALSE, FALSE, TRUE FROM o WHERE p % 5 = 0)
+SELECT standard_id, CASE WHEN gone THEN 'WITHDRAWN' ELSE 'ACTIVE' END AS status, CASE WHEN gone THEN 0 ELSE 1 END AS is_active, CASE WHEN fresh THEN '2' ELSE '1' END AS first_seen, CASE WHEN fresh OR again THEN '2' ELSE '1' END AS last_seen,
+CASE WHEN fresh THEN '2:NEW' WHEN gone THEN '1:NEW,2:WITHDRAWN' ELSE '1:NEW' END AS changes FROM x"""
 SQL["resumable_ingest"] = """
 WITH d AS (SELECT 'f' || doc_id AS source, CASE WHEN doc_id % 7 = 0 THEN 'new ' ELSE '' END || COALESCE(text, '') AS text FROM documents WHERE doc_id % 11 <> 0)
 SELECT source, sha256(text) AS sha256, CAST(ceil(length(text) / 1000) AS BIGINT) AS chunks, CAST(ceil(length(text) / 1000) AS BIGINT) AS n_chunks, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM d"""
@@ -343,5 +390,5 @@ SQL["pending_files"] = _DECIDED[: _DECIDED.rindex("\nSELECT")] + """, o AS (SELE
 SELECT r.source, any_value(reason) AS reason, COUNT(id) AS n_old, sha256(COALESCE(string_agg(id, ',' ORDER BY id), '')) AS old_sha256 FROM r LEFT JOIN o USING (source) WHERE reason <> 'unchanged' GROUP BY r.source"""
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, resumable_ingest, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, resumable_ingest, ocr_cache, change_cycle, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
 }

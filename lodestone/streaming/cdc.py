@@ -59,15 +59,16 @@ class Tracker:
         order = F.array_position(F.array(*map(F.lit, ("RUNNING", "FAILED", "NO_CHANGE", "CHANGED"))), F.col("status"))
         return self.runs().groupBy("run_id").agg(F.max_by("status", order).alias("status"))
 
-    def run(self, rows: DataFrame, run_id: str, complete: bool = True, page_hash: str | None = None, attempts: int = 3) -> str:
+    def run(self, rows: DataFrame, run_id: str, complete: bool = True, page_hash: str | None = None, attempts: int = 3, expected: DataFrame | None = None, records: DataFrame | None = None) -> str:
         """rows: (standard_id, title, status, last_amendment_date, position). Logs RUNNING, then how it ended, and gives that. A run that
         fails is logged as FAILED and raises; the page's hash does not advance, so the next run does it again. A run that finds
-        another one's version under way starts again from it, `attempts` times in all."""
+        another one's version under way starts again from it, `attempts` times in all. `expected` (standard_id): what is listed, where that is more than
+        the run's rows; with `records`, nothing is withdrawn while an expected id is neither held nor among them."""
         self._log(run_id, page_hash or "", "RUNNING", 0)
         try:
             for left in range(attempts - 1, -1, -1):
                 try:
-                    return self._run(rows, run_id, complete, page_hash)
+                    return self._run(rows, run_id, complete, page_hash, expected, records)
                 except Conflict:
                     if not left:
                         raise
@@ -76,7 +77,7 @@ class Tracker:
             raise
         raise ValueError("no attempts")
 
-    def _run(self, rows: DataFrame, run_id: str, complete: bool, page_hash: str | None) -> str:
+    def _run(self, rows: DataFrame, run_id: str, complete: bool, page_hash: str | None, expected: DataFrame | None = None, records: DataFrame | None = None) -> str:
         if page_hash is None:
             page_hash = rows_hash(rows, ["standard_id", *COLUMNS])
         at, (last, held) = self.table.version(), self.last_run()
@@ -86,7 +87,7 @@ class Tracker:
         now = rows.withColumn("fingerprint", row_fingerprint("standard_id", *COLUMNS)).withColumn("seen_at", F.lit(run_id))
         before = self.current()
         changes = upsert(before, now, "standard_id", COLUMNS)
-        gone = withdrawals(before, now, "standard_id", complete).select("standard_id", "change_type", F.col("fingerprint").alias("old_fingerprint"), "fingerprint")
+        gone = withdrawals(before, now if expected is None else expected, "standard_id", complete, records).select("standard_id", "change_type", F.col("fingerprint").alias("old_fingerprint"), "fingerprint")
         delta_log(changes, "standard_id", run_id).unionByName(delta_log(gone, "standard_id", run_id)).write.mode("overwrite").parquet(f"{self.where}/delta/run={run_id}")
         left = changes.join(gone.select("standard_id", F.lit(1).alias("gone")), "standard_id", "left")
         out = left.withColumn("is_active", F.when(F.col("gone") == 1, 0).otherwise(F.col("is_active"))).withColumn("status", F.when(F.col("gone") == 1, "WITHDRAWN").otherwise(F.col("status")))

@@ -126,3 +126,74 @@ def test_two_writers_of_versions(spark, tmp_path):
     with pytest.raises(B.Conflict):
         v.write(spark.range(7), upto=1)
     assert other.read().count() == 5
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    """A second run calls the recogniser for no page; what could not be read is tried again."""
+    from lodestone.sources.recognised import Recognised
+
+    calls = tmp_path / "calls"
+
+    def make():
+        def read(contents, languages):
+            with open(calls, "a") as f:
+                f.writelines(f"{c!r} {x}\n" for c, x in zip(contents, languages, strict=True))
+            return [None if c == b"blank" else f"{c.decode()} in {x}" for c, x in zip(contents, languages, strict=True)]
+
+        return read
+
+    r = Recognised(spark, str(tmp_path / "cache"), make, 4, rows=2)
+    rows = [(1, b"a", "en"), (2, b"a", "en"), (3, b"a", "hi"), (4, b"blank", "en"), (5, None, "en"), (6, b"", None)]
+    pages = spark.createDataFrame([(*x, "mine") for x in rows], "page int, content binary, language string, __hash string").repartition(3)
+    want = {1: "a in en", 2: "a in en", 3: "a in hi", 4: None, 5: None, 6: " in "}
+    for run, n in (("1", 4), ("2", 1)):
+        out = r.read(pages, run).collect()
+        assert {x.page: x.ocr_text for x in out} == want and all(x["__hash"] == "mine" for x in out)
+        assert len(calls.read_text().splitlines()) == n
+        calls.write_text("")
+    assert r.read(pages.filter("page <> 4")).count() == 5 and calls.read_text() == "" and r.cache.version() == 1
+
+
+def test_the_change_cycle(spark, tmp_path, monkeypatch):
+    """Each branch: nothing new, new and changed rows, an id without a record, an incomplete page, withdrawal, a run that dies and is repeated."""
+    from lodestone.sources.pages import landed_pages
+    from lodestone.streaming.cycle import Cycle
+
+    asked, without = [], set()
+
+    def collect(ids):
+        got = sorted(r.standard_id for r in ids.collect())
+        asked.append(got)
+        return spark.createDataFrame([(x, f"t {x}", "ACTIVE", None, 0) for x in got if x not in without], KIND)
+
+    land = tmp_path / "land"
+    land.mkdir()
+    row = lambda i, x="": f"<tr><td>IS {i}</td><td>{x}</td></tr>"
+    put = lambda page, *rows, more="": (land / f"{page}.html").write_text("<table>" + "".join(rows) + "</table>" + more)
+    c = Cycle(spark, str(tmp_path / "state"), collect, buckets=4)
+    run = lambda k: c.run(landed_pages(spark, str(land)), k)
+    now = lambda: {r.standard_id: r.status for r in c.tracker.current().collect()}
+    put("a", row(1), row(2))
+    put("b", row(3))
+    assert run("01")["targets"] == 3 and now() == {f"IS {i}": "ACTIVE" for i in (1, 2, 3)}
+    assert run("02") == {"status": "NO_CHANGE", "pages": 0, "targets": 0, "missing": 0} and len(asked) == 1
+    put("a", row(1, "new"), row(2))
+    assert run("03")["targets"] == 1 and asked[-1] == ["IS 1"]
+    without.add("IS 4")
+    put("a", row(1, "new"), row(4))
+    assert run("04")["missing"] == 1 and now()["IS 2"] == "ACTIVE"
+    without.clear()
+    put("b", row(3), row(5), more='<a href="?page=2">next</a>')
+    with monkeypatch.context() as m:
+        m.setattr(c.listed, "write", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            run("05")
+    state = sorted(map(tuple, c.tracker.current().collect())), c.tracker.table.version()
+    assert now() == {f"IS {i}": "ACTIVE" for i in range(1, 6)}
+    assert run("05")["status"] == "CHANGED" and (sorted(map(tuple, c.tracker.current().collect())), c.tracker.table.version()) == state
+    put("a", row(1, "new"))
+    put("b", row(3))
+    assert run("06")["status"] == "CHANGED" and now() == {"IS 1": "ACTIVE", "IS 2": "WITHDRAWN", "IS 3": "ACTIVE", "IS 4": "WITHDRAWN", "IS 5": "WITHDRAWN"}
+    assert {(r.standard_id, r.change_type) for r in c.tracker.deltas().filter("run_id = '06'").collect()} == {(f"IS {i}", "WITHDRAWN") for i in (2, 4, 5)}
+    c.stream(landed_pages(spark, str(land), stream=True), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(x for xs in asked[6:] for x in xs) == [] and now()["IS 1"] == "ACTIVE"
