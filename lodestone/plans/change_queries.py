@@ -291,14 +291,6 @@ def history_cap(spark: SparkSession, sf: str) -> DataFrame:
     return decide.capped(e, "user_id", "key", "ts", 10).select("user_id", "event_id", "place")
 
 
-def ttl_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Each request against the cache entry written by the newest earlier request of its key at most 24 hours old."""
-    key = F.substring(F.sha2(F.lower(F.trim(F.concat_ws(" ", "event_type", "props"))), 256), 1, 16)
-    e = table(spark, sf, "events").select("event_id", key.alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"))
-    before = F.lag("s").over(Window.partitionBy("key").orderBy("s", "event_id"))
-    return e.withColumn("age_hours", F.round((F.col("s") - before) / 3.6e9, 4)).select("event_id", "key", "age_hours", F.coalesce(F.col("age_hours") <= 24, F.lit(False)).alias("hit"))
-
-
 _E = f"""n AS (SELECT COUNT(*) AS n FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 7 + 1 + j * 13) % n AS dst, [{quoted(ROLES)}][CAST((p_partkey + j) % 9 + 1 AS INT)] AS role, (p_partkey + j) % 9 AS role_no, ['low', 'medium', 'high'][CAST((p_partkey * 2 + j) % 3 + 1 AS INT)] AS confidence, (p_partkey * 2 + j) % 3 AS level, p_partkey * 3 + j AS edge_no FROM part, n, (SELECT unnest([0, 1, 2]) AS j)),
 o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN role_no = 8 THEN 99 ELSE role_no END, level DESC, edge_no) AS rank FROM e WHERE level >= 1)"""
 _R = f"""{_E}, h0 AS (SELECT 'IS ' || p_partkey AS standard_id, CAST(p_partkey AS VARCHAR) AS number, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 5 AS VARCHAR) ELSE '' END AS part FROM part WHERE p_partkey % 10 <> 3),
@@ -365,7 +357,6 @@ FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING
     "answer_narrowing": f"WITH {_G[5:]} SELECT query AS item_id, rank, standard_id FROM st WHERE query % 2 <> 0 OR rank IN (2, 3) OR query NOT IN (SELECT query FROM st WHERE rank IN (2, 3))",
     "request_rate": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS offered FROM events",
     "history_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, key) AS place FROM (SELECT user_id, event_type || '::' || props AS key, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type || '::' || props ORDER BY ts) = 1) QUALIFY place <= 10",
-    "ttl_cache": "SELECT event_id, key, age_hours, COALESCE(age_hours <= 24, FALSE) AS hit FROM (SELECT event_id, key, round((s - lag(s) OVER (PARTITION BY key ORDER BY s, event_id)) / 3.6e9, 4) AS age_hours FROM (SELECT event_id, substr(sha256(lower(trim(event_type || ' ' || props))), 1, 16) AS key, epoch_us(ts) AS s FROM events))",
 }
 _DECIDED = SQL["ingest_decision"]
 SQL["rate_limiter"] = """
@@ -390,5 +381,5 @@ SQL["pending_files"] = _DECIDED[: _DECIDED.rindex("\nSELECT")] + """, o AS (SELE
 SELECT r.source, any_value(reason) AS reason, COUNT(id) AS n_old, sha256(COALESCE(string_agg(id, ',' ORDER BY id), '')) AS old_sha256 FROM r LEFT JOIN o USING (source) WHERE reason <> 'unchanged' GROUP BY r.source"""
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, resumable_ingest, ocr_cache, change_cycle, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap, ttl_cache)
+    for f in (outgoing_ranked, citation_chain, standard_references, unparsed_targets, edge_resolve, edge_stats, edges_by_confidence, link_extract, index_inventory, ingest_decision, gone_files, stale_chunks, upsert_delta, withdrawals, snapshot_diff, report_merge, confidence_tier, clarify_dimension, version_texts, pending_files, resumable_ingest, ocr_cache, change_cycle, guarded_withdrawals, changed_ids, expected_orders, answer_narrowing, request_rate, rate_limiter, history_cap)
 }
