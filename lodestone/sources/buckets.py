@@ -127,7 +127,9 @@ class Buckets:
             empty = {f.name: F.lit(None).cast(f.dataType) for f in self.spark.createDataFrame([], self.schema).schema.fields}
             parts.append(gone.select(*(F.col(n) if n in self.keys else empty[n].alias(n) for n in names), F.lit(True).alias("__gone")))
         folder = f"data/{uuid.uuid4().hex}"
-        dealt = reduce(DataFrame.unionByName, parts).withColumn("__bucket", self._bucket()).repartition("__bucket")
+        dealt = reduce(DataFrame.unionByName, parts).withColumn("__bucket", self._bucket())
+        # rebalanced, so that a bucket of many rows is written by several tasks
+        dealt = dealt.hint("rebalance", "__bucket")
         dealt.write.partitionBy("__bucket").parquet(f"{self.where}/{folder}")
         touched = {int(x.partition("=")[2]): f"{folder}/{x}" for x in children(self.spark, f"{self.where}/{folder}") if x.startswith("__bucket=")}
         while True:
@@ -150,7 +152,7 @@ class Buckets:
             return
         folder = f"data/{uuid.uuid4().hex}"
         rows = self._read(entry, [int(b) for b in old]).withColumn("__gone", F.lit(False)).withColumn("__bucket", self._bucket())
-        rows.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.where}/{folder}")
+        rows.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.where}/{folder}")
         there = set(children(self.spark, f"{self.where}/{folder}"))
         while True:
             at, entry = self.log.latest()
