@@ -211,7 +211,7 @@ def changed_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def expected_orders(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _snapshots(spark, sf)
-    return inc.expected_ids(old, new, "id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return inc.expected_ids(old, new, "id")
 
 
 def answer_narrowing(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,7 +353,7 @@ FROM (SELECT DISTINCT query FROM st) LEFT JOIN f USING (query) LEFT JOIN r USING
     "version_texts": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'no edition held' ELSE 'IS ' || p_partkey || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN ' (Edition ' || p_size || ', reaffirmed 2019)' WHEN p_partkey % 3 <> 0 THEN ' (Edition ' || p_size || ')' WHEN p_partkey % 2 = 0 THEN ' (reaffirmed 2019)' ELSE '' END || ': as its own text says; later revisions are not looked up' END AS version FROM part""",
     "guarded_withdrawals": f"WITH {_S} SELECT id, 'all known' AS run FROM old WHERE is_active = 1 AND id NOT IN (SELECT id FROM new)",
     "changed_ids": f"WITH {_S} SELECT new.id, new.id % 5 = 0 AS lost FROM new LEFT JOIN old USING (id) WHERE old.fp IS DISTINCT FROM new.fp",
-    "expected_orders": "SELECT COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS ids FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 1",
+    "expected_orders": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 1",
     "answer_narrowing": f"WITH {_G[5:]} SELECT query AS item_id, rank, standard_id FROM st WHERE query % 2 <> 0 OR rank IN (2, 3) OR query NOT IN (SELECT query FROM st WHERE rank IN (2, 3))",
     "request_rate": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS offered FROM events",
     "history_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, key) AS place FROM (SELECT user_id, event_type || '::' || props AS key, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type || '::' || props ORDER BY ts) = 1) QUALIFY place <= 10",

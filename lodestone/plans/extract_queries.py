@@ -141,7 +141,7 @@ def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.concat_ws("::", "l_orderkey", "l_linenumber").alias("chunk_id"), "l_orderkey").dropDuplicates(["chunk_id"])
     old = li.filter("l_orderkey % 3 <> 0").select("chunk_id", F.lit("old").alias("run"))
     new = li.filter("l_orderkey % 3 <> 1").select("chunk_id", F.lit("new").alias("run"))
-    return inc.upsert_chunks(old, new).groupBy("run").agg(F.count("*").alias("n"))
+    return inc.upsert_chunks(old, new).select("chunk_id", "run")
 
 
 def manifest_repair(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +256,7 @@ SELECT doc, to_number, 'IS ' || (p_partkey + 10000) || ' : 2001' AS resolved_id,
     "page_summary": f"SELECT filename, COUNT(*) AS total_pages, CAST(SUM(chars) AS BIGINT) AS total_chars, COUNT(*) FILTER (WHERE method = 'ocr') AS ocr_pages, COUNT(*) FILTER (WHERE method = 'empty') AS empty_pages, COUNT(*) FILTER (WHERE legacy_font) AS legacy_font_pages, round(SUM(chars) / COUNT(*), 1) AS chars_per_page FROM ({_METHODS}) GROUP BY filename",
     "chunk_metadata": "SELECT CAST(s_suppkey AS VARCHAR) AS filename, CASE WHEN s_suppkey % 3 <> 0 THEN 'IS ' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS standard_id, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 <> 0 THEN s_name END AS title FROM supplier",
     "language_route": rf"SELECT doc_id, CASE WHEN share <= 0.5 THEN 'native' WHEN (n % 10) / 10 <= 0.6 THEN 'roman, second model' ELSE 'roman' END AS route, CASE WHEN share > 0.5 AND (n % 10) / 10 <= 0.6 THEN 'en' ELSE lang END AS language FROM (SELECT doc_id, lang, length(COALESCE(text, '')) AS n, {_SHARE} AS share FROM (SELECT doc_id, lang, text, length(regexp_replace(text, '[!-/:-@\[-`{{-~]|\s', '', 'g')) - (length(text) - length(replace(text, chr(10), ''))) AS rest FROM documents))",
-    "chunk_upsert": "SELECT run, COUNT(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 <> 1 THEN 'new' ELSE 'old' END AS run FROM lineitem) GROUP BY run",
+    "chunk_upsert": "SELECT DISTINCT l_orderkey || '::' || l_linenumber AS chunk_id, CASE WHEN l_orderkey % 3 <> 1 THEN 'new' ELSE 'old' END AS run FROM lineitem",
     "manifest_repair": f"WITH {_F} SELECT source, m_sha AS sha256, m_chunks AS chunks FROM m UNION ALL SELECT source, sha, n_chunks FROM p JOIN i USING (source) WHERE n_stamped = n_chunks AND n_hashes = 1 AND a_hash = sha AND n_totals = 1 AND a_total = n_chunks AND source NOT IN (SELECT source FROM m)",
     "edge_labels": f"WITH {_R} SELECT r.edge_no, COALESCE(resolved_id, 'IS ' || dst || CASE WHEN dst % 2 = 0 THEN ' (Part ' || (dst % 5) || ')' ELSE '' END || ' : ' || (2000 + r.edge_no % 3)) AS label FROM r JOIN e ON e.edge_no = r.edge_no",
     "allied_list": f"""WITH {_R}, u AS (SELECT edge_no // 3 AS query, resolved_id AS code, 'cited' AS role, 'reference clause' AS source, 0 AS tier, edge_no AS seen, resolved_id AS k FROM r WHERE in_corpus UNION ALL SELECT p_partkey, 'IS ' || p_partkey || ' : 1999', 'proposed', 'model', 1, 0, 'IS ' || p_partkey FROM part),
