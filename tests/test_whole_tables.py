@@ -42,6 +42,7 @@ def test_every_conversation_and_turn_is_answered(spark, tmp_path):
     write(spark, tmp_path, "documents", [(i, x, "en", s, len(x)) for i, x, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r.conv_id, r.source, r.passage_hits) for r in registry.QUERIES["merge_passages"](spark, str(tmp_path)).collect()}
     assert got == {(10, "src1", 1), (11, "src1", 1), (150, "src2", 1), (150, "src3", 1)}
+    write(spark, tmp_path, "part", [(1, "red gear"), (2, "rope")], "p_partkey long, p_name string")
     asked = {r.conv_id for r in registry.QUERIES["document_recommendations"](spark, str(tmp_path)).collect()}
     assert asked == {10, 11, 150}
 
