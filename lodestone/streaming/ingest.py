@@ -1,9 +1,10 @@
 """Ingestion that can be stopped anywhere: files are decided on, cut into chunks, stored, and only then listed as done.
 
 A run, or a micro-batch of a stream, goes: decide by the manifest and the hashes that stored chunks carry; cut the files to ingest;
-put their chunks and remove the ones they no longer have, in one version of the chunk table; list the files in the manifest. A run
-that dies before the chunks' version is there has changed nothing; one that dies after it finds, next time, chunks that answer for
-their files, and only lists them. Both tables are in buckets, so a run touches the buckets of its files only."""
+put their chunks, with the file's hash and their number on each; remove the ones that carry another; list the files in the manifest.
+A run that dies before the chunks are there has changed nothing; one that dies before the old ones are gone leaves files of two
+hashes or numbers, which are cut again; one that dies after it finds, next time, chunks that answer for their files, and only
+lists them. Both tables are in buckets, so a run touches the buckets of its files only."""
 
 from __future__ import annotations
 
@@ -37,13 +38,15 @@ class Ingest:
         decided = durable(self.decide(files))
         todo = decided.filter("decision = 'ingest'").select("source", "sha256")
         if not todo.isEmpty():
+            # cut twice, once only to count, so that the pieces' texts are written in one place
             pieces = self.cut(files.join(todo.select("source"), "source", "left_semi")).select("source", "chunk_id", "text")
-            pieces = durable(pieces)
             counted = todo.join(pieces.groupBy("source").agg(F.count("*").alias("chunks")), "source", "left").select("source", "sha256", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
             counted = durable(counted)
-            new = pieces.join(counted.withColumnsRenamed({"sha256": "source_sha256", "chunks": "source_chunks"}), "source")
-            old = self.chunks.read().select("source", "chunk_id").join(todo.select("source"), "source", "left_semi")
-            self.chunks.write(new, old.join(pieces.select("source", "chunk_id"), ["source", "chunk_id"], "left_anti"))
+            self.chunks.write(pieces.join(counted.withColumnsRenamed({"sha256": "source_sha256", "chunks": "source_chunks"}), "source"))
+            now = self.chunks.read().select("source", "chunk_id", "source_sha256", "source_chunks").join(counted, "source")
+            stale = durable(now.filter(~F.col("source_sha256").eqNullSafe(F.col("sha256")) | ~F.col("source_chunks").eqNullSafe(F.col("chunks"))).select("source", "chunk_id"))
+            if not stale.isEmpty():
+                self.chunks.write(None, stale)
             self.manifest.write(counted)
         # files that chunks vouch for and the manifest does not list so: the run before died between the two
         found = decided.filter("decision = 'skip'").select("source", "sha256", F.col("n_chunks").alias("chunks")).join(self.manifest.read(), ["source", "sha256", "chunks"], "left_anti")

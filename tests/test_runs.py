@@ -28,7 +28,7 @@ FIRST = {"a": "one two three", "b": "four", "c": "", "d": "five six"}
 SECOND = {"a": "one two", "b": "four", "c": "", "e": "seven"}
 
 
-@pytest.mark.parametrize("dies", ["cut", "chunks written", "chunks put", "manifest put", "prune put"])
+@pytest.mark.parametrize("dies", ["cut", "chunks written", "chunks put", "old ones left", "manifest put", "prune put"])
 def test_a_run_that_dies_is_finished_by_the_next(spark, tmp_path, dies, monkeypatch):
     clean = Ingest(spark, str(tmp_path / "clean"), cut, 4)
     for t in (FIRST, SECOND):
@@ -46,6 +46,9 @@ def test_a_run_that_dies_is_finished_by_the_next(spark, tmp_path, dies, monkeypa
             m.setattr(work.chunks.log, "put", dead)
         elif dies == "chunks put":
             m.setattr(work.manifest, "write", dead)
+        elif dies == "old ones left":
+            put = work.chunks.write
+            m.setattr(work.chunks, "write", lambda rows, gone=None: put(rows, gone) if rows is not None else dead())
         elif dies == "manifest put":
             own = work.manifest.write
             m.setattr(work.manifest, "write", lambda *a, **k: own(*a, **k) and dead())
