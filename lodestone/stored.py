@@ -15,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        where = context.getCheckpointDir()  # the same at every call
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
     return where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where
