@@ -65,3 +65,11 @@ def test_every_part_is_walked_from(spark, tmp_path):
     write(spark, tmp_path, "part", [(k,) for k in range(100)], "p_partkey long")
     got = registry.QUERIES["citation_chain"](spark, str(tmp_path)).collect()
     assert {r.root for r in got} == set(range(100)) and any(r.depth == 3 for r in got) and not any(r.expanded for r in got if r.depth == 3)
+
+
+def test_allied_numbers_of_six_digits(spark):
+    from lodestone.operators import decide
+
+    g = spark.createDataFrame([(1, f"IS {n}", "cited", p) for p, n in enumerate((123_451, 123_452, 12_345))], "query long, code string, role string, position long")
+    m = spark.createDataFrame([(1, "IS 123452 : 1999", "proposed", 0), (1, "IS 123453 : 1999", "proposed", 1)], g.schema)
+    assert [r.code for r in decide.allied(g, m).orderBy("place").collect()] == ["IS 123451", "IS 123452", "IS 12345", "IS 123453 : 1999"]
