@@ -200,12 +200,13 @@ def language_gate(language: Column, confidence: Column, least: float = 0.6) -> C
 
 
 def sentence_case(text: Column, acronyms: Sequence[str] = ACRONYMS) -> Column:
-    """Words lower-cased but for the first, which gets a capital, acronyms and single letters."""
+    """Words lower-cased but for the first, which gets a capital, acronyms and single letters. The capital of ß is one letter too."""
+    upper = lambda x: F.upper(F.translate(x, "ß", "ẞ"))
 
     def one(w: Column, i: Column) -> Column:
-        bare = F.upper(F.regexp_replace(w, r"""^['"()\[\],.]+|['"()\[\],.]+$""", ""))
+        bare = upper(F.regexp_replace(w, r"""^['"()\[\],.]+|['"()\[\],.]+$""", ""))
         letter = (F.length(F.regexp_replace(w, r"\P{L}", "")) == 1) & (F.length(w) <= 3)
-        capital = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
+        capital = F.concat(upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
         return F.when(bare.isin(*acronyms) | letter, w).when(i == 0, capital).otherwise(F.lower(w))
 
     return F.array_join(F.transform(F.split(squeeze(text), " "), one), " ")

@@ -73,3 +73,11 @@ def test_allied_numbers_of_six_digits(spark):
     g = spark.createDataFrame([(1, f"IS {n}", "cited", p) for p, n in enumerate((123_451, 123_452, 12_345))], "query long, code string, role string, position long")
     m = spark.createDataFrame([(1, "IS 123452 : 1999", "proposed", 0), (1, "IS 123453 : 1999", "proposed", 1)], g.schema)
     assert [r.code for r in decide.allied(g, m).orderBy("place").collect()] == ["IS 123451", "IS 123452", "IS 12345", "IS 123453 : 1999"]
+
+
+def test_sharp_s_at_the_start_of_a_sentence(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import text as T
+
+    assert spark.createDataFrame([("ßheit ENUNG groß",)], "t string").select(T.sentence_case(F.col("t"))).first()[0] == "ẞheit enung groß"
