@@ -81,3 +81,17 @@ def test_sharp_s_at_the_start_of_a_sentence(spark):
     from lodestone.functions import text as T
 
     assert spark.createDataFrame([("ßheit ENUNG groß",)], "t string").select(T.sentence_case(F.col("t"))).first()[0] == "ẞheit enung groß"
+
+
+def write_documents(spark, folder, texts):
+    write(spark, folder, "documents", [(i, x, "en", "s", len(x)) for i, x in texts], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_numbers_of_cards_and_addresses_are_no_citations(spark, tmp_path):
+    """Texts in capitals have the word IS before card numbers and addresses."""
+    write_documents(spark, tmp_path, [(1, "THEN IS 4782437528475387 HERE\nTHAT IS 36.132.194.208 THERE"), (2, "THEN IS 456 HERE and IS 800.2007 THERE")])
+    got = sorted((r.doc, r.to_number, r.cited_year) for r in registry.QUERIES["reference_extract"](spark, str(tmp_path)).collect())
+    assert got == [(1, "10001", "2000"), (1, "10002", None), (2, "10002", "1960"), (2, "456", None), (2, "800", "2007")]
+    write(spark, tmp_path, "part", [(1,)], "p_partkey long")
+    got = sorted((r.doc, r.to_number, r.resolved_id) for r in registry.QUERIES["graph_edges"](spark, str(tmp_path)).collect())
+    assert got == [(1, "10001", "IS 10001 : 2001"), (1, "10002", None), (2, "10002", None), (2, "456", None), (2, "800", None)]
