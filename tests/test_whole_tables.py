@@ -95,3 +95,8 @@ def test_numbers_of_cards_and_addresses_are_no_citations(spark, tmp_path):
     write(spark, tmp_path, "part", [(1,)], "p_partkey long")
     got = sorted((r.doc, r.to_number, r.resolved_id) for r in registry.QUERIES["graph_edges"](spark, str(tmp_path)).collect())
     assert got == [(1, "10001", "IS 10001 : 2001"), (1, "10002", None), (2, "10002", None), (2, "456", None), (2, "800", None)]
+
+
+def test_numbers_of_cards_make_no_category(spark, tmp_path):
+    write(spark, tmp_path, "pages", [(4, "u", "<p>Shly is 4859855714882215 there</p><p>is 36.132.194.208</p>"), (9, "u", "<p>Rope is 4859 there</p>")], "page_id long, url string, html string")
+    assert sorted(map(tuple, registry.QUERIES["html_strategy"](spark, str(tmp_path)).select("page_id", "found_by", "n").collect())) == [(4, "text_shape", 1), (9, "text_shape", 2)]
