@@ -128,3 +128,21 @@ def test_shared_words_rank_plainly(spark, tmp_path):
     words = W.WordIndex(spark, str(tmp_path / "ix"), plain=True).refresh(d, "x")
     got = words.search(spark.createDataFrame([(9, "alpha alpha beta")], "query_id long, text string"), 3, fill=False).orderBy("rank").collect()
     assert [(r.doc, r.score) for r in got] == [(1, 2.0), (3, 2.0), (2, 1.0)]
+
+
+def test_words_in_a_matrix_equal_words_by_postings(spark, monkeypatch):
+    """Words that most queries and documents share, beside rare ones; small pieces; ties at the last place go to the least document."""
+    from lodestone.operators import word_index as W
+
+    docs = spark.createDataFrame([(i, " ".join(["the", "of"] * (1 + i % 3) + [f"w{i % 5}", f"r{i % 97}"])) for i in range(400)], "doc_id long, text string").repartition(3)
+    asks = spark.createDataFrame([(i, f"the of w{i % 5} r{i}") for i in range(30)] + [(99, "r96")], "query_id long, text string")
+    words = W.Words(W.word_counts(docs, "doc_id", "text"))
+
+    def run(heavy, postings):
+        monkeypatch.setattr(W, "HEAVY", heavy)
+        monkeypatch.setattr(W, "MOST_POSTINGS", postings)
+        return sorted((r.query, r.doc, round(r.score, 6), r["rank"]) for r in words.search(asks, 7, fill=False).collect())
+
+    want = run(2.0, 2_000_000)
+    assert len(want) == 30 * 7 + 4 and [d for q, d, _, _ in want if q == 99] == [96, 193, 290, 387]
+    assert run(0.003, 2_000_000) == want and run(0.003, 500) == want
