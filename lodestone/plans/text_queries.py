@@ -89,7 +89,8 @@ def filename_parse(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     form = F.element_at(F.array(*(F.lit(f) for f, _ in FILE_FORMS)), (k % len(FILE_FORMS) + 1).cast("int"))
     name = F.replace(F.replace(form, F.lit("{n}"), (k % 80_000 + 10_000).cast("string")), F.lit("{p}"), (k % 9 + 1).cast("string"))
-    return table(spark, sf, "part").select("p_partkey", I.parse_filename(name).alias("p")).select("p_partkey", "p.*")
+    # an array exploded: fields read from the struct itself would work it out anew for each of them
+    return table(spark, sf, "part").select("p_partkey", F.explode(F.array(I.parse_filename(name))).alias("p")).select("p_partkey", "p.*")
 
 
 def line_profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -110,3 +110,13 @@ def test_licence_notice_lowers_the_score_after_the_level(spark):
     df = spark.createDataFrame([("IS-18930-AIF.pdf", "CENTRAL MARKS DEPARTMENT\nIS 18930 : 2024\nIndian Standard\nSOMETHING WITH A TITLE")], "name string, t string")
     r = df.withColumn("f", I.parse_filename(F.col("name"))).select(I.merge_entry(F.col("f"), I.parse_cover(F.col("t"), F.col("f")), F.lit(False), F.col("t")).alias("e")).first().e
     assert r.confidence == "high" and r.confidence_score == 30
+
+
+def test_parts_of_a_file_name_are_worked_out_once(spark):
+    """Patterns in the optimised plan: what a step reads several times is not repeated."""
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import identity as I
+
+    d = spark.createDataFrame([("a b",)], "t string").select(I.parse_filename(F.col("t")).alias("c"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_") <= 24
