@@ -120,3 +120,28 @@ def test_parts_of_a_file_name_are_worked_out_once(spark):
 
     d = spark.createDataFrame([("a b",)], "t string").select(I.parse_filename(F.col("t")).alias("c"))
     assert d._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_") <= 24
+
+
+def test_line_measures_equal_a_plain_model(spark):
+    """Words known by their letters, white space of Java's kind, characters beyond the first plane; no list of words or of single characters is made."""
+    import random
+    import re
+    import unicodedata
+
+    rnd = random.Random(10)
+    pieces = [*"aeioubcdfgBCDF012 ,-.[]\\^_`{}~", *" \t\r\x0b\x0c\n\u0085 ", *"éßñДж漢¼ð’–𝐀😀", "bcdf", "rhythm ", "gt-rx "]
+    texts = [None, "", *("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 25))) for _ in range(3000))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.garbled(F.col("t")), T.latin_share(F.col("t")), T.roman_share(F.col("t"))).collect()
+    letter = lambda c: unicodedata.category(c)[0] == "L"
+    for t, (garbled, latin, roman) in zip(texts, got, strict=True):
+        s = t or ""
+        odd = len(re.findall(f"[^{T.SAFE_TITLE_CHARS}]", s))
+        words = [w for x in re.split(r"[ \t\n\x0b\f\r]+", s) if (w := [c for c in x if letter(c)])]
+        bare = [w for w in words if len(w) >= 4 and not set(w) & set("aeiouAEIOU")]
+        assert garbled == (s == "" or bool(set(s) & set(T.LEGACY_GLYPHS)) or (odd >= 2 and odd > 0.02 * len(s)) or (len(words) >= 2 and len(bare) > 0.4 * len(words))), s
+        n = sum(map(letter, s))
+        assert latin == (None if t is None else len(re.findall("[A-Za-z]", s)) / n if n else 0.0)
+        rest = len(re.sub(r"[!-/:-@\[-`{-~ \t\n\x0b\f\r]", "", s)) - s.count("\n")
+        assert roman == (len(re.findall("[A-Za-z0-9]", s)) / rest if rest else 0.0)
+    shown = str(T.garbled(F.col("t"))) + str(T.latin_share(F.col("t"))) + str(T.roman_share(F.col("t")))
+    assert "split(" not in shown and "regexp_count(t" not in shown and "regexp_count(coalesce(t" not in shown
