@@ -241,7 +241,7 @@ def resumable_ingest(spark: SparkSession, sf: str) -> DataFrame:
     work = Ingest(spark, f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}", _pieces, 16)
     work.run(hashed(d))
     work.run(hashed(d.filter("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text")))), complete=True, prune=True)
-    kept = work.chunks.read().groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), ""), 256).alias("text_sha256"))
+    kept = work.chunks.read(columns=["source", "chunk_id", "text"], together="source").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), ""), 256).alias("text_sha256"))
     zero = F.lit(0).cast("long")
     return work.manifest.read().join(kept, "source", "left").select("source", "sha256", "chunks", F.coalesce("n_chunks", zero).alias("n_chunks"), F.coalesce("n_chars", zero).alias("n_chars"), F.coalesce("text_sha256", F.sha2(F.lit(""), 256)).alias("text_sha256"))
 

@@ -18,6 +18,9 @@ from ..operators.incremental import gone_files, ingest_decision, inventory
 from ..sources.buckets import BUCKETS, Buckets
 from ..stored import durable
 
+#: Files to ingest up to which their names, hashes and numbers of pieces go to every task, so that the texts of all files are not shuffled to meet them.
+MOST_NAMED = 500_000
+
 
 class Ingest:
     """chunks: (source, chunk_id, text, source_sha256, source_chunks), manifest: (source, sha256, chunks), in a folder. `cut` makes
@@ -28,22 +31,29 @@ class Ingest:
         self.chunks = Buckets(spark, f"{where.rstrip('/')}/chunks", ["source", "chunk_id"], "source string, chunk_id string, text string, source_sha256 string, source_chunks long", buckets)
         self.manifest = Buckets(spark, f"{where.rstrip('/')}/manifest", ["source"], "source string, sha256 string, chunks long", buckets)
 
+    def inventory(self) -> DataFrame:
+        return inventory(self.chunks.read(columns=["source", "source_sha256", "source_chunks"]))
+
     def decide(self, files: DataFrame) -> DataFrame:
         """files with n_chunks, decision and reason."""
-        return ingest_decision(files.select("source", "sha256"), self.manifest.read(), inventory(self.chunks.read()))
+        return ingest_decision(files.select("source", "sha256"), self.manifest.read(), self.inventory())
 
     def run(self, files: DataFrame, complete: bool = False, prune: bool = False) -> DataFrame:
         """One run; gives what was decided. files: (source, sha256, ...), a row a file. `complete`: they are all there are, so that others are
         gone: their manifest rows go where no chunk is left, and with `prune` their chunks and rows do."""
         decided = durable(self.decide(files))
         todo = decided.filter("decision = 'ingest'").select("source", "sha256")
-        if not todo.isEmpty():
+        n_todo = todo.count()
+        if n_todo:
+            named = F.broadcast if n_todo <= MOST_NAMED else lambda x: x
+            # texts are not shuffled to be picked where all files are to be ingested, or few are
+            mine = files.filter("source is not null") if n_todo == decided.count() else files.join(named(todo.select("source")), "source", "left_semi")
             # cut twice, once only to count, so that the pieces' texts are written in one place
-            pieces = self.cut(files.join(todo.select("source"), "source", "left_semi")).select("source", "chunk_id", "text")
+            pieces = self.cut(mine).select("source", "chunk_id", "text")
             counted = todo.join(pieces.groupBy("source").agg(F.count("*").alias("chunks")), "source", "left").select("source", "sha256", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
             counted = durable(counted)
-            self.chunks.write(pieces.join(counted.withColumnsRenamed({"sha256": "source_sha256", "chunks": "source_chunks"}), "source"))
-            now = self.chunks.read().select("source", "chunk_id", "source_sha256", "source_chunks").join(counted, "source")
+            self.chunks.write(pieces.join(named(counted.withColumnsRenamed({"sha256": "source_sha256", "chunks": "source_chunks"})), "source"))
+            now = self.chunks.read(columns=["source", "chunk_id", "source_sha256", "source_chunks"]).join(counted, "source")
             stale = durable(now.filter(~F.col("source_sha256").eqNullSafe(F.col("sha256")) | ~F.col("source_chunks").eqNullSafe(F.col("chunks"))).select("source", "chunk_id"))
             if not stale.isEmpty():
                 self.chunks.write(None, stale)
@@ -53,8 +63,8 @@ class Ingest:
         if not found.isEmpty():
             self.manifest.write(durable(found))
         if complete:
-            gone = durable(gone_files(inventory(self.chunks.read()), self.manifest.read(), files.select("source"), prune))
-            lost = self.chunks.read().select("source", "chunk_id").join(gone.filter("action = 'delete'").select("source"), "source", "left_semi")
+            gone = durable(gone_files(self.inventory(), self.manifest.read(), files.select("source"), prune))
+            lost = self.chunks.read(columns=["source", "chunk_id"]).join(gone.filter("action = 'delete'").select("source"), "source", "left_semi")
             if not gone.filter("action = 'delete'").isEmpty():
                 self.chunks.write(None, lost)
             if not gone.filter("action <> 'warn'").isEmpty():

@@ -200,3 +200,34 @@ def test_the_change_cycle(spark, tmp_path, monkeypatch):
     assert {(r.standard_id, r.change_type) for r in c.tracker.deltas().filter("run_id = '06'").collect()} == {(f"IS {i}", "WITHDRAWN") for i in (2, 4, 5)}
     c.stream(landed_pages(spark, str(land), stream=True), str(tmp_path / "ck")).awaitTermination()
     assert sorted(x for xs in asked[6:] for x in xs) == [] and now()["IS 1"] == "ACTIVE"
+
+
+def test_texts_are_not_shuffled_where_they_are_not_asked_for(spark, tmp_path):
+    """A table of joined folders gives the columns asked for, shuffles no others, and deals the rows of a file once; few or all files are picked without a shuffle."""
+    from lodestone.sources.buckets import Buckets
+    from lodestone.streaming import ingest
+
+    t = Buckets(spark, str(tmp_path / "t"), ["source", "chunk_id"], "source string, chunk_id string, text string, n long", 2)
+    for k in range(3):
+        t.write(spark.createDataFrame([(f"f{i}", f"c{j}", f"{i} {j} {k}", k) for i in range(k, 9) for j in range(3)], t.schema), None if k < 2 else spark.createDataFrame([("f0", "c0")], "source string, chunk_id string"))
+    want = {(f"f{i}", f"c{j}", f"{i} {j} {min(i, 2)}", min(i, 2)) for i in range(9) for j in range(3)} - {("f0", "c0", "0 0 0", 0)}
+    assert {tuple(r) for r in t.read().collect()} == want
+    assert {tuple(r) for r in t.read(columns=["n", "source"]).collect()} == {(s, n) for s, _, _, n in want} and t.read(columns=["n", "source"]).count() == len(want)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan(t.read(columns=["source", "n"]))
+    dealt = t.read(columns=["source", "chunk_id", "text"], together="source").groupBy("source").agg(F.max("text"))
+    assert plan(dealt).count("Exchange") == 1 and {tuple(r) for r in dealt.collect()} == {(s, max(x[2] for x in want if x[0] == s)) for s, *_ in want}
+
+    seen = []
+
+    def cut(files):
+        seen.append(plan(files))
+        return files.select("source", F.concat("source", F.lit("::c1")).alias("chunk_id"), "text")
+
+    files = lambda new: spark.createDataFrame([(f"f{i}", f"text {i} {i in new}", f"sha {i} {i in new}") for i in range(20)] + [(None, "x", "x")], "source string, text string, sha256 string")
+    work = ingest.Ingest(spark, str(tmp_path / "w"), cut, 2)
+    work.run(files(()))
+    work.run(files((3, 4)))
+    assert len(seen) == 2 and not any("Exchange hashpartitioning" in x for x in seen)
+    assert {(r.source, r.text) for r in work.chunks.read().collect()} == {(f"f{i}", f"text {i} {i in (3, 4)}") for i in range(20)}
+    assert {(r.source, r.sha256, r.chunks) for r in work.manifest.read().filter("source is not null").collect()} == {(f"f{i}", f"sha {i} {i in (3, 4)}", 1) for i in range(20)}
