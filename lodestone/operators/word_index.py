@@ -74,6 +74,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A table of many small partitions in fewer, without a shuffle: up to four of them go to a task, as long as each core has two tasks."""
+    n = df.rdd.getNumPartitions()
+    return df.coalesce(min(n, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // 4))))
+
+
 def word_counts(docs: DataFrame, doc: str, text: str, words_of: Callable[[Column], Column] = tokens) -> DataFrame:
     """(doc, dl, words, counts): a row a document, its distinct words with their counts; null texts have none."""
     kind = dict(docs.select(F.col(doc).alias("doc")).dtypes)["doc"]
@@ -260,14 +266,17 @@ class WordIndex:
         stored are tokenised, and documents that are gone go. Doc ids are unique; of repeated ones one row stays."""
         if self.table.notes().get("fingerprint") != fingerprint:
             hashed = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")).filter("doc is not null")
-            if self.table.version():
+            first = not self.table.version()
+            if not first:
                 held = self.table.read().select("doc", F.col("text_hash").alias("held"))
                 hashed = hashed.join(held, "doc", "left").filter(F.col("held").isNull() | (F.col("held") != F.col("text_hash"))).drop("held")
                 gone = held.select("doc").join(docs.select(F.col(doc).alias("doc")), "doc", "left_anti")
             else:
-                gone = None
+                gone, hashed = None, gathered(hashed)
             new = word_counts(hashed.withColumn("doc", F.struct("doc", "text_hash")), "doc", "text", self.words_of).select("doc.doc", "dl", "words", "counts", "doc.text_hash")
-            self.table.write(new if docs.groupBy(doc).count().filter("count > 1").isEmpty() else new.dropDuplicates(["doc"]), gone, notes={"fingerprint": fingerprint})
+            unique = docs.groupBy(doc).count().filter("count > 1").isEmpty()
+            # a whole table's words are several times its files: they are written where they were counted
+            self.table.write(new if unique else new.dropDuplicates(["doc"]), gone, notes={"fingerprint": fingerprint}, in_place=first and unique)
         return self.open()
 
     def open(self) -> Words:

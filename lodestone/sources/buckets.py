@@ -8,15 +8,19 @@ A run that dies leaves folders that no version names."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS, MOST_FOLDERS = 64, 8
+#: What a task holds of each file at most, where it writes to all buckets at once.
+OPEN_BYTES = 4 << 20
 
 
 class Conflict(Exception):
@@ -71,6 +75,18 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+@contextlib.contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Writers keep up to `most` files open at once, in place of sorting their rows by file."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(most, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Log:
     """Numbered entries in a folder, each put once."""
 
@@ -124,9 +140,11 @@ class Buckets:
             parts.append(last.filter("not __row.__gone").select(*(F.col(n) if n in self.keys else F.col(f"__row.{n}").alias(n) for n in names)))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schema).select(*names)
 
-    def write(self, rows: DataFrame | None, gone: DataFrame | None = None, upto: int | None = None, notes: dict | None = None, whole: bool = False) -> int:
+    def write(self, rows: DataFrame | None, gone: DataFrame | None = None, upto: int | None = None, notes: dict | None = None, whole: bool = False, in_place: bool = False) -> int:
         """Rows replace those of their key, keys of `gone` go; gives the new version. With `upto`, fails with Conflict unless that is
-        still the latest version; else whatever others wrote meanwhile stays below. `whole`: the rows are all there are."""
+        still the latest version; else whatever others wrote meanwhile stays below. `whole`: the rows are all there are.
+        `in_place`: each task writes its rows to all their buckets at once, so that rows are neither shuffled nor sorted; that makes a
+        file for each task and bucket, and is for many wide rows of few partitions."""
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
         parts = [] if rows is None else [rows.select(*names, F.lit(False).alias("__gone"))]
         if gone is not None:
@@ -134,9 +152,12 @@ class Buckets:
             parts.append(gone.select(*(F.col(n) if n in self.keys else empty[n].alias(n) for n in names), F.lit(True).alias("__gone")))
         folder = f"data/{uuid.uuid4().hex}"
         dealt = reduce(DataFrame.unionByName, parts).withColumn("__bucket", self._bucket())
-        # rebalanced, so that a bucket of many rows is written by several tasks
-        dealt = dealt.hint("rebalance", "__bucket")
-        dealt.write.partitionBy("__bucket").parquet(f"{self.where}/{folder}")
+        if in_place:
+            with _open_files(self.spark, self.buckets):
+                dealt.write.option("parquet.block.size", OPEN_BYTES).option("compression", "zstd").partitionBy("__bucket").parquet(f"{self.where}/{folder}")
+        else:
+            # rebalanced, so that a bucket of many rows is written by several tasks
+            dealt.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.where}/{folder}")
         touched = {int(x.partition("=")[2]): f"{folder}/{x}" for x in children(self.spark, f"{self.where}/{folder}") if x.startswith("__bucket=")}
         while True:
             at, entry = self.log.latest()

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -146,3 +147,52 @@ def test_words_in_a_matrix_equal_words_by_postings(spark, monkeypatch):
     want = run(2.0, 2_000_000)
     assert len(want) == 30 * 7 + 4 and [d for q, d, _, _ in want if q == 99] == [96, 193, 290, 387]
     assert run(0.003, 2_000_000) == want and run(0.003, 500) == want
+
+
+def write_plans(spark, folder):
+    """The plans that wrote into a folder."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [every.apply(i).physicalPlanDescription() for i in range(every.size())]
+    return [p for p in plans if re.search(rf"Arguments: file:/*{re.escape(str(folder))}/", p)]
+
+
+def test_the_first_index_is_written_where_words_are_counted(spark, tmp_path):
+    """Words are neither shuffled nor sorted; small partitions share tasks, so that files are few; later changes and repeated ids as before."""
+    name, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    texts = {i: f"w{i % 7} w{i % 11} w{i % 7}" for i in range(400)}
+    frame = lambda: spark.createDataFrame([*texts.items(), (None, "w1")], "doc_id long, text string").repartition(40)
+    asks = [(1, "w1 w3"), (2, "w6 w10 w9")]
+    q = spark.createDataFrame(asks, "query_id long, text string")
+    found = lambda words: {(x.query, x.doc): (round(x.score, 5), x["rank"]) for x in words.search(q, 5, fill=False).collect()}
+    frame().write.parquet(str(tmp_path / "d"))
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "d"))
+    index = W.WordIndex(spark, str(tmp_path / "ix"), buckets=8)
+    assert found(index.refresh(stored, "a")) == brute(asks, list(texts.items()), 5)
+    first = write_plans(spark, tmp_path / "ix/terms")
+    assert len(first) == 1 and "Exchange" not in first[0] and "Sort" not in first[0]
+    parts = [x for _, _, names in os.walk(tmp_path / "ix/terms/data") for x in names if x.endswith(".parquet")]
+    assert len(parts) <= 8 * 2 * 4 and spark.conf.get(name) == before
+    texts |= {3: "w1 w1 w3", 900: "w9"}
+    del texts[5]
+    assert found(index.refresh(frame(), "b")) == brute(asks, list(texts.items()), 5)
+    assert index.table.read().count() == len(texts) and spark.conf.get(name) == before
+    twice = W.WordIndex(spark, str(tmp_path / "twice"), buckets=8).refresh(frame().unionByName(frame()), "a")
+    assert twice.terms.count() == len(texts) and found(twice) == brute(asks, list(texts.items()), 5)
+
+
+def test_partitions_are_gathered_up_to_four(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = lambda n: W.gathered(spark.range(0, 1000, 1, n)).rdd.getNumPartitions()
+    assert [rows(n) for n in (1, cores, 2 * cores, 3 * cores, 20 * cores)] == [1, cores, 2 * cores, 2 * cores, 5 * cores]
+
+
+def test_settings_come_back_where_a_write_fails(spark, tmp_path):
+    name, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    t = B.Buckets(spark, str(tmp_path / "t"), ["id"], KIND, 4)
+    with pytest.raises(Exception, match="no such row"):
+        t.write(spark.range(9).select("id", F.raise_error(F.lit("no such row")).cast("string").alias("v")), in_place=True)
+    assert spark.conf.get(name) == before and t.version() == 0
+    t.write(spark.range(900).select("id", F.lit("a").alias("v")), in_place=True)
+    t.write(spark.range(900, 950).select("id", F.lit("b").alias("v")), spark.range(3).select("id"))
+    assert rows_of(t.read()) == [(i, "a" if i < 900 else "b") for i in range(3, 950)]
