@@ -1,5 +1,6 @@
 """The bucketed store and the word index: what is written, read and tokenised, two writers, runs that die."""
 
+import hashlib
 import math
 import os
 import random
@@ -196,3 +197,17 @@ def test_settings_come_back_where_a_write_fails(spark, tmp_path):
     t.write(spark.range(900).select("id", F.lit("a").alias("v")), in_place=True)
     t.write(spark.range(900, 950).select("id", F.lit("b").alias("v")), spark.range(3).select("id"))
     assert rows_of(t.read()) == [(i, "a" if i < 900 else "b") for i in range(3, 950)]
+
+
+def test_recommendations_shuffle_no_words_to_build_their_index(spark, tmp_path):
+    from lodestone.plans import registry
+    from lodestone.stored import shared_dir
+
+    os.symlink("/root/testdata/sf0.001", sf := str(tmp_path / "sf"))
+    rows = registry.QUERIES["recommendations"](spark, sf)
+    where = f"{shared_dir(spark).rstrip('/').removeprefix('file://')}/words/{hashlib.sha256(sf.encode()).hexdigest()[:16]}-texts/terms"
+    plans = write_plans(spark, where)
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    # the one exchange deals the texts of a small table to all cores
+    assert len(plans) == 1 and "rebalance" not in plans[0].lower() and "words" not in "".join(re.findall(r"\) Exchange\n.*?\n\n", plans[0], re.DOTALL))
+    assert 0 < rows.count() <= asked
