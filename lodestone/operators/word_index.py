@@ -1,7 +1,8 @@
 """BM25 over a stored index of words: texts are tokenised once, each to its length, its distinct words and their counts.
 
-The index is a table in buckets by document (sources.buckets): where texts change, only those are tokenised again. Beside it
-lie, for each version, the number of documents with each word, and the sums that scores need; both come from the index, not from texts.
+The index is a table in buckets by document (sources.buckets): where few texts change, only those are tokenised again, and the buckets
+they fall into are joined at once, as every search reads all of them; where many do, the index is written anew. Beside it lie, for
+each version, the number of documents with each word, and the sums that scores need; both come from the index, not from texts.
 
 Queries are a table of any size. They are dealt into blocks of about MOST_ASKED words; a block's words go to every task,
 which scores its documents batch by batch from the postings of that batch, and keeps the k best of each query as it goes. So k
@@ -29,6 +30,8 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 MOST_ASKED, MOST_POSTINGS = 500_000, 2_000_000
 #: Share of the pairs of a query and a document from which on a word that both have is weighed in a matrix; how many words are.
 HEAVY, MOST_HEAVY = 0.003, 1024
+#: Share, and number, of documents not as stored beyond which an index is written anew; as many ids go to every task at most.
+MANY, MOST_PICKED = 0.1, 500_000
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -259,24 +262,30 @@ class WordIndex:
 
     def __init__(self, spark: SparkSession, where: str, kind: str = "bigint", buckets: int = 64, words_of: Callable[[Column], Column] = tokens, plain: bool = False):
         self.spark, self.where, self.words_of, self.plain = spark, where.rstrip("/"), words_of, plain
-        self.table = Buckets(spark, f"{self.where}/terms", ["doc"], f"doc {kind}, dl long, words array<string>, counts array<int>, text_hash long", buckets)
+        self.table = Buckets(spark, f"{self.where}/terms", ["doc"], f"doc {kind}, dl long, words array<string>, counts array<int>, text_hash long", buckets, most_folders=1)
 
     def refresh(self, docs: DataFrame, fingerprint: str, doc: str = "doc_id", text: str = "text") -> Words:
-        """Brings the index up to date, and opens it. A fingerprint as stored: nothing is read. Else only texts that are new or not as
-        stored are tokenised, and documents that are gone go. Doc ids are unique; of repeated ones one row stays."""
+        """Brings the index up to date, and opens it. A fingerprint as stored: nothing is read. Else ids and hashes of texts are compared. Few
+        changes: only texts that are new or not as stored are tokenised, and documents that are gone go. Many: the index is written anew, as
+        the first one is, without a shuffle of texts or words. Doc ids are unique; of repeated ones one row stays."""
         if self.table.notes().get("fingerprint") != fingerprint:
             hashed = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")).filter("doc is not null")
-            first = not self.table.version()
-            if not first:
-                held = self.table.read().select("doc", F.col("text_hash").alias("held"))
-                hashed = hashed.join(held, "doc", "left").filter(F.col("held").isNull() | (F.col("held") != F.col("text_hash"))).drop("held")
-                gone = held.select("doc").join(docs.select(F.col(doc).alias("doc")), "doc", "left_anti")
+            whole, gone = not self.table.version(), None
+            if not whole:
+                held = self.table.read(columns=["doc", "text_hash"]).select("doc", F.col("text_hash").alias("held"))
+                unlike = hashed.select("doc", "text_hash").join(held, "doc", "full_outer").filter(~F.col("held").eqNullSafe(F.col("text_hash")))
+                unlike = durable(unlike.select("doc", F.col("text_hash").isNull().alias("gone")))
+                n = unlike.count()
+                whole = n > MOST_PICKED or n > MANY * docs.count()
+            if whole:
+                hashed = gathered(hashed)
             else:
-                gone, hashed = None, gathered(hashed)
+                gone = unlike.filter("gone").select("doc")
+                hashed = hashed.join(F.broadcast(unlike.filter("not gone").select("doc")), "doc", "left_semi")
             new = word_counts(hashed.withColumn("doc", F.struct("doc", "text_hash")), "doc", "text", self.words_of).select("doc.doc", "dl", "words", "counts", "doc.text_hash")
-            unique = docs.groupBy(doc).count().filter("count > 1").isEmpty()
+            unique = hashed.groupBy("doc").count().filter("count > 1").isEmpty()
             # a whole table's words are several times its files: they are written where they were counted
-            self.table.write(new if unique else new.dropDuplicates(["doc"]), gone, notes={"fingerprint": fingerprint}, in_place=first and unique)
+            self.table.write(new if unique else new.dropDuplicates(["doc"]), gone, notes={"fingerprint": fingerprint}, whole=whole, in_place=whole and unique)
         return self.open()
 
     def open(self) -> Words:

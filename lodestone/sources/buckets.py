@@ -105,8 +105,9 @@ class Log:
 class Buckets:
     """A table of unique keys. Rows with a null among the keys are one key like any other."""
 
-    def __init__(self, spark: SparkSession, where: str, keys: list[str], schema: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, where: str, keys: list[str], schema: str, buckets: int = BUCKETS, most_folders: int | None = None):
         self.spark, self.where, self.keys, self.schema, self.buckets = spark, where.rstrip("/"), keys, schema, buckets
+        self.most_folders = most_folders or MOST_FOLDERS
         self.log = Log(spark, f"{self.where}/log")
 
     def version(self) -> int:
@@ -171,10 +172,10 @@ class Buckets:
                 return at + 1
 
     def _join_folders(self, version: int) -> None:
-        """Buckets of more than MOST_FOLDERS folders become one folder, unless other writers change them meanwhile in another way
+        """Buckets of more than most_folders folders become one folder, unless other writers change them meanwhile in another way
         than by adding folders."""
         at, entry = self.log.latest()
-        old = {b: f for b, f in entry["folders"].items() if len(f) > MOST_FOLDERS} if at == version else {}
+        old = {b: f for b, f in entry["folders"].items() if len(f) > self.most_folders} if at == version else {}
         if not old:
             return
         folder = f"data/{uuid.uuid4().hex}"

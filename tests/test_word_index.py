@@ -211,3 +211,35 @@ def test_recommendations_shuffle_no_words_to_build_their_index(spark, tmp_path):
     # the one exchange deals the texts of a small table to all cores
     assert len(plans) == 1 and "rebalance" not in plans[0].lower() and "words" not in "".join(re.findall(r"\) Exchange\n.*?\n\n", plans[0], re.DOTALL))
     assert 0 < rows.count() <= asked
+
+
+def test_a_changed_table_is_indexed_without_a_shuffle_of_words(spark, tmp_path):
+    """Many changes: written anew in place, and read as it lies. Few: the buckets they fall into are one folder again, others stay."""
+    texts = {i: f"w{i % 7} w{i % 11}" for i in range(400)}
+    frame = lambda: spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(40)
+    asks = [(1, "w1 w3"), (2, "w6 w10 w9")]
+    q = spark.createDataFrame(asks, "query_id long, text string")
+    found = lambda words: {(x.query, x.doc): (round(x.score, 5), x["rank"]) for x in words.search(q, 5, fill=False).collect()}
+    index = W.WordIndex(spark, str(tmp_path / "ix"), buckets=8)
+    folders = lambda: index.table.log.latest()[1]["folders"]
+    index.refresh(frame(), "a")
+    first = folders()
+    # many: texts of a hundred ids are others, and 600 ids are new, 50 are gone
+    texts = {i: f"w{i % 5} w{i % 13} w{i % 5}" if i < 150 or i >= 400 else t for i, t in ({**texts, **{i: "" for i in range(400, 1000)}}).items() if i >= 50}
+    stored = len(write_plans(spark, tmp_path / "ix/terms"))
+    words = index.refresh(frame(), "b")
+    plans = write_plans(spark, tmp_path / "ix/terms")[stored:]
+    assert len(plans) == 1 and "words" not in "".join(re.findall(r"\) Exchange\n.*?\n\n", plans[0], re.DOTALL)) and "Sort" not in plans[0]
+    assert all(len(f) == 1 and f != first.get(b) for b, f in folders().items())
+    assert "Exchange" not in words.terms._jdf.queryExecution().toString()
+    assert found(words) == brute(asks, list(texts.items()), 5) and words.terms.count() == len(texts)
+    # few
+    before = folders()
+    texts[60], texts[2000] = "w1 w1 w3", "w9"
+    del texts[61]
+    words = index.refresh(frame(), "c")
+    changed = [b for b, f in folders().items() if f != before.get(b)]
+    assert 0 < len(changed) <= 3 and all(len(f) == 1 for f in folders().values())
+    assert "Exchange" not in words.terms._jdf.queryExecution().toString()
+    assert found(words) == brute(asks, list(texts.items()), 5) and words.terms.count() == len(texts)
+    assert index.table.notes() == {"fingerprint": "c"}
