@@ -100,3 +100,15 @@ def test_numbers_of_cards_and_addresses_are_no_citations(spark, tmp_path):
 def test_numbers_of_cards_make_no_category(spark, tmp_path):
     write(spark, tmp_path, "pages", [(4, "u", "<p>Shly is 4859855714882215 there</p><p>is 36.132.194.208</p>"), (9, "u", "<p>Rope is 4859 there</p>")], "page_id long, url string, html string")
     assert sorted(map(tuple, registry.QUERIES["html_strategy"](spark, str(tmp_path)).select("page_id", "found_by", "n").collect())) == [(4, "text_shape", 1), (9, "text_shape", 2)]
+
+
+def test_names_of_mail_addresses_are_no_numbers(spark, tmp_path):
+    """Words and numbers make the names of mail addresses: is.37@..., in capitals in some texts."""
+    mail = "anth IS.37@MAIL4.EXAMPLE.COM there\nthat is.37@mail4.example.com, IS 51.a-b@x.org here"
+    write_documents(spark, tmp_path, [(1, mail), (2, mail + "\nthen IS 456 there @ home")])
+    got = sorted((r.doc, r.to_number) for r in registry.QUERIES["reference_extract"](spark, str(tmp_path)).collect())
+    assert got == [(1, "10001"), (1, "10002"), (2, "10002"), (2, "456")]
+    write(spark, tmp_path, "part", [(1,)], "p_partkey long")
+    assert sorted((r.doc, r.to_number) for r in registry.QUERIES["graph_edges"](spark, str(tmp_path)).collect()) == got
+    write(spark, tmp_path, "pages", [(4, "u", "<p>t lyin is.37@mail4.example.com thnt</p>"), (9, "u", "<p>Rope is 4859 there</p>")], "page_id long, url string, html string")
+    assert sorted(map(tuple, registry.QUERIES["html_strategy"](spark, str(tmp_path)).select("page_id", "found_by", "n").collect())) == [(4, "text_shape", 1), (9, "text_shape", 2)]
