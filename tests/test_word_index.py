@@ -150,6 +150,30 @@ def test_words_in_a_matrix_equal_words_by_postings(spark, monkeypatch):
     assert run(0.003, 2_000_000) == want and run(0.003, 500) == want
 
 
+def test_what_is_known_of_the_best_leaves_no_document_out(spark, monkeypatch):
+    """Documents and queries of three languages and short ones: the rows are those of plain scores, whatever documents are shown first, however
+    they are put in groups, and with scores that differ by less than single precision can tell."""
+    rnd = random.Random(5)
+    said = lambda n: " ".join(rnd.choice("abc"[rnd.random() < 0.02 :][:1]) + str(int(rnd.paretovariate(0.6)) % 300) for _ in range(n))
+    texts = [said(rnd.randint(1, 60)).replace("a", "xyz"[i % 3]) for i in range(900)]
+    asks = [said(rnd.randint(1, 25)).replace("a", "xyz"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id long, text string")
+    counts = [Counter(t.split()) for t in texts]
+    df, n, mean = Counter(w for c in counts for w in c), len(texts), sum(len(t.split()) for t in texts) / len(texts)
+    raw = {w: math.log(n - x + 0.5) - math.log(x + 0.5) for w, x in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    want = set()
+    for i, ask in enumerate(asks):
+        score = [sum(m * idf.get(w, 0) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, m in Counter(ask.split()).items()) for c in counts]
+        want |= {(i, d, k) for k, (_, d) in enumerate(sorted((-round(x, 6), d) for d, x in enumerate(score) if x > 0)[:7], 1)}
+    words = W.Words(W.word_counts(docs, "doc_id", "text").cache())
+    for shown, group, documents in ((8192, 512, 5000), (40, 512, 5000), (40, 5, 70), (150, 30, 100)):
+        for name, value in (("SHOWN", shown), ("GROUP", group), ("DOCUMENTS", documents)):
+            monkeypatch.setattr(W, name, value)
+        assert {(r.query, r.doc, r["rank"]) for r in words.search(q, 7, fill=False).collect()} == want
+
+
 def write_plans(spark, folder):
     """The plans that wrote into a folder."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
